@@ -27,10 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles) the document with the smallest id stays, once."""
-    groups = simhash.near_duplicates(docs, shingle=5, max_distance=6)
-    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    numbered = docs.join(stays, F.col("doc_id") == F.col("stays"))
-    return _shape(numbered).dropDuplicates(["doc_id"])
+    return _shape(simhash.keep_one(docs, simhash.near_duplicates(docs, shingle=5, max_distance=6)))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

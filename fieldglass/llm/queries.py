@@ -80,4 +80,77 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_warc_revisits, op3_url_classes, op4_phrase_automata, op5_multi_index_hashing, op6_concatenate_and_cut, op7_simhash_blocks, op8_line_rules, op9_clause_grammar, op10_wavelet_shards)}
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP2 = r"""
+WITH page AS (SELECT page_id, url, md5(coalesce(html, '')) AS tag FROM pages),
+keyed AS (SELECT *, regexp_extract(split_part(trim(url), '#', 1), '^([^:/?#]+)://([^/?#]*)(.*)$', ['s', 'h', 'r']) AS p, split_part(trim(url), '#', 1) AS bare FROM page),
+named AS (SELECT page_id, tag, bare, lower(p.s) AS s, lower(p.h) AS h, CASE WHEN starts_with(p.r, '/') THEN p.r ELSE '/' || p.r END AS r FROM keyed),
+canon AS (SELECT page_id, tag, CASE WHEN s = '' THEN bare ELSE s || '://' || CASE WHEN s = 'http' THEN regexp_replace(h, ':80$', '') WHEN s = 'https' THEN regexp_replace(h, ':443$', '') ELSE h END || r END AS url_key FROM named),
+base AS (SELECT page_id * 2 AS response_id, page_id * 60 AS ts, url_key, tag FROM canon),
+asked AS (SELECT page_id * 2 + 1 AS record_id, page_id * 60 + (page_id % 3 + 1) * 86400 AS ts, url_key, tag FROM canon),
+found AS (SELECT a.record_id, a.url_key, a.ts, a.tag, arg_max(b.response_id, (b.ts, b.response_id)) AS response_id, arg_max(b.tag, (b.ts, b.response_id)) AS base_tag
+          FROM asked a LEFT JOIN base b ON a.url_key = b.url_key AND (b.ts < a.ts OR b.ts = a.ts AND b.response_id < a.record_id) GROUP BY ALL)
+SELECT record_id, url_key, response_id, CASE WHEN response_id IS NULL THEN 'missing' WHEN tag = base_tag THEN 'resolved' ELSE 'mismatch' END AS status,
+       CASE WHEN tag = base_tag THEN 'W/"' || tag || '"' END AS etag, CASE WHEN tag = base_tag THEN CAST(ts AS VARCHAR) END AS date,
+       CASE WHEN tag = base_tag THEN 'text/html' END AS content_type, CASE WHEN tag = base_tag THEN tag END AS digest
+FROM found
+"""
+
+OP3 = r"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+edges AS (
+  SELECT split_part(url, '#', 1) AS a, split_part(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '#', 1) AS b FROM pages WHERE html LIKE '%canonical%'
+  UNION SELECT split_part(url, '#', 1), split_part(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1), '#', 1) FROM pages WHERE html ILIKE '%refresh%'),
+links AS (SELECT a, b FROM edges WHERE b LIKE '%://%' AND a <> b UNION SELECT b, a FROM edges WHERE b LIKE '%://%' AND a <> b),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a),
+urls AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL UNION SELECT a FROM links),
+parts AS (SELECT url, split_part(url, '#', 1) AS bare, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM urls),
+ruled AS (SELECT url, bare, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+          FROM parts LEFT JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp) GROUP BY ALL),
+class AS (SELECT r.a AS bare, max(CASE m.rv WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS k FROM reach r JOIN ruled m ON m.bare = r.b GROUP BY ALL)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(rv, CASE k WHEN 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN ruled USING (url) LEFT JOIN class USING (bare)
+"""
+
+OP4 = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS k, doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT k, i, md5(array_to_string(w[i:i+19], ' ')) AS h FROM (SELECT k, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+late AS (SELECT k, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY k, i) > 1),
+gone AS (SELECT DISTINCT k, i + unnest(range(0, 20)) AS j FROM late),
+word AS (SELECT k, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT k, string_agg(x, ' ' ORDER BY j) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (k, j) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)
+"""
+
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+win AS (SELECT k, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+rep AS (SELECT k, count(DISTINCT j) AS n_repeat FROM (SELECT k, i + unnest([0, 1, 2]) AS j FROM twice) GROUP BY k),
+line AS (SELECT k, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS x FROM d)),
+judged AS (SELECT k, x, n, (n >= {{long_line}} AND NOT regexp_matches(x, $closing)) OR regexp_matches(x, $menu) OR regexp_matches(x, $link)
+             OR (n <= 40 AND len(regexp_extract_all(x, $separators)) >= 3) OR (n <= 40 AND regexp_matches(x, $boilerplate)) AS bad FROM line WHERE n > 0),
+lines AS (SELECT k, count(*) - count(DISTINCT x) AS n_dup, coalesce(sum(n) FILTER (bad), 0) AS lost FROM judged GROUP BY k),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+         FROM d LEFT JOIN rep USING (k) LEFT JOIN lines USING (k))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= n_words AS kept
+FROM base
+"""
+
+
+def _quoted(sql: str, **patterns: str) -> str:
+    for name, pattern in patterns.items():
+        sql = sql.replace(f"${name}", "'" + pattern.replace("'", "''") + "'")
+    return sql
+
+
+#: The others have no SQL: op1 draws a balanced sample, op5 is approximate, op6 and op10 need a tokenizer, op7 XXH64, op9 learns.
+ORACLES: dict[str, str] = {
+    "op2_warc_revisits": OP2,
+    "op3_url_classes": OP3,
+    "op4_phrase_automata": OP4,
+    "op8_line_rules": _quoted(OP8.replace("{long_line}", "25"), closing=quality.CLOSING, menu=quality.MENU, link=quality.LINK, separators=quality.SEPARATORS, boilerplate=quality.BOILERPLATE),
+}

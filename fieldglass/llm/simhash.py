@@ -48,14 +48,15 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long): one row a document."""
+    """doc_id, fp (the fingerprint as a signed long), text_hash: one row a document."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": joined_id(batch), "fp": fp})
+            yield pd.DataFrame({"doc_id": joined_id(batch), "fp": fp, "text_hash": batch["h"]})
 
-    return docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t")).mapInPandas(each, "doc_id long, fp long")
+    rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    return rows.mapInPandas(each, "doc_id long, fp long, text_hash long")
 
 
 def block_masks(n: int, k: int) -> list[int]:
@@ -128,7 +129,7 @@ def links(classes: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable over links): one row a document."""
+    """doc_id, fp, text_hash, component_id (the smallest id reachable over links): one row a document."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # a class of null ids only gets a negative stand-in, so that it can still connect others
@@ -136,5 +137,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     groups = components(links(classes, classes.count(), max_distance))
     placed = classes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "rep").alias("group"))
     smallest = placed.groupBy("group").agg(F.min("least").alias("component_id"))
-    of_print = placed.join(smallest, "group").select(F.col("fp").alias("its"), "component_id")
-    return prints.join(of_print, F.col("fp") == F.col("its")).select("doc_id", "fp", "component_id")
+    of_print = placed.join(smallest, "group").select(F.col("fp").alias("its"), "component_id", "group")
+    return prints.join(of_print, F.col("fp") == F.col("its")).select("doc_id", "fp", "text_hash", "component_id", "group")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of :func:`near_duplicates` the smallest id (null last), once."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "text_hash")).alias("first")
+    stays = groups.groupBy("group").agg(first).select(F.col("first.doc_id").alias("fg_id"), F.col("first.text_hash").alias("fg_hash"))
+    own = docs.withColumn("fg_own", F.xxhash64(text_col))
+    left = own.join(stays, F.col(id_col).eqNullSafe(F.col("fg_id")) & (F.col("fg_own") == F.col("fg_hash"))).drop("fg_id", "fg_hash")
+    return left.dropDuplicates([id_col, "fg_own"]).drop("fg_own")
