@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from fieldglass.plans import quality
+
+QUERIES = {**quality.QUERIES}
+ORACLES = {**quality.ORACLES}
