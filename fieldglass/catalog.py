@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldglass.plans import quality
+from fieldglass.plans import measures, quality, rules
 
-QUERIES = {**quality.QUERIES}
-ORACLES = {**quality.ORACLES}
+QUERIES = {**quality.QUERIES, **measures.QUERIES, **rules.QUERIES}
+ORACLES = {**quality.ORACLES, **measures.ORACLES, **rules.ORACLES}

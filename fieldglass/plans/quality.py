@@ -30,7 +30,7 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to ``places`` decimals, so that engines that add in another order agree."""
-    return df.select(*[F.round(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def dq_profile(spark, sf_dir):
