@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the document with the smallest id stays, once."""
-    return _shape(simhash.keep_one(docs, simhash.near_duplicates(docs, shingle=5, max_distance=6)))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays, once."""
+    return _shape(simhash.keep_one(docs, simhash.similar_texts(docs)))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,8 +90,12 @@ def _forest(fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         at = nxt
 
 
-def links(classes: DataFrame, n: int, k: int) -> DataFrame:
-    """(a, b): class representatives ``rep`` whose fingerprints ``fp`` are within ``k`` bits, enough to connect them all."""
+def links(classes: DataFrame, n: int, k: int, reach: int | None = None) -> DataFrame:
+    """(a, b): class representatives ``rep`` whose fingerprints ``fp`` are within ``k`` bits, enough to connect them all.
+
+    With a larger ``reach``, also those up to ``reach`` bits apart that happen to share a key; such pairs are found with high probability only.
+    """
+    reach = reach or k
     keys = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in block_masks(n, k)])).alias("c", "key"))
     keys = keys.repartition("c", "key")
     counts = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -116,10 +120,10 @@ def links(classes: DataFrame, n: int, k: int) -> DataFrame:
     def _pairs(fp: np.ndarray, rep: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
         sizes = np.diff(starts)
         two = starts[:-1][sizes == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= k]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= reach]
         a, b = [rep[two]], [rep[two + 1]]
         for s, n in zip(starts[:-1][sizes > 2], sizes[sizes > 2]):
-            x, y = _forest(fp[s : s + n], k)
+            x, y = _forest(fp[s : s + n], reach)
             a.append(rep[s + x])
             b.append(rep[s + y])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -141,10 +145,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     return prints.join(of_print, F.col("fp") == F.col("its")).select("doc_id", "fp", "text_hash", "component_id", "group")
 
 
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
+    """The pairs (a, b: hashes of texts) whose sets of word shingles have a Jaccard similarity of at least ``least``."""
+    hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).repartition("h").dropDuplicates(["h"])
+    first = pairs.join(hashed.withColumnsRenamed({"h": "a", "t": "ta"}), "a")
+    both = first.join(hashed.withColumnsRenamed({"h": "b", "t": "tb"}), "b")
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [_jaccard(x, y, shingle) >= least for x, y in zip(batch["ta"], batch["tb"])]
+            yield batch.loc[near, ["a", "b"]]
+
+    return both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long")
+
+
+def _shingles(text: str | None, shingle: int) -> set[tuple]:
+    w = words(text.translate(_LOWER) if text else text)
+    return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
+
+
+def _jaccard(x: str | None, y: str | None, shingle: int) -> float:
+    a, b = _shingles(x, shingle), _shingles(y, shingle)
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guaranteed: int = 6, reach: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, group: rows of one group are connected by texts of similarity ``least`` or more.
+
+    Nodes are distinct texts (by 64-bit hash). Candidates are texts of one fingerprint and minimum spanning forests of fingerprints
+    that share a block key, up to ``reach`` bits; every candidate pair is confirmed on its shingle sets. As in any forest by distance, what falls
+    apart at a given distance falls apart in all pairs, so confirming its edges keeps the closest links.
+    """
+    prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("text_hash").alias("rep")), "classes")
+    same = prints.select("fp", "text_hash").distinct().join(classes, "fp").filter(~F.col("text_hash").eqNullSafe(F.col("rep"))).select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
+    pairs = links(classes, classes.count(), guaranteed, reach).unionByName(same)
+    groups = components(confirm(pairs, docs, shingle, least, text_col))
+    return prints.join(groups, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("group"))
+
+
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of :func:`near_duplicates` the smallest id (null last), once."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "text_hash")).alias("first")
-    stays = groups.groupBy("group").agg(first).select(F.col("first.doc_id").alias("fg_id"), F.col("first.text_hash").alias("fg_hash"))
-    own = docs.withColumn("fg_own", F.xxhash64(text_col))
-    left = own.join(stays, F.col(id_col).eqNullSafe(F.col("fg_id")) & (F.col("fg_own") == F.col("fg_hash"))).drop("fg_id", "fg_hash")
-    return left.dropDuplicates([id_col, "fg_own"]).drop("fg_own")
+    """The rows of ``docs`` that stay: of each group (doc_id, text_hash, group) the smallest id (null last), once.
+
+    Texts are dealt once, by id and hash; repeated rows are dropped and the rest is joined within that dealing.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("first")
+    stays = groups.groupBy("group").agg(first).select(F.col("first.gone").alias("fg_gone"), F.col("first.id").alias("fg_id"), F.coalesce("first.text_hash", F.lit(0)).alias("fg_hash"))
+    key = ["fg_gone", "fg_id", "fg_hash"]
+    own = docs.withColumns({"fg_gone": F.col(id_col).isNull(), "fg_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "fg_hash": F.xxhash64(text_col)})
+    return own.repartition(*key).dropDuplicates(key).join(stays, key).drop(*key)
