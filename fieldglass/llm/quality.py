@@ -1,8 +1,8 @@
 """Line-first cleaning and document rules, as DataFrame functions only.
 
-Each line with a word is judged on its own: *punctuation* (a long line that ends without a closing mark), *navigation*
-(short items strung together by separators, or a bare link or menu word) and *boilerplate* (policy and licence
-phrases). Lines that fail are removed. A document is rejected when the words it lost are more
+Each line with a word is judged on its own: *punctuation* (a long line without the end of a sentence, or
+symbols for half its words), *navigation* (items strung together by separators, or a bare link or menu word) and *boilerplate*
+(policy phrases in a short line). Lines that fail are removed. A document is rejected when the words it lost are more
 than ``max_lost`` of its words, or when it fails the base rules: fewer than ``min_words`` words, or more than half of
 its words in three-word windows that occur twice or more.
 
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.common import SPACE, WORD
 
-#: Marks that may close a line, separators of menus, and phrases of boilerplate lines.
-CLOSING = r"[.!?…。！？;:,\"'”’»)\]}*_-]\s*$"
-MENU = r"(?i)^\s*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|share|tweet|read more|subscribe)\s*[»>›|]*\s*$"
+#: The end of a sentence, symbols, separators of menus, and phrases of menu and boilerplate lines.
+SENTENCE = r"[.!?…。！？][\"'”’»)\]]*(\s|$)"
+SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]|\s>\s|\s/\s"
-BOILERPLATE = r"(?i)all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|enable javascript|copyright (©|\(c\))|©\s*\d{4}"
+MENU = r"(?i)^\s*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|share|tweet|read more|subscribe)\s*[»>›|]*\s*$"
 LINK = r"(?i)^\s*(https?://|www\.)\S+\s*$"
+BOILERPLATE = r"(?i)all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|lorem ipsum|enable javascript|copyright (©|\(c\))|©\s*\d{4}"
 
 
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "cleaned", "base_failed", "kept")
@@ -31,11 +32,12 @@ MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 def line_fails(line: Column, long_line: int = 25) -> Column:
     """True for a line that a rule removes."""
-    n = F.regexp_count(line, F.lit(WORD))
-    unclosed = (n >= long_line) & ~line.rlike(CLOSING)
-    navigation = line.rlike(MENU) | line.rlike(LINK) | ((F.regexp_count(line, F.lit(SEPARATORS)) >= 3) & (n <= 40))
-    boilerplate = line.rlike(BOILERPLATE) & (n <= 40)
-    return unclosed | navigation | boilerplate
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    n = count(WORD)
+    punctuation = ((n >= long_line) & ~line.rlike(SENTENCE)) | ((n >= 3) & (2 * count(SYMBOLS) >= n))
+    navigation = line.rlike(MENU) | line.rlike(LINK) | ((count(SEPARATORS) >= 3) & (5 * count(SEPARATORS) >= n))
+    boilerplate = (n <= 40) & line.rlike(BOILERPLATE)
+    return punctuation | navigation | boilerplate
 
 
 def _repeat_words(w: Column, sorted_starts: Column) -> Column:
@@ -60,7 +62,7 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
         "fg_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
         "fg_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)),
         "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
     })
     w = F.col("fg_words")
     starts = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))

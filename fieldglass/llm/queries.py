@@ -129,8 +129,8 @@ win AS (SELECT k, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT k, w, unnest(r
 twice AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
 rep AS (SELECT k, count(DISTINCT j) AS n_repeat FROM (SELECT k, i + unnest([0, 1, 2]) AS j FROM twice) GROUP BY k),
 line AS (SELECT k, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS x FROM d)),
-judged AS (SELECT k, x, n, (n >= {{long_line}} AND NOT regexp_matches(x, $closing)) OR regexp_matches(x, $menu) OR regexp_matches(x, $link)
-             OR (n <= 40 AND len(regexp_extract_all(x, $separators)) >= 3) OR (n <= 40 AND regexp_matches(x, $boilerplate)) AS bad FROM line WHERE n > 0),
+judged AS (SELECT k, x, n, (n >= {{long_line}} AND NOT regexp_matches(x, $sentence)) OR (n >= 3 AND 2 * len(regexp_extract_all(x, $symbols)) >= n) OR regexp_matches(x, $menu) OR regexp_matches(x, $link)
+             OR (len(regexp_extract_all(x, $separators)) >= 3 AND 5 * len(regexp_extract_all(x, $separators)) >= n) OR (n <= 40 AND regexp_matches(x, $boilerplate)) AS bad FROM line WHERE n > 0),
 lines AS (SELECT k, count(*) - count(DISTINCT x) AS n_dup, coalesce(sum(n) FILTER (bad), 0) AS lost FROM judged GROUP BY k),
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
            CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
@@ -152,5 +152,5 @@ ORACLES: dict[str, str] = {
     "op2_warc_revisits": OP2,
     "op3_url_classes": OP3,
     "op4_phrase_automata": OP4,
-    "op8_line_rules": _quoted(OP8.replace("{long_line}", "25"), closing=quality.CLOSING, menu=quality.MENU, link=quality.LINK, separators=quality.SEPARATORS, boilerplate=quality.BOILERPLATE),
+    "op8_line_rules": _quoted(OP8.replace("{long_line}", "25"), sentence=quality.SENTENCE, symbols=quality.SYMBOLS, menu=quality.MENU, link=quality.LINK, separators=quality.SEPARATORS, boilerplate=quality.BOILERPLATE),
 }

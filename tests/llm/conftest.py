@@ -12,7 +12,7 @@ def row(doc_id, text, source="s"):
 
 def prose(seed, n):
     rng = random.Random(seed)
-    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) + str(rng.randrange(60)) for _ in range(n))
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) + str(rng.randrange(60)) + "." * (k % 9 == 8) for k in range(n))
 
 
 @pytest.fixture(scope="session")
