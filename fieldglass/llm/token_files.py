@@ -6,7 +6,7 @@ opens each file in a task and returns documents with their global start. ``count
 ``locate_token`` answer from the files by rank and select without decoding them.
 
 Nulls and edges: a null text counts as empty (only the end id); documents with a null id come first;
-rows that repeat an id stay separate documents, ordered by their text; an empty table gives no file.
+rows that repeat an id stay separate documents, ordered by their text's hash; an empty table gives no file.
 A retried task writes the same bytes to the same name through a rename, so losing executors does no harm.
 """
 
@@ -72,7 +72,8 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
         if ids:
             yield flush()
 
-    ordered = rows.repartitionByRange(parts, F.col("dn").desc(), "d", F.xxhash64("t")).sortWithinPartitions(F.col("dn").desc(), "d", F.col("t").asc_nulls_first())
+    order = (F.col("dn").desc(), F.col("d"), F.xxhash64("t"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return materialize(ordered.mapInPandas(shards, SHARDS), "shards")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Texts are handed to the tokenizer in slices of about this many characters, so encodings stay small.
-SLICE_CHARS = 1_000_000
+#: Texts are handed to the tokenizer in slices of about this many characters, so encodings stay small; word by word, slices can be longer.
+SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 3_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -34,13 +36,14 @@ def tokenizer(path: str | None):
 def encode_all(texts: list[str | None], path: str | None, end_id: int) -> Iterator[np.ndarray]:
     """Token ids of each text with ``end_id`` after them; a null text counts as empty."""
     model, lot, chars = tokenizer(path), [], 0
+    encode, most = (_encode_words, WORD_SLICE_CHARS) if splits_at_spaces(model) else (_encode, SLICE_CHARS)
     for text in texts:
         lot.append(text or "")
         chars += len(lot[-1])
-        if chars >= SLICE_CHARS:
-            yield from _encode(model, lot, end_id)
+        if chars >= most:
+            yield from encode(model, lot, end_id)
             lot, chars = [], 0
-    yield from _encode(model, lot, end_id)
+    yield from encode(model, lot, end_id)
 
 
 def _encode(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
@@ -48,3 +51,47 @@ def _encode(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
         ids = coded.ids
         ids.append(end_id)
         yield np.array(ids, dtype=np.uint32)
+
+
+#: Fixed value: the split of a vocabulary that drops white space and never joins a letter or digit with punctuation.
+SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([.,;:!?]+)(?=[ \t-\r]|$)")
+KEPT_WORDS = 600_000
+_known: dict[int, dict[bytes, bytes]] = {}
+_spaceless: dict[int, bool] = {}
+
+
+def splits_at_spaces(model) -> bool:
+    """Whether the ids of a text are the ids of its words in turn: lower case, no token over white space."""
+    if id(model) not in _spaceless:
+        parts = json.loads(model.to_str())
+        steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lower = any(x.get("type") == "Lowercase" for x in (parts.get("normalizer") or {}).get("normalizers") or [])
+        drops = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[0].get("pattern") == {"Regex": SPACELESS}
+        _spaceless[id(model)] = bool(lower and drops)
+    return _spaceless[id(model)]
+
+
+def _words(text: str) -> list[bytes]:
+    """The words that are looked up: lower case, closing punctuation apart.
+
+    A text with combining marks (which compose by case) or with what may be a special token keeps its case.
+    """
+    raw = text.encode("utf-8")
+    if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
+        return raw.split()
+    return CLOSING.sub(rb" \1", raw.lower()).split()
+
+
+def _encode_words(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
+    """Every distinct word is encoded once and kept in the worker (up to ``KEPT_WORDS``)."""
+    known = _known.setdefault(id(model), {})
+    split = [_words(x) for x in lot]
+    new = list(set().union(*split) - known.keys())
+    for word, coded in zip(new, model.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False) if new else ()):
+        known[word] = np.array(coded.ids, dtype=np.uint32).tobytes()
+    end = np.array([end_id], dtype=np.uint32).tobytes()
+    for own in split:
+        yield np.frombuffer(b"".join([known[w] for w in own]) + end, dtype=np.uint32)
+    if len(known) > KEPT_WORDS:
+        known.clear()

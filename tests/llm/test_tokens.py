@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 
 from fieldglass.llm import packing, token_files
-from fieldglass.llm.tokens import encode_all
+from fieldglass.llm.tokens import _encode, encode_all, splits_at_spaces, tokenizer
 from fieldglass.llm.wavelet import BLOCK, WaveletFile, build
 
 
 def rows_of(docs):
-    return sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS hash").collect()
+    return [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash))]
 
 
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000, BLOCK + 5, 2 * BLOCK])
@@ -31,6 +32,17 @@ def test_wavelet_round_trip_rank_select(n):
     assert wave.count(65000) == 0 and wave.count(-1) == 0 and wave.count(1 << 20) == 0
 
 
+def test_words_give_the_tokenizers_own_ids():
+    """Word by word as the library does on whole texts, on every kind of oddity."""
+    rng = random.Random(8)
+    parts = ["The", "it's", "IT'S.", "don't,", "3.5", "a.b", "x...", "?!", "é", "École.", "J\u030c", "e\u0301.", "\u0301x", "<|endoftext|>", "<|ENDOFTEXT|>", "a\u00a0b", "\x1c", "\u2028", "ΑΣ", "ΑΣ.", "日本語。", "№5,", "🙂!", "$$$", "w%%%", "'s", "l'été;", "\u200b", "ŉ", "İ.", "ﬁ"]
+    texts = ["", " ", "\n\t", *(rng.choice(["", " "]).join(rng.choice([" ", "\n", "  ", "\x0b", ""]) + rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(600))]
+    model = tokenizer(None)
+    assert splits_at_spaces(model)
+    for text, got, want in zip(texts, encode_all(texts, None, 2), _encode(model, texts, 2)):
+        assert got.tolist() == want.tolist(), text
+
+
 def test_wavelet_rejects_other_files_and_places():
     with pytest.raises(ValueError):
         WaveletFile(io.BytesIO(b"x" * 100))
