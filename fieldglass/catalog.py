@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldglass.plans import measures, quality, rules
+from fieldglass.plans import extras, measures, quality, rules
 
-QUERIES = {**quality.QUERIES, **measures.QUERIES, **rules.QUERIES}
-ORACLES = {**quality.ORACLES, **measures.ORACLES, **rules.ORACLES}
+QUERIES = {**quality.QUERIES, **measures.QUERIES, **rules.QUERIES, **extras.QUERIES}
+ORACLES = {**quality.ORACLES, **measures.ORACLES, **rules.ORACLES, **extras.ORACLES}
