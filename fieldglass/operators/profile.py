@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldglass.functions.guards import clean, long_form, numeric_columns, one_row_to_long, pearson, ratio, string_columns
+from fieldglass.functions.guards import clean, numeric_columns, one_row_to_long, ratio, string_columns
 
 #: Scales whose words make a text column ordinal.
 ORDINAL_SETS = [("low", "medium", "high"), ("small", "medium", "large"), ("poor", "fair", "good", "excellent"), ("never", "rarely", "sometimes", "often", "always"), ("strongly disagree", "disagree", "neutral", "agree", "strongly agree")]
@@ -32,7 +33,8 @@ def completeness(df: DataFrame) -> DataFrame:
 def uniqueness(df: DataFrame, approximate: bool = False) -> DataFrame:
     """column_name, n_distinct, uniqueness (percent of all rows; NULL for an empty table).
 
-    Exact counts go by (column, value) pairs that are combined before the shuffle; ``approximate`` keeps one sketch a column.
+    Exact counts read each column by itself, in its own type, and combine before the shuffle; so no row is expanded by the number of columns.
+    ``approximate`` keeps one sketch a column, in one pass.
     """
     df, cols = clean(df), df.columns
     n = df.agg(F.count(F.lit(1)).alias("n"))
@@ -40,9 +42,8 @@ def uniqueness(df: DataFrame, approximate: bool = False) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d__{i}") for i, c in enumerate(cols)])
         counts = one_row_to_long(one, cols, ["d"]).select("column_name", F.col("d").alias("n_distinct"))
     else:
-        pairs = long_form(df, cols).filter("value is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-        names = n.selectExpr(f"stack({len(cols)}, " + ", ".join(f"'{c}'" for c in cols) + ") as (column_name)")
-        counts = names.join(pairs, "column_name", "left").select("column_name", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+        parts = [df.select(F.col(f"`{c}`").alias("v")).filter("v is not null").distinct().agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(c).alias("column_name"), "n_distinct") for c in cols]
+        counts = functools.reduce(DataFrame.unionByName, parts)
     return counts.crossJoin(n).select("column_name", "n_distinct", (ratio(F.col("n_distinct"), F.col("n")) * 100).alias("uniqueness"))
 
 
@@ -116,6 +117,31 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float
     return one_row_to_long(one, [b["column_name"] for b in bounds], ["n_outliers"])
 
 
+def _pearsons(df: DataFrame, pairs: list[tuple[str, str]]) -> list[Column]:
+    """Correlations as plain sums over columns shifted by their mean (a first pass), which stay exact for large offsets and cheap to compile.
+
+    Columns without missing values share their sums between pairs; a pair with missing values has sums over its complete rows.
+    """
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    facts = df.agg(F.count(F.lit(1)), *[x for c in cols for x in (F.avg(F.col(c).cast("double")), F.count(c), F.max(F.abs(F.col(c).cast("double"))))]).first()
+    mean, whole, most = ({c: facts[1 + 3 * i + k] for i, c in enumerate(cols)} for k in range(3))
+    out = []
+    for a, b in pairs:
+        if mean[a] is None or mean[b] is None:
+            out.append(F.max(F.lit(None).cast("double")))
+            continue
+        x, y = (F.col(c).cast("double") - F.lit(mean[c]) for c in (a, b))
+        if whole[a] < facts[0] or whole[b] < facts[0]:
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = F.when(both, x), F.when(both, y)
+        n = F.count(x)
+        var = lambda v, c: F.sum(v * v) - F.sum(v) * F.sum(v) / n  # noqa: E731,B023
+        flat = lambda v, c: var(v, c) <= n * (1e-13 * most[c]) ** 2  # noqa: E731,B023
+        r = (F.sum(x * y) - F.sum(x) * F.sum(y) / n) / F.sqrt(var(x, a) * var(y, b))
+        out.append(F.when((n > 0) & ~flat(x, a) & ~flat(y, b), r))
+    return out
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column_a, column_b, r: the full matrix, all pairs in one aggregate; no row with fewer than two numeric columns."""
     df = clean(df)
@@ -123,7 +149,7 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[r.alias(f"r{i}") for i, r in enumerate(_pearsons(df, pairs))])
     half = one.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs)) + ") as (column_a, column_b, r)")
     other = half.filter("column_a <> column_b").select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
     return half.unionByName(other)
