@@ -9,8 +9,8 @@ logistic weights learned from labels turn them into a score. Whether a negated o
 counts is thus learned, not assumed.
 
 Learning takes at most ``sample_rows`` labelled rows, those with the smallest hash of their id. Insult words and
-word stems are terms whose documents are toxic far more often than the rest, by a likelihood-ratio test
-corrected for the number of terms.
+word stems are terms that stand in at least 19 toxic documents for each other one, and so often that few
+among all terms would by chance (a likelihood-ratio test).
 
 Nulls and edges: a null or empty text has no events and gets the score of such texts; rows with a null or missing
 label teach nothing; a repeated id in the labels counts as toxic if any row says so; a null id is not held out; without labels
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import joined_id, materialize, split_id
+from fieldglass.llm.common import joined_id, materialize, small_batches, split_id, spread
 
 #: Words of the grammar's closed classes in English, German, French and Spanish.
 THREATS = "kill hurt destroy punish beat shoot stab hang burn attack töten umbringen verprügeln tuer frapper détruire matar golpear destruir".split()
@@ -39,7 +39,7 @@ REPORTS = "said says saying wrote quoted claimed reported according called tells
 
 TOKEN = re.compile(r"\w+|[.!?;\n]")
 STOPS = frozenset(".!?;\n")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 EVENTS = ("insult", "insult at target", "threat", "threat at target", "negated", "reported")
 
 
@@ -174,8 +174,8 @@ def choose_terms(counts: DataFrame, n_pos: int, n_neg: int, most: int = 20_000)
     q = F.col("pos") / n
     surprise = F.col("pos") * F.log(q / F.lit(base)) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - q) / F.lit(1 - base))).otherwise(0.0)
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
-    fits = counts.filter(F.col("pos") > 2).select("term", "pos", "neg", odds.alias("odds"), surprise.alias("surprise")).filter("pos > 3 * neg")
-    limit = math.log(max(counts.count(), 1)) + 3
+    fits = counts.filter(F.col("pos") > 2).select("term", "pos", "neg", odds.alias("odds"), surprise.alias("surprise")).filter("pos > 19 * neg")
+    limit = math.log(max(counts.count(), 1)) - 2
     return {r["term"]: float(r["odds"]) for r in fits.filter(F.col("surprise") >= limit).orderBy(F.desc("surprise"), "term").limit(most).collect()}
 
 
@@ -238,12 +238,13 @@ def score(docs: DataFrame, lexicon: dict[str, float], weights: np.ndarray, id_co
             x = np.array([scorer.features(t) for t in batch["t"]]).reshape(-1, len(w))
             yield pd.DataFrame({"doc_id": joined_id(batch), "score": 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))})
 
-    return docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t")).mapInPandas(each, "doc_id long, score double")
+    return spread(docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"))).mapInPandas(each, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted: one row a document."""
-    sample = materialize(training_rows(docs, labels, id_col, text_col, label_col, sample_rows), "labelled")
+    small_batches(docs.sparkSession)
+    sample = materialize(spread(training_rows(docs, labels, id_col, text_col, label_col, sample_rows)), "labelled")
     lexicon, weights = learn(sample)
     scored = score(docs, lexicon, weights, id_col, text_col)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
