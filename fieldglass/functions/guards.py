@@ -26,20 +26,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows where both are present; NULL for a constant column, where ``corr`` would raise."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
-def long_form(df: DataFrame, columns: list[str], names: tuple[str, str] = ("column_name", "value"), as_type: str = "string") -> DataFrame:
-    """One row per row and column: the column's name and its value as text (or another common type)."""
-    picked = df.select(*[F.col(f"`{c}`").cast(as_type).alias(f"c{i}") for i, c in enumerate(columns)])
-    pairs = ", ".join(f"'{c}', c{i}" for i, c in enumerate(columns))
-    return picked.selectExpr(f"stack({len(columns)}, {pairs}) as ({names[0]}, {names[1]})")
-
-
 def one_row_to_long(row: DataFrame, columns: list[str], metrics: list[str]) -> DataFrame:
     """Turns a one-row table with columns ``metric__i`` into (column_name, metric...)."""
     parts = ", ".join(f"'{c}', " + ", ".join(f"{m}__{i}" for m in metrics) for i, c in enumerate(columns))

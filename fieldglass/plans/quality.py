@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.functions.guards import string_columns
+from fieldglass.functions.guards import one_row_to_long, string_columns
 from fieldglass.operators import bias, drift, privacy, profile, schema
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -198,8 +198,6 @@ def opt_dtype_advice(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
     ints = [c for c, t in df.dtypes if t in ("int", "bigint")]
     one = df.agg(*[x for i, c in enumerate(ints) for x in (F.min(c).cast("long").alias(f"lo__{i}"), F.max(c).cast("long").alias(f"hi__{i}"))])
-    from fieldglass.functions.guards import one_row_to_long
-
     ranges = one_row_to_long(one, ints, ["lo", "hi"])
     advice = F.when(F.col("lo").between(-128, 127) & F.col("hi").between(-128, 127), "tinyint").when((F.col("lo") >= -32768) & (F.col("hi") <= 32767), "smallint").when((F.col("lo") >= -2147483648) & (F.col("hi") <= 2147483647), "int").otherwise("bigint")
     numbers = ranges.select("column_name", advice.alias("advice"))
