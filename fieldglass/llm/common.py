@@ -74,3 +74,20 @@ def split_id(col: Column) -> list[Column]:
 def joined_id(batch: pd.DataFrame):
     """The nullable ids of a batch that has the columns of :func:`split_id`."""
     return pd.arrays.IntegerArray(batch["d"].to_numpy(np.int64), batch["dn"].to_numpy(bool))
+
+
+def spread(df: DataFrame, mb_per_core: float = 4) -> DataFrame:
+    """Deals rows out evenly when the input is so small that its files would keep few cores busy; else unchanged.
+
+    Sizes come from the plan's statistics, no job is run. Only worth its shuffle before work that is heavy per row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * mb_per_core * 1_000_000 else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of at most ``rows``, so that a worker holds little at a time; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

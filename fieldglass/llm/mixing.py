@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import joined_id, materialize, split_id, word_count
+from fieldglass.llm.common import materialize, split_id, word_count
 
 EPS = 1e-9
 #: Documents of a source that the landing decides, by trying all their outcomes.

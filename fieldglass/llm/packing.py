@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import joined_id, materialize, split_id
+from fieldglass.llm.common import joined_id, materialize, small_batches, split_id, spread
 from fieldglass.llm.tokens import encode_all
 
 TOKENS = "doc_id long, part int, within long, n_tokens long, ids binary"
@@ -40,7 +40,8 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame({"doc_id": joined_id(batch), "part": np.int32(part), "within": ends - n, "n_tokens": n, "ids": [x.tobytes() for x in coded]})
             within = int(ends[-1]) if len(ends) else within
 
-    return docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t")).mapInPandas(encode, TOKENS)
+    small_batches(docs.sparkSession)
+    return spread(docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"))).mapInPandas(encode, TOKENS)
 
 
 def cut(tokens: DataFrame, length: int = 4096) -> DataFrame:

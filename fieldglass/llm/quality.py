@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import SPACE, WORD
+from fieldglass.llm.common import SPACE, WORD, spread
 
 #: The end of a sentence, symbols, separators of menus, and phrases of menu and boilerplate lines.
 SENTENCE = r"[.!?…。！？][\"'”’»)\]]*(\s|$)"
@@ -58,7 +58,7 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
     The windows of a document are hashed and sorted within its row, so nothing is shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.withColumns({
+    one = spread(docs).withColumns({
         "fg_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
         "fg_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)),
         "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long"),

@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import joined_id, materialize, split_id, words
+from fieldglass.llm.common import joined_id, materialize, small_batches, split_id, spread, words
 from fieldglass.llm.components import components
 
 CHUNK = 1024
@@ -55,8 +55,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fp = np.array([fingerprint(t, shingle) for t in batch["t"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": joined_id(batch), "fp": fp, "text_hash": batch["h"]})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    return rows.mapInPandas(each, "doc_id long, fp long, text_hash long")
+    return spread(rows).mapInPandas(each, "doc_id long, fp long, text_hash long")
 
 
 def block_masks(n: int, k: int) -> list[int]:
@@ -97,13 +98,11 @@ def links(classes: DataFrame, n: int, k: int, reach: int | None = None) -> DataF
     """
     reach = reach or k
     keys = classes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in block_masks(n, k)])).alias("c", "key"))
-    keys = keys.repartition("c", "key")
-    counts = keys.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = keys.join(counts, ["c", "key"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    live = live.withColumn("q", chunks).withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("q")).cast("int"))
-    live = live.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    live = live.select("c", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp", "rep")
+    live = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("c", "key"))).filter("n > 1")
+    few = live.filter(F.col("n") <= CHUNK).select("c", "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "fp", "rep")
+    many = live.filter(F.col("n") > CHUNK).withColumn("q", F.ceil(F.col("n") / CHUNK).cast("int"))
+    many = many.withColumn("i", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("q")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    live = few.unionByName(many.select("c", "key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp", "rep"))
     group = ["c", "key", "lo", "hi"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +169,7 @@ def _jaccard(x: str | None, y: str | None, shingle: int) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guaranteed: int = 6, reach: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guaranteed: int = 6, reach: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, group: rows of one group are connected by texts of similarity ``least`` or more.
 
     Nodes are distinct texts (by 64-bit hash). Candidates are texts of one fingerprint and minimum spanning forests of fingerprints

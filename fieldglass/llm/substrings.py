@@ -23,8 +23,6 @@ are equal); a null id counts as larger than any other; an empty table gives an e
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -35,17 +33,13 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import joined_id, shards_for, split_id, words
 
 LAST = (1 << 63) - 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, kept per process."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, 1 << 20)
-        up, down = (np.full(n, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[base]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base modulo 2**64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -93,10 +87,13 @@ class Shard:
 
     def hashes(self, begin: np.ndarray, length: int, base: int) -> np.ndarray:
         """64-bit hashes of the ranges of ``length`` words that begin at the given words."""
-        up, down = _power(base, len(self.buffer) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.buffer.astype(np.uint64) + np.uint64(1)) * up[: len(self.buffer)], dtype=np.uint64)])
+        total = np.zeros(len(self.buffer) + 1, dtype=np.uint64)
+        np.multiply(_powers(base, len(self.buffer)), self.buffer + np.uint64(1), out=total[1:])
+        np.cumsum(total, out=total)
         lo, hi = self.start[begin], self.end[begin + length - 1]
-        return _mixed((total[hi] - total[lo]) * down[lo])
+        h = total[hi] - total[lo]
+        del total
+        return _mixed(h * _powers(pow(base, -1, 1 << 64), len(self.buffer) + 1)[lo])
 
 
 def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
@@ -108,7 +105,7 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, shard_mb: float = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, shard_mb: float = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), and the columns in ``keep``: one row a document."""
     n = shards_for(docs, text_col, shard_mb)
     kept_cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]

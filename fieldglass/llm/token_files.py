@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import materialize, new_folder, shards_for, split_id
+from fieldglass.llm.common import materialize, new_folder, shards_for, small_batches, split_id
 from fieldglass.llm.tokens import encode_all, tokenizer
 from fieldglass.llm.wavelet import WaveletFile, build
 
@@ -47,6 +47,7 @@ def _put(path: str, data: bytes, attempt: int) -> None:
 def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 2, shard_tokens: int = 4_000_000, partition_mb: float = 64) -> DataFrame:
     """Write all documents; returns one row a shard: part, seq, path, n_docs, n_tokens."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "wavelet")
     rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards_for(rows, "t", partition_mb))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts are handed to the tokenizer in slices of about this many characters, so encodings stay small; word by word, slices can be longer.
-SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 3_000_000
+SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 1_500_000
 
 _loaded: dict[str, object] = {}
 
@@ -56,7 +56,7 @@ def _encode(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
 #: Fixed value: the split of a vocabulary that drops white space and never joins a letter or digit with punctuation.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([.,;:!?]+)(?=[ \t-\r]|$)")
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 _known: dict[int, dict[bytes, bytes]] = {}
 _spaceless: dict[int, bool] = {}
 
