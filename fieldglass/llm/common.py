@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -21,13 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/fieldglass-checkpoints"
+        own = tempfile.mkdtemp(prefix="fieldglass-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/fieldglass/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/fieldglass/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -42,11 +51,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage, whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def clear(spark: SparkSession) -> None:
+    """Delete the working tables that this process made, once their results are no longer needed; any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        target = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        target.getFileSystem(conf).delete(target, True)
 
 
 def word_count(text: Column | str) -> Column:

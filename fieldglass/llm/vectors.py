@@ -119,7 +119,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & fine)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 10_000, shard: int = 16_384, block: int = 8_192, aim: float = 0.97, seed: int = 42) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4_096, shard: int = 16_384, block: int = 8_192, aim: float = 0.97, seed: int = 42) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose id is divisible by ``every``, its ``k`` nearest found."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -128,8 +128,8 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == facts["d"])
     share = min(1.0, 0.9 * sample_rows / facts["n"])
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("id").limit(sample_rows).collect()
-    sample = np.array([r["v"] for r in drawn] or [rows.first()["v"]], dtype=float)
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("id").limit(sample_rows).select("v").toPandas()["v"]
+    sample = np.stack(drawn.to_numpy()).astype(float) if len(drawn) else np.array([rows.first()["v"]], dtype=float)
     codes = spark.sparkContext.broadcast(fit(sample / np.sqrt((sample**2).sum(axis=1, keepdims=True)), k, aim, seed=seed))
     shards, blocks = -(-facts["n"] // shard), max(1, -(-facts["q"] // block))
     base = rows.select(F.pmod(F.xxhash64("id", F.hash("v")), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "id", "v")

@@ -1,6 +1,8 @@
+import os
+
 import corpus_pipeline
 from fieldglass.llm import quality, simhash, substrings
-from fieldglass.llm.common import materialize
+from fieldglass.llm.common import clear, materialize, new_folder
 
 
 def test_stages_in_turn(spark, odd_docs):
@@ -38,3 +40,11 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     sizes = out.groupby("sequence_id").length.sum().sort_index()
     assert (sizes.iloc[:-1] == 4096).all() and len(out) > 50
+
+
+def test_clear(spark):
+    kept = materialize(spark.range(3), "kept")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://")
+    clear(spark)
+    assert not os.path.exists(path) and new_folder(spark, "x") != new_folder(spark, "x")
