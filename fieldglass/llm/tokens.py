@@ -8,9 +8,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are handed to the tokenizer in slices of about this many characters, so encodings stay small; word by word, slices can be longer.
-SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 1_500_000
+SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 3_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -55,9 +57,21 @@ def _encode(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
 
 #: Fixed value: the split of a vocabulary that drops white space and never joins a letter or digit with punctuation.
 SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CLOSING = re.compile(rb"(?<=[0-9A-Za-z])([.,;:!?]+)(?=[ \t-\r]|$)")
-KEPT_WORDS = 300_000
-_known: dict[int, dict[bytes, bytes]] = {}
+#: Texts with combining marks (which compose by case) or with what may be a special token keep their case.
+CASED = r"[\x{0300}-\x{036F}]|<\|"
+#: Letters beyond ASCII that are one letter in lower case too, so that they never join with what stands beside them.
+LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha())
+#: Marks that never belong to a piece with letters; an apostrophe may.
+MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[!-~{LETTERS}]+")
+PIECE = re.compile(f"[A-Za-z{LETTERS}]+|[0-9]|[{MARKS}]+")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
+#: Borders between a letter or digit and a mark.
+BORDERS = (f"([a-z0-9{LETTERS}])([{MARKS}]+)", f"([{MARKS}])([a-z0-9{LETTERS}])")
+KEPT_WORDS = 500_000
+#: The ids of so many words are put together at a time; so many pieces are encoded at a time.
+WORDS_AT_ONCE, PIECES_AT_ONCE = 1 << 18, 500
+_known: dict[int, tuple[dict[str, bytes], np.ndarray]] = {}
 _spaceless: dict[int, bool] = {}
 
 
@@ -72,26 +86,86 @@ def splits_at_spaces(model) -> bool:
     return _spaceless[id(model)]
 
 
-def _words(text: str) -> list[bytes]:
-    """The words that are looked up: lower case, closing punctuation apart.
+def _ends_word(model) -> np.ndarray:
+    """For each id, whether its token closes a piece."""
+    suffix, ids = json.loads(model.to_str())["model"].get("end_of_word_suffix") or "", model.get_vocab()
+    ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+    if suffix:
+        ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
+    return ends
+
+
+def _learn_pieces(model, new: list[str], known: dict[str, bytes], ends: np.ndarray) -> None:
+    """Encodes pieces, many in one text with spaces between, told apart by the tokens that close them; a lot that does not come apart is encoded one by one."""
+    for at in range(0, len(new), PIECES_AT_ONCE):
+        lot = new[at : at + PIECES_AT_ONCE]
+        ids = np.array(model.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        borders = np.flatnonzero(ends[ids]) + 1
+        if len(borders) == len(lot) and borders[-1] == len(ids):
+            raw, last = ids.tobytes(), 0
+            for piece, border in zip(lot, (4 * borders).tolist()):
+                known[piece] = raw[last:border]
+                last = border
+        else:
+            _learn_whole(model, lot, known)
+
+
+def _learn_whole(model, new: list[str], known: dict[str, bytes]) -> None:
+    for word, coded in zip(new, model.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+        known[word] = np.array(coded.ids, dtype=np.uint32).tobytes()
+
+
+def _learn(model, new: list[str], known: dict[str, bytes], ends: np.ndarray) -> None:
+    """Plain words are the pieces that the vocabulary's own split makes of them; any other word is encoded as it is."""
+    pieces, made, odd = [], {}, []
+    for w in new:
+        if PIECE.fullmatch(w):
+            pieces.append(w)
+        elif PLAIN.fullmatch(w) and "<|" not in w:
+            made[w] = PIECES.findall(w.lower())
+        else:
+            odd.append(w)
+    _learn_pieces(model, list(set(pieces).union(*made.values()) - known.keys()), known, ends)
+    _learn_whole(model, odd, known)
+    known.update((w, b"".join([known[x] for x in own])) for w, own in made.items())
+
 
-    A text with combining marks (which compose by case) or with what may be a special token keeps its case.
-    """
-    raw = text.encode("utf-8")
-    if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw:
-        return raw.split()
-    return CLOSING.sub(rb" \1", raw.lower()).split()
+def _split(texts: pa.Array) -> pa.Array:
+    """The words that are looked up: lower case, marks apart from letters and digits."""
+    small = pc.ascii_lower(texts)
+    for border in BORDERS:
+        small = pc.replace_substring_regex(small, border, r"\1 \2")
+    return pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, CASED), texts, small))
 
 
 def _encode_words(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
-    """Every distinct word is encoded once and kept in the worker (up to ``KEPT_WORDS``)."""
-    known = _known.setdefault(id(model), {})
-    split = [_words(x) for x in lot]
-    new = list(set().union(*split) - known.keys())
-    for word, coded in zip(new, model.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False) if new else ()):
-        known[word] = np.array(coded.ids, dtype=np.uint32).tobytes()
-    end = np.array([end_id], dtype=np.uint32).tobytes()
-    for own in split:
-        yield np.frombuffer(b"".join([known[w] for w in own]) + end, dtype=np.uint32)
+    """Distinct words are encoded once and kept in the worker (up to ``KEPT_WORDS``); texts are looked up in one pass over numbered words."""
+    if not lot:
+        return
+    if id(model) not in _known:
+        _known[id(model)] = {}, _ends_word(model)
+    known, ends = _known[id(model)]
+    split = _split(pa.array(lot, pa.large_string()))
+    numbered = pc.dictionary_encode(split.values)
+    names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+    table = list(map(known.get, names))
+    if new := [w for w, ids in zip(names, table) if ids is None]:
+        _learn(model, new, known, ends)
+        table = list(map(known.get, names))
+    # one word more stands for the end of a document
+    table.append(np.array([end_id], dtype=np.uint32).tobytes())
+    flat, size = np.frombuffer(b"".join(table), dtype=np.uint32), np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+    first, borders = np.cumsum(size) - size, split.offsets.to_numpy()
+    word = np.insert(numbered.indices.to_numpy(), borders[1:], len(names))
+    for a, b in zip(borders[:-1] + np.arange(len(lot)), borders[1:] + np.arange(1, len(lot) + 1)):
+        parts = [_ids(flat, first, size, word[at : min(b, at + WORDS_AT_ONCE)]) for at in range(a, b, WORDS_AT_ONCE)]
+        yield parts[0] if len(parts) == 1 else np.concatenate(parts)
     if len(known) > KEPT_WORDS:
         known.clear()
+
+
+def _ids(flat: np.ndarray, first: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The ids of numbered words in turn; those of word ``w`` are the ``size[w]`` from ``first[w]`` on in ``flat``."""
+    n = size[word]
+    ends = np.cumsum(n)
+    return flat[np.repeat(first[word] - ends + n, n) + np.arange(ends[-1])]

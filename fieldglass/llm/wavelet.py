@@ -26,8 +26,8 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int], bit
     zeros, left = [], np.asarray(ids).astype(np.uint16 if bits <= 16 else np.uint32)
     press = zstandard.ZstdCompressor(level=1)
     for plane in range(bits - 1, -1, -1):
-        bit = (left >> plane).astype(np.uint8) & 1
-        packed, before = np.packbits(bit, bitorder="little"), 0
+        on = (left & left.dtype.type(1 << plane)) != 0
+        packed, before = np.packbits(on, bitorder="little"), 0
         for at in range(0, len(packed), BLOCK // 8):
             raw = packed[at : at + BLOCK // 8].tobytes()
             small = press.compress(raw)
@@ -37,7 +37,6 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int], bit
             before += int(_POP[packed[at : at + BLOCK // 8]].sum())
             out.write(kept)
         zeros.append(len(left) - before)
-        on = bit.astype(bool)
         left = np.concatenate([left[~on], left[on]])
     tables = [np.array(places, dtype="<u8").reshape(-1, 3), np.array(ones, dtype="<u8"), np.array([x or 0 for x in doc_ids], dtype="<i8"), np.array([x is None for x in doc_ids], dtype="u1"), np.array(doc_tokens, dtype="<u8")]
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "tables": [[t.dtype.str, list(t.shape)] for t in tables]}).encode()
@@ -144,12 +143,12 @@ class WaveletFile:
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the planes from the lowest."""
-        values = np.zeros(self.n, dtype=np.uint32)
+        values = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
             packed = [self._block(plane, k) for k in range(self.blocks)]
             on = np.unpackbits(np.concatenate(packed), bitorder="little")[: self.n].astype(bool) if packed else np.zeros(0, bool)
             above = np.empty_like(values)
             above[~on] = values[: self.zeros[plane]]
-            above[on] = values[self.zeros[plane] :] | np.uint32(1 << (self.bits - 1 - plane))
+            above[on] = values[self.zeros[plane] :] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = above
-        return values
+        return values.astype(np.uint32)
