@@ -29,6 +29,8 @@ from fieldglass.llm.common import joined_id, materialize, small_batches, split_i
 from fieldglass.llm.components import components
 
 CHUNK = 1024
+#: Keys with so many texts at most give pairs.
+FEW = 16
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -169,18 +171,153 @@ def _jaccard(x: str | None, y: str | None, shingle: int) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The text's set of word shingles as sorted XXH64 values; a shorter text is one shingle, so is one without words."""
+    w = words(text.translate(_LOWER) if text else text)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
+
+
+def prefix(s: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first members of a set, uncommon ones first: two sets of similarity ``least`` or more share one of these.
+
+    They have ``least`` times the larger size in common, so not all of that lies behind either's first ``n - ceil(least * n) + 1``.
+    This holds for any order; ``common`` (sorted) and ``rank`` (more for more frequent) only keep the keys selective.
+    """
+    r = np.zeros(len(s), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        r = np.where(common[at] == s, rank[at], 0)
+    return s[np.lexsort((s, r))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]]
+
+
+def _common(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of about 16,384 of ``n`` texts (h, t), sorted, and their ranks; bears on speed only."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"s": np.concatenate([shingle_hashes(t, shingle) for t in batch["t"]] or [np.zeros(0, "<u8")]).view(np.int64)})
+
+    seen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // 16384))) == 0).mapInPandas(each, "s long")
+    top = seen.groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(1 << 17).toPandas()
+    values = top["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(values) - np.arange(len(values)))[order]
+
+
+def shared_keys(docs: DataFrame, groups: DataFrame, n: int, shingle: int, least: float, text_col: str = "text") -> DataFrame:
+    """key, h, size: each text once under each member of its prefix."""
+    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    moved = groups.filter("node <> component").select(F.col("node").alias("h"))
+    common, rank = _common(texts.join(moved, "h", "left_anti"), n, shingle)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.drop_duplicates("h")
+            sets = [shingle_hashes(t, shingle) for t in batch["t"]]
+            yield pd.DataFrame({"h": batch["h"], "size": [len(s) for s in sets], "keys": [prefix(s, least, common, rank).view(np.int64) for s in sets]})
+
+    small_batches(docs.sparkSession)
+    once = spread(texts).mapInPandas(each, "h long, size int, keys array<long>").dropDuplicates(["h"])
+    return once.select("h", "size", F.explode("keys").alias("key"))
+
+
+def _apart(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose key is held by texts of different groups, with group ``g`` and the key's rows ``n``."""
+    of = groups.select(F.col("node").alias("h"), F.col("component").alias("c"))
+    own = Window.partitionBy("key")
+    placed = keys.select("key", "h", "size").join(of, "h", "left").select("key", "h", "size", F.coalesce("c", "h").alias("g"))
+    return placed.withColumns({"lo": F.min("g").over(own), "hi": F.max("g").over(own), "n": F.count(F.lit(1)).over(own)}).filter("lo <> hi").drop("lo", "hi")
+
+
+def _needed(docs: DataFrame, hashes: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(hashes.distinct(), "h", "left_semi")
+
+
+def _joined(sets: list[np.ndarray], group: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Positions of pairs of similarity ``least`` or more, enough to connect the groups that such pairs connect."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, label = size[order], np.unique(group[order], return_inverse=True)[1]
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+    for i in range(len(order) - 1):
+        stop = int(np.searchsorted(size, size[i] / least + 1e-9, "right"))
+        if stop <= i + 1 or (label[i + 1 : stop] == label[i]).all():
+            continue
+        mark[ids[ends[i] : ends[i + 1]]] = 1
+        both = np.add.reduceat(mark[ids[ends[i + 1] : ends[stop]]], ends[i + 1 : stop] - ends[i + 1])
+        mark[ids[ends[i] : ends[i + 1]]] = 0
+        for j in i + 1 + np.flatnonzero(both / (size[i] + size[i + 1 : stop] - both) >= least):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield order[i], order[j]
+
+
+def all_links(live: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
+    """(a, b) for large keys of :func:`_apart`: every two chunks of a key's texts are compared whole in a task, which passes a forest on."""
+    q = F.ceil(F.col("n") / CHUNK).cast("int")
+    parts = live.withColumn("i", F.pmod(F.xxhash64("h", F.lit(1)), q).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), q - 1)))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"h": batch["h"], "s": [shingle_hashes(t, shingle).tobytes() for t in batch["t"]]})
+
+    small_batches(docs.sparkSession)
+    sets = _needed(docs, live.select("h"), text_col).mapInPandas(hashed, "h long, s binary").dropDuplicates(["h"])
+    group = ["key", "lo", "hi"]
+    rows = parts.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "h", "g").join(sets, "h")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+        for batch in batches:
+            for at, *row in zip(zip(*(batch[c] for c in group)), batch["h"], batch["g"], batch["s"]):
+                if at != last and held:
+                    yield _edges(held)
+                    held = []
+                last = at
+                held.append(row)
+        if held:
+            yield _edges(held)
+
+    def _edges(held: list) -> pd.DataFrame:
+        h = np.array([r[0] for r in held], dtype=np.int64)
+        found = list(_joined([np.frombuffer(r[2], dtype="<u8") for r in held], np.array([r[1] for r in held], dtype=np.int64), least))
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": h[at[:, 0]], "b": h[at[:, 1]]})
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "a long, b long").distinct()
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guaranteed: int = 6, reach: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, group: rows of one group are connected by texts of similarity ``least`` or more.
+    """doc_id, text_hash, group: the connected components of texts over all pairs of similarity ``least`` or more.
 
-    Nodes are distinct texts (by 64-bit hash). Candidates are texts of one fingerprint and minimum spanning forests of fingerprints
-    that share a block key, up to ``reach`` bits; every candidate pair is confirmed on its shingle sets. As in any forest by distance, what falls
-    apart at a given distance falls apart in all pairs, so confirming its edges keeps the closest links.
+    Nodes are distinct texts (by 64-bit hash). Fingerprints only come first: texts of one fingerprint and forests of those that share a block
+    key are confirmed on their shingle sets, which joins most families cheaply. Whatever they miss is found after that: texts
+    of different groups that share a member of their prefixes (see :func:`prefix`) are all compared, those of keys
+    with few texts as pairs, the others in chunks. So the result does not depend on ``guaranteed``, ``reach`` or the number of texts.
     """
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("text_hash").alias("rep")), "classes")
     same = prints.select("fp", "text_hash").distinct().join(classes, "fp").filter(~F.col("text_hash").eqNullSafe(F.col("rep"))).select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
-    pairs = links(classes, classes.count(), guaranteed, reach).unionByName(same)
-    groups = components(confirm(pairs, docs, shingle, least, text_col))
+    n = classes.count()
+    edges = materialize(confirm(links(classes, n, guaranteed, reach).unionByName(same), docs, shingle, least, text_col), "links")
+    groups = components(edges)
+    live = materialize(_apart(shared_keys(docs, groups, n, shingle, least, text_col), groups), "shared")
+    few = live.filter(F.col("n") <= FEW)
+    other = few.select("key", F.col("h").alias("b"), F.col("g").alias("gb"), F.col("size").alias("size_b"))
+    near = few.join(other, "key").filter((F.col("h") < F.col("b")) & (F.col("g") != F.col("gb")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-9))
+    pairs = materialize(near.select(F.col("h").alias("a"), "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
+    more = materialize(confirm(pairs, _needed(docs, ends, text_col), shingle, least, "t"), "links")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        groups = components(edges)
+    many = materialize(_apart(live.filter(F.col("n") > FEW), groups), "shared")
+    if not many.isEmpty():
+        more = materialize(all_links(many, docs, shingle, least, text_col), "links")
+        groups = components(edges.unionByName(more))
     return prints.join(groups, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("group"))
 
 

@@ -137,3 +137,51 @@ def test_keep_one_keeps_one_of_each_group(spark, odd_docs, no_docs):
     assert 2 not in ids and 11 not in ids and 13 not in ids and ids.count(7) == 1 and 1 in ids and 10 in ids
     assert len(ids) == groups.select("group").distinct().count()
     assert simhash.keep_one(no_docs, simhash.similar_texts(no_docs)).count() == 0
+
+
+def families(seed):
+    """Texts with planted copies of similarity 0.75-0.95, chains and families of edited copies, a line that most hold, and short texts."""
+    rng = random.Random(seed)
+    line = [f"common{i}" for i in range(15)]
+    texts = []
+    for f in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 60, 200, 400]))]
+        base[3:3] = line
+        for _ in range(rng.choice([1, 2, 2, 3, 40 if f < 2 else 6])):
+            w = list(base)
+            for at in rng.sample(range(len(w)), round(len(w) * rng.choice([0, 0.005, 0.01, 0.02, 0.022, 0.025, 0.03]))):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+            base = w if rng.random() < 0.3 else base
+    texts += [None, "", " ", "one", "ONE", "one two"]
+    return list(dict.fromkeys(texts))
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_similar_texts_equals_all_pairs(spark, few):
+    """Groups are the components over all pairs of similarity 0.8, also those that no fingerprint finds."""
+    texts = families(7)
+    sets = [simhash._shingles(t, 5) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old, simhash.FEW, chunk, simhash.CHUNK = simhash.FEW, few, simhash.CHUNK, 10
+    try:
+        got = {r.doc_id: r.group for r in simhash.similar_texts(docs).collect()}
+    finally:
+        simhash.FEW, simhash.CHUNK = old, chunk
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(got[i], i)
+    assert [least[got[i]] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
