@@ -40,7 +40,7 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     canonical = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    ends = F.array(F.when(html.contains("canonical"), canonical), F.when(F.lower(html).contains("refresh"), refresh))
+    ends = F.array(F.when(F.lower(html).contains("canonical"), canonical), F.when(F.lower(html).contains("refresh"), refresh))
     return pages.select(F.col(url_col).alias("a"), F.explode(ends).alias("b")).filter(F.col("b").contains("://"))
 
 

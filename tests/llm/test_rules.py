@@ -62,6 +62,12 @@ def test_page_edges(spark):
     assert got == {("http://a/1", "http://b/1"), ("http://a/2", "http://c/2")}
 
 
+def test_page_edges_any_case(spark):
+    html = [("http://a/1", '<LINK REL="CANONICAL" HREF="http://b/1">'), ("http://a/2", '<link rel="Canonical" href="http://b/2">'), ("http://a/3", "<META HTTP-EQUIV=REFRESH CONTENT='0; URL=http://c/3'>")]
+    got = {(r.a, r.b) for r in urls.page_edges(spark.createDataFrame(html, "url string, html string")).collect()}
+    assert got == {("http://a/1", "http://b/1"), ("http://a/2", "http://b/2"), ("http://a/3", "http://c/3")}
+
+
 def test_vectors_recall_and_edges(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 24)) + 3 * rng.normal(size=(20, 24))[rng.integers(0, 20, 3000)]
