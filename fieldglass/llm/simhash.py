@@ -29,17 +29,31 @@ from fieldglass.llm.common import joined_id, materialize, small_batches, split_i
 from fieldglass.llm.components import components
 
 CHUNK = 1024
-#: Keys with so many texts at most give pairs.
+#: Prefix keys with so many texts at most give pairs; those with more are compared in chunks.
 FEW = 16
+#: Texts whose frequent shingles order the prefixes; bears on speed only.
+SAMPLE_TEXTS = 4096
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Majority bits over XXH64 (seed 42) of the shingles; a shorter text is one shingle; no word: zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the text's word shingles in turn; a shorter text is one shingle, so is one without words."""
     w = words(text.translate(_LOWER) if text else text)
-    if not w:
-        return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8")
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8")
+
+
+#: The hash of the only shingle of a text without words.
+NO_WORDS = xxhash.xxh64_intdigest(b"", 42)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(h: np.ndarray) -> int:
+    """Majority bits over the shingle hashes of a text; zero for one without words."""
+    if len(h) == 1 and h[0] == NO_WORDS:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -146,38 +160,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     return prints.join(of_print, F.col("fp") == F.col("its")).select("doc_id", "fp", "text_hash", "component_id", "group")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
-    """The pairs (a, b: hashes of texts) whose sets of word shingles have a Jaccard similarity of at least ``least``."""
-    hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).repartition("h").dropDuplicates(["h"])
-    first = pairs.join(hashed.withColumnsRenamed({"h": "a", "t": "ta"}), "a")
-    both = first.join(hashed.withColumnsRenamed({"h": "b", "t": "tb"}), "b")
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            near = [_jaccard(x, y, shingle) >= least for x, y in zip(batch["ta"], batch["tb"])]
-            yield batch.loc[near, ["a", "b"]]
-
-    return both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long")
-
-
-def _shingles(text: str | None, shingle: int) -> set[tuple]:
-    w = words(text.translate(_LOWER) if text else text)
-    return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
-
-
-def _jaccard(x: str | None, y: str | None, shingle: int) -> float:
-    a, b = _shingles(x, shingle), _shingles(y, shingle)
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The text's set of word shingles as sorted XXH64 values; a shorter text is one shingle, so is one without words."""
-    w = words(text.translate(_LOWER) if text else text)
-    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
-
-
 def prefix(s: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first members of a set, uncommon ones first: two sets of similarity ``least`` or more share one of these.
 
@@ -191,88 +173,130 @@ def prefix(s: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) ->
     return s[np.lexsort((s, r))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]]
 
 
-def _common(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of about 16,384 of ``n`` texts (h, t), sorted, and their ranks; bears on speed only."""
+def _common(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of about ``SAMPLE_TEXTS`` texts, sorted, and their ranks."""
+    texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    every = max(1, docs.count() // SAMPLE_TEXTS)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"s": np.concatenate([shingle_hashes(t, shingle) for t in batch["t"]] or [np.zeros(0, "<u8")]).view(np.int64)})
+            yield pd.DataFrame({"s": np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in batch["t"]] or [np.zeros(0, "<u8")]).view(np.int64)})
 
-    seen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(max(1, n // 16384))) == 0).mapInPandas(each, "s long")
+    seen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).dropDuplicates(["h"]).mapInPandas(each, "s long")
     top = seen.groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(1 << 17).toPandas()
     values = top["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], (len(values) - np.arange(len(values)))[order]
 
 
-def shared_keys(docs: DataFrame, groups: DataFrame, n: int, shingle: int, least: float, text_col: str = "text") -> DataFrame:
-    """key, h, size: each text once under each member of its prefix."""
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    moved = groups.filter("node <> component").select(F.col("node").alias("h"))
-    common, rank = _common(texts.join(moved, "h", "left_anti"), n, shingle)
+def prefixes(docs: DataFrame, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fp, size (of the shingle set), keys (its prefix): one row a document, each text hashed once."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    order = spark.sparkContext.broadcast(_common(docs, shingle, text_col))  # at most 131,072 shingles
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.drop_duplicates("h")
-            sets = [shingle_hashes(t, shingle) for t in batch["t"]]
-            yield pd.DataFrame({"h": batch["h"], "size": [len(s) for s in sets], "keys": [prefix(s, least, common, rank).view(np.int64) for s in sets]})
+            grams = [shingle_hashes(t, shingle) for t in batch["t"]]
+            fp = np.array([majority(g) for g in grams], dtype=np.uint64).view(np.int64)
+            sets = [np.unique(g) for g in grams]
+            keys = [prefix(s, least, *order.value).view(np.int64) for s in sets]
+            yield pd.DataFrame({"doc_id": joined_id(batch), "text_hash": batch["h"], "fp": fp, "size": [len(s) for s in sets], "keys": keys})
 
-    small_batches(docs.sparkSession)
-    once = spread(texts).mapInPandas(each, "h long, size int, keys array<long>").dropDuplicates(["h"])
-    return once.select("h", "size", F.explode("keys").alias("key"))
+    rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    return spread(rows).mapInPandas(each, "doc_id long, text_hash long, fp long, size int, keys array<long>")
+
+
+def _needed(docs: DataFrame, ends: DataFrame, text_col: str) -> DataFrame:
+    """h, t: the texts whose hashes are among ``ends`` (h), once each."""
+    hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return hashed.join(ends.distinct(), "h", "left_semi").dropDuplicates(["h"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
+    """The pairs (a, b: hashes of texts) whose sets of word shingles have a Jaccard similarity of at least ``least``."""
+    texts = _needed(docs, pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))), text_col)
+    first = pairs.join(texts.withColumnsRenamed({"h": "a", "t": "ta"}), "a")
+    both = first.join(texts.withColumnsRenamed({"h": "b", "t": "tb"}), "b")
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [_jaccard(x, y, shingle) >= least for x, y in zip(batch["ta"], batch["tb"])]
+            yield batch.loc[near, ["a", "b"]]
+
+    return both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long")
 
 
-def _apart(keys: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows whose key is held by texts of different groups, with group ``g`` and the key's rows ``n``."""
-    of = groups.select(F.col("node").alias("h"), F.col("component").alias("c"))
-    own = Window.partitionBy("key")
-    placed = keys.select("key", "h", "size").join(of, "h", "left").select("key", "h", "size", F.coalesce("c", "h").alias("g"))
-    return placed.withColumns({"lo": F.min("g").over(own), "hi": F.max("g").over(own), "n": F.count(F.lit(1)).over(own)}).filter("lo <> hi").drop("lo", "hi")
+def _shingles(text: str | None, shingle: int) -> set[tuple]:
+    w = words(text.translate(_LOWER) if text else text)
+    return set(zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else {tuple(w)}
 
 
-def _needed(docs: DataFrame, hashes: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(hashes.distinct(), "h", "left_semi")
+def _jaccard(x: str | None, y: str | None, shingle: int) -> float:
+    a, b = _shingles(x, shingle), _shingles(y, shingle)
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
 
 
-def _joined(sets: list[np.ndarray], group: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-    """Positions of pairs of similarity ``least`` or more, enough to connect the groups that such pairs connect."""
+def _apart(rows: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Rows (key, pos, h, size) whose key is held by texts of different groups, with the group ``g``, the key's rows ``n`` and ``early``.
+
+    If a key is the first that two similar sets share, nothing before it counts, so in the smaller set it is among the
+    first ``n - ceil(2 * least / (1 + least) * n) + 1``: it is ``early`` there. A key that is early nowhere is dropped.
+    Keys are reduced before the shuffle and joined back, so a key that very many texts hold is split like any hot join key.
+    """
+    early = F.col("pos") <= F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - 1e-9)
+    placed = rows.select("key", "pos", "h", "size").join(groups, F.col("h") == F.col("node"), "left").select("key", "pos", "h", "size", F.coalesce("component", "h").alias("g"), early.alias("early"))
+    kept = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("early").alias("any"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and any").select("key", "n")
+    return placed.join(kept, "key")
+
+
+def _joined(sets: list[np.ndarray], group: np.ndarray, early: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Positions of pairs of similarity ``least`` or more, whose smaller is ``early``, enough to connect the groups that such pairs connect."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
-    size, label = size[order], np.unique(group[order], return_inverse=True)[1]
+    size, early, label = size[order], early[order], np.unique(group[order], return_inverse=True)[1]
     ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
     ends = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(int(ids.max()) + 1, dtype=np.int32)
-    for i in range(len(order) - 1):
+    alike = np.concatenate([[0], np.flatnonzero(size[1:] != size[:-1]) + 1, [len(size)]])
+    # of sets of one size either may be the early one
+    early = np.repeat(np.logical_or.reduceat(early, alike[:-1]), np.diff(alike))
+    for i in np.flatnonzero(early[:-1]):
         stop = int(np.searchsorted(size, size[i] / least + 1e-9, "right"))
-        if stop <= i + 1 or (label[i + 1 : stop] == label[i]).all():
+        other = i + 1 + np.flatnonzero(label[i + 1 : stop] != label[i])
+        if not len(other):
             continue
         mark[ids[ends[i] : ends[i + 1]]] = 1
-        both = np.add.reduceat(mark[ids[ends[i + 1] : ends[stop]]], ends[i + 1 : stop] - ends[i + 1])
+        # those of other groups only: gathered where they are few, else summed over the whole range
+        if 8 * len(other) < stop - i:
+            both = np.array([mark[ids[ends[j] : ends[j + 1]]].sum() for j in other])
+        else:
+            both = np.add.reduceat(mark[ids[ends[i + 1] : ends[stop]]], ends[i + 1 : stop] - ends[i + 1])[other - i - 1]
         mark[ids[ends[i] : ends[i + 1]]] = 0
-        for j in i + 1 + np.flatnonzero(both / (size[i] + size[i + 1 : stop] - both) >= least):
+        for j in other[both / (size[i] + size[other] - both) >= least]:
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 yield order[i], order[j]
 
 
 def all_links(live: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
-    """(a, b) for large keys of :func:`_apart`: every two chunks of a key's texts are compared whole in a task, which passes a forest on."""
+    """(a, b) for keys of :func:`_apart` with many texts: every two chunks of a key's texts are compared whole in a task, which passes a forest on."""
     q = F.ceil(F.col("n") / CHUNK).cast("int")
     parts = live.withColumn("i", F.pmod(F.xxhash64("h", F.lit(1)), q).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), q - 1)))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"h": batch["h"], "s": [shingle_hashes(t, shingle).tobytes() for t in batch["t"]]})
+            yield pd.DataFrame({"h": batch["h"], "s": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch["t"]]})
 
-    small_batches(docs.sparkSession)
-    sets = _needed(docs, live.select("h"), text_col).mapInPandas(hashed, "h long, s binary").dropDuplicates(["h"])
+    sets = _needed(docs, live.select("h"), text_col).mapInPandas(hashed, "h long, s binary")
     group = ["key", "lo", "hi"]
-    rows = parts.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "h", "g").join(sets, "h")
+    rows = parts.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "h", "g", "early").join(sets, "h")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, []
         for batch in batches:
-            for at, *row in zip(zip(*(batch[c] for c in group)), batch["h"], batch["g"], batch["s"]):
+            for at, *row in zip(zip(*(batch[c] for c in group)), batch["h"], batch["g"], batch["early"], batch["s"]):
                 if at != last and held:
                     yield _edges(held)
                     held = []
@@ -283,51 +307,66 @@ def all_links(live: DataFrame, docs: DataFrame, shingle: int, least: float, text
 
     def _edges(held: list) -> pd.DataFrame:
         h = np.array([r[0] for r in held], dtype=np.int64)
-        found = list(_joined([np.frombuffer(r[2], dtype="<u8") for r in held], np.array([r[1] for r in held], dtype=np.int64), least))
+        found = list(_joined([np.frombuffer(r[3], dtype="<u8") for r in held], np.array([r[1] for r in held], dtype=np.int64), np.array([r[2] for r in held], dtype=bool), least))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": h[at[:, 0]], "b": h[at[:, 1]]})
 
     return rows.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "a long, b long").distinct()
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guaranteed: int = 6, reach: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guaranteed: int = 4, reach: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, group: the connected components of texts over all pairs of similarity ``least`` or more.
 
-    Nodes are distinct texts (by 64-bit hash). Fingerprints only come first: texts of one fingerprint and forests of those that share a block
-    key are confirmed on their shingle sets, which joins most families cheaply. Whatever they miss is found after that: texts
+    Nodes are distinct texts (by 64-bit hash). Fingerprints come first: texts of one fingerprint, and forests of those that share a block
+    key, are confirmed on their shingle sets, which joins most families cheaply. Whatever they miss is found after that: texts
     of different groups that share a member of their prefixes (see :func:`prefix`) are all compared, those of keys
     with few texts as pairs, the others in chunks. So the result does not depend on ``guaranteed``, ``reach`` or the number of texts.
+    Of keys with many texts, each text's widest goes first; that unites most of a large family, so little is left to compare under its other keys.
+
+    Nulls and edges: null and empty texts are one text each without words; null ids and repeated rows keep their rows; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    prints = materialize(prefixes(docs, shingle, least, id_col, text_col), "prefixes")
+    texts = prints.select("text_hash", "fp", "size", "keys").dropDuplicates(["text_hash"])
     classes = materialize(prints.groupBy("fp").agg(F.min("text_hash").alias("rep")), "classes")
     same = prints.select("fp", "text_hash").distinct().join(classes, "fp").filter(~F.col("text_hash").eqNullSafe(F.col("rep"))).select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
-    n = classes.count()
-    edges = materialize(confirm(links(classes, n, guaranteed, reach).unionByName(same), docs, shingle, least, text_col), "links")
+    close = materialize(links(classes, classes.count(), guaranteed, reach).unionByName(same), "close")
+    edges = materialize(confirm(close, docs, shingle, least, text_col), "links")
     groups = components(edges)
-    live = materialize(_apart(shared_keys(docs, groups, n, shingle, least, text_col), groups), "shared")
+    live = materialize(_apart(texts.select(F.col("text_hash").alias("h"), "size", F.posexplode("keys").alias("pos", "key")), groups, least), "shared")
     few = live.filter(F.col("n") <= FEW)
-    other = few.select("key", F.col("h").alias("b"), F.col("g").alias("gb"), F.col("size").alias("size_b"))
-    near = few.join(other, "key").filter((F.col("h") < F.col("b")) & (F.col("g") != F.col("gb")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-9))
+    other = few.select("key", F.col("h").alias("b"), F.col("g").alias("gb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    # similar sets have so much in common, and all of it from their first shared key on
+    both = (F.col("size") + F.col("size_b")) * (least / (1 + least)) - 1e-9
+    near = few.join(other, "key").filter((F.col("h") < F.col("b")) & (F.col("g") != F.col("gb")) & (F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= both))
     pairs = materialize(near.select(F.col("h").alias("a"), "b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
-    more = materialize(confirm(pairs, _needed(docs, ends, text_col), shingle, least, "t"), "links")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        groups = components(edges)
-    many = materialize(_apart(live.filter(F.col("n") > FEW), groups), "shared")
-    if not many.isEmpty():
-        more = materialize(all_links(many, docs, shingle, least, text_col), "links")
-        groups = components(edges.unionByName(more))
+
+    def joined(found: DataFrame) -> None:
+        nonlocal edges, groups
+        found = materialize(found, "links")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            groups = components(edges)
+
+    joined(confirm(pairs, docs, shingle, least, text_col))
+    wide = live.filter(F.col("n") > FEW)
+    for first in (True, False):
+        many = materialize(_apart(wide, groups, least), "shared")
+        if many.isEmpty():
+            break
+        if first:
+            widest = many.groupBy("h").agg(F.max(F.struct("n", "key")).alias("x")).select(F.col("h").alias("own"), F.col("x.key").alias("at"))
+            many = many.join(widest, (F.col("h") == F.col("own")) & (F.col("key") == F.col("at"))).select("key", "h", "g", "early", "n")
+        joined(all_links(many, docs, shingle, least, text_col))
     return prints.join(groups, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("group"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group (doc_id, text_hash, group) the smallest id (null last), once.
 
-    Texts are dealt once, by id and hash; repeated rows are dropped and the rest is joined within that dealing.
+    Texts are dealt once, by id and hash; repeated rows are dropped and the rest is joined within that dealing. All columns stay, whatever their names.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("first")
-    stays = groups.groupBy("group").agg(first).select(F.col("first.gone").alias("fg_gone"), F.col("first.id").alias("fg_id"), F.coalesce("first.text_hash", F.lit(0)).alias("fg_hash"))
-    key = ["fg_gone", "fg_id", "fg_hash"]
-    own = docs.withColumns({"fg_gone": F.col(id_col).isNull(), "fg_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "fg_hash": F.xxhash64(text_col)})
-    return own.repartition(*key).dropDuplicates(key).join(stays, key).drop(*key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("first")
+    stays = groups.groupBy("group").agg(first).select(F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.coalesce("first.text_hash", F.lit(0)).alias("hash"))
+    own = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("hash"), F.struct("*").alias("row"))
+    key = ["none", "id", "hash"]
+    return own.repartition(*key).dropDuplicates(key).join(stays, key).select("row.*")
