@@ -208,3 +208,20 @@ def test_revisits_against_brute_force(spark):
             if same is not False:
                 assert r.headers == b | {k: v for k, v in a.items() if k in revisits.PERMITTED} and r.digest == base[6]
     assert revisits.resolve(df.limit(0)).count() == 0
+
+
+def test_only_long_lines_need_the_end_of_a_sentence(spark):
+    """A short first line without one stays; a line of 25 words without one goes, wherever it stands."""
+    short, long_ = "a title without a stop", " ".join(f"w{i}" for i in range(25))
+    body = "\n".join(" ".join(f"x{k}y{i}" for i in range(12)) + "." for k in range(8))
+    rows = [(1, f"{short}\n{body}\n{short}"), (2, f"{long_}\n{body}\n{long_} end."), (3, f"{body}\n{long_}")]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].cleaned == rows[0][1] and out[1].n_lost_words == 0
+    assert out[2].cleaned == f"{body}\n{long_} end." and out[2].n_lost_words == 25
+    assert out[3].cleaned == body
+
+
+def test_judge_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two.", 3, "x", 5, 6)], "doc_id long, text string, words int, `row` string, sorted int, fg_words int")
+    out = quality.judge(df).first()
+    assert (out["words"], out["row"], out["sorted"], out["fg_words"]) == (3, "x", 5, 6)
