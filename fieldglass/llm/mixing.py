@@ -8,10 +8,12 @@ documents at a time, so both totals stay exact, until few are undecided. It runs
 blocks of about a thousand documents of one source; what blocks leave undecided flies again,
 level by level, until one group per source is left. Its last ten documents are the landing problem, solved by trying
 all outcomes and taking the one nearest the word target. A source of any size is so split into
-bounded groups. Choices depend on the documents' hashes and a seed only, never on partitions.
+bounded groups. Choices depend on the documents' hashes and a seed only, never on partitions. Rows that are equal throughout are
+counted before they are dealt and numbered by their count, so however many there are, they are spread over blocks. Sources are few by
+nature (their targets are one small table, worked out in one task; a source a host or url is not meant).
 
 Nulls and edges: a null source is one source of its own, last in order; a null or empty text has size 0; rows with
-equal ids are separate documents; a source whose size is 0 has target 0 and takes nothing; an empty table
+equal or null ids are separate documents; a source whose size is 0 has target 0 and takes nothing; an empty table
 gives an empty result. Columns other than the id, source and text are ignored, whatever their names.
 """
 
@@ -22,7 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import materialize, split_id, word_count
@@ -109,10 +111,9 @@ def _flier(seed: int, level: int, last: bool):
 
 
 def balanced_sample(units: DataFrame, block_docs: int = 1024, seed: int = 42) -> DataFrame:
-    """Adds ``chosen`` (0 or 1) to rows (doc_id, source, size, n_docs, pi); ``n_docs`` is the number of rows of the source."""
-    key = F.xxhash64("doc_id", "size")
-    rows = units.withColumn("h", key).withColumn("block", F.pmod(key, F.ceil(F.col("n_docs") / block_docs)).cast("long"))
-    rows = rows.select(*split_id(F.col("doc_id")), "source", "size", "n_docs", "pi", "h", "block")
+    """Adds ``chosen`` (0 or 1) to rows (doc_id, source, size, n_docs, pi, rh, h); ``n_docs`` is the number of rows of the source, ``h`` a hash that tells rows apart."""
+    rows = units.withColumn("block", F.pmod("h", F.ceil(F.col("n_docs") / block_docs)).cast("long"))
+    rows = rows.select(*split_id(F.col("doc_id")), "source", "size", "n_docs", "pi", "rh", "h", "block")
     schema, most = rows.schema, (units.agg(F.max("n_docs")).first()[0] or 1)
     groups, level, done = -(-most // block_docs), 0, []
     while True:
@@ -130,18 +131,36 @@ def balanced_sample(units: DataFrame, block_docs: int = 1024, seed: int = 42) ->
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(F.when(~F.col("dn"), F.col("d")).alias("doc_id"), "source", "size", F.col("pi").cast("int").alias("chosen"), "h")
+    return out.select(F.when(~F.col("dn"), F.col("d")).alias("doc_id"), "source", "size", F.col("pi").cast("int").alias("chosen"), "rh")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_docs: int = 1024, seed: int = 42) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (= copies * size): one row a document."""
-    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "sizes")
+def _copies(docs: DataFrame, row_hash: Column, weights: Sequence[float], share: float, cap: float, id_col: str, source_col: str, text_col: str, block_docs: int, seed: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, rh: one row a document."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_hash.alias("rh"))
+    counted = materialize(own.groupBy("doc_id", "source", "size", "rh").agg(F.count(F.lit(1)).alias("n_same")), "sizes")
+    sizes = counted.select("doc_id", "source", "size", "rh", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_same"))).alias("k"))
     targets = source_targets(sizes, weights, share, cap).select(F.col("source").alias("its"), "source_size", "n_docs", "target")
-    units = sizes.join(targets, sizes["source"].eqNullSafe(targets["its"]), "left").drop("its")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + F.lit(EPS))
-    units = units.withColumn("pi", F.greatest(F.lit(0.0), ratio - whole))
+    units = sizes.join(targets, sizes["source"].eqNullSafe(targets["its"]), "left").drop("its").withColumn("pi", F.greatest(F.lit(0.0), ratio - whole)).withColumn("h", F.xxhash64("rh", "k"))
     chosen = balanced_sample(units, block_docs, seed)
-    facts = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(EPS))).otherwise(F.lit(0)))
-    copies = F.col("whole") + F.col("chosen")
-    return chosen.join(facts, chosen["source"].eqNullSafe(facts["its"]), "left").select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    joined = chosen.join(targets.withColumn("whole", whole), chosen["source"].eqNullSafe(targets["its"]), "left")
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chosen")).cast("int").alias("copies"), "rh")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_docs: int = 1024, seed: int = 42) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (= copies * size): one row a document."""
+    row_hash = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col), F.col(text_col))
+    out = _copies(docs, row_hash, weights, share, cap, id_col, source_col, text_col, block_docs, seed)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_docs: int = 1024, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; all columns stay, whatever their names.
+
+    Rows are told apart by all their columns; rows equal in all are one row that is taken as often as they are together.
+    """
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = _copies(docs, row_hash, weights, share, cap, id_col, source_col, text_col, block_docs, seed).groupBy("rh").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    own = docs.select(row_hash.alias("own"), F.struct("*").alias("row")).repartition("own").dropDuplicates(["own"])
+    return own.join(copies, F.col("own") == F.col("rh")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
