@@ -20,10 +20,12 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a folder of our own is set.
+    Only where that is unset and the session runs on one machine (local tests) a folder of our own is set; on a cluster it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         own = tempfile.mkdtemp(prefix="fieldglass-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
@@ -43,11 +45,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()``, but columnar and compressed, and any later
-    stage reads only the columns it needs. Survives the loss of executors.
+    stage reads only the columns it needs. Survives the loss of executors. Row groups are small, so that writing holds little.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

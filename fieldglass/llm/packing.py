@@ -7,7 +7,8 @@ the table and cuts each document at the window borders; a document that crosses
 leaves boundary records (one piece on each side). Nothing is shuffled in either pass.
 
 Nulls and edges: a null text packs as an empty one (only the end id); an empty table gives an
-empty result; repeated rows are packed once each; rows with a null id are packed under a null id.
+empty result; repeated rows are packed once each; rows with a null id are packed under a null id; a text of any length is cut like others.
+Documents stand in the order in which their rows are dealt to tasks, so the layout (not the ids of a document) follows the files and, for small inputs, the cores.
 Columns of the input other than the id and the text are ignored, whatever their names.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import joined_id, materialize, small_batches, split_id, spread
 from fieldglass.llm.tokens import encode_all
 
+#: Ids go on in frames of about this size, so a worker holds few.
+FRAME_BYTES = 2 << 20
 TOKENS = "doc_id long, part int, within long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -34,11 +37,16 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, within = TaskContext.get().partitionId(), 0
         for batch in batches:
-            coded = [x.astype("<u4") for x in encode_all(batch["t"].tolist(), tokenizer_path, end_id)]
-            n = np.array([len(x) for x in coded], dtype=np.int64)
-            ends = within + np.cumsum(n)
-            yield pd.DataFrame({"doc_id": joined_id(batch), "part": np.int32(part), "within": ends - n, "n_tokens": n, "ids": [x.tobytes() for x in coded]})
-            within = int(ends[-1]) if len(ends) else within
+            ids, coded, done, held = joined_id(batch), [], 0, 0
+            for x in encode_all(batch["t"].tolist(), tokenizer_path, end_id):
+                coded.append(x.astype("<u4").tobytes())
+                held += len(coded[-1])
+                if held < FRAME_BYTES and done + len(coded) < len(ids):
+                    continue
+                n = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+                ends = within + np.cumsum(n)
+                yield pd.DataFrame({"doc_id": ids[done : done + len(n)], "part": np.int32(part), "within": ends - n, "n_tokens": n, "ids": coded})
+                within, done, coded, held = int(ends[-1]), done + len(n), [], 0
 
     small_batches(docs.sparkSession)
     return spread(docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"))).mapInPandas(encode, TOKENS)

@@ -1,4 +1,12 @@
-"""Tokenizing whole documents inside tasks with a public vocabulary file."""
+"""Tokenizing whole documents inside tasks with a public vocabulary file.
+
+Where a vocabulary drops white space and lower-cases, the ids of a text are those of its words in turn. So words are numbered
+in Arrow, and the library encodes each distinct one once as long as the worker keeps it. What a worker keeps
+is bounded by bytes (``KEPT_BYTES``, twice: the words in use and those used before), looked at after each slice of texts. Any other vocabulary gets whole texts.
+
+Nulls and edges: a null text counts as empty; an empty text has the end id only; a text of any length is one slice of its own
+at most; no texts give nothing; special tokens in a text are read as the library reads them.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +20,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handed to the tokenizer in slices of about this many characters, so encodings stay small; word by word, slices can be longer.
-SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 3_000_000
+SLICE_CHARS, WORD_SLICE_CHARS = 1_000_000, 2_000_000
+#: Numbered words are turned into ids so many at a time.
+WORDS_AT_ONCE = 1 << 17
+#: Pieces that are encoded in one text.
+PIECES_AT_ONCE = 100
+#: Bytes of words and ids that a worker keeps, and what an entry takes besides.
+KEPT_BYTES, ENTRY_BYTES = 40_000_000, 150
 
 _loaded: dict[str, object] = {}
 
@@ -63,15 +77,9 @@ CASED = r"[\x{0300}-\x{036F}]|<\|"
 LETTERS = "".join(c for c in map(chr, range(0x80, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha())
 #: Marks that never belong to a piece with letters; an apostrophe may.
 MARKS = r"!-&(-/:-@\[-`{-~"
-PLAIN = re.compile(f"[!-~{LETTERS}]+")
-PIECE = re.compile(f"[A-Za-z{LETTERS}]+|[0-9]|[{MARKS}]+")
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
+PIECE = re.compile(f"[a-z{LETTERS}]+|[0-9]|[{MARKS}]+")
 #: Borders between a letter or digit and a mark.
 BORDERS = (f"([a-z0-9{LETTERS}])([{MARKS}]+)", f"([{MARKS}])([a-z0-9{LETTERS}])")
-KEPT_WORDS = 500_000
-#: The ids of so many words are put together at a time; so many pieces are encoded at a time.
-WORDS_AT_ONCE, PIECES_AT_ONCE = 1 << 18, 500
-_known: dict[int, tuple[dict[str, bytes], np.ndarray]] = {}
 _spaceless: dict[int, bool] = {}
 
 
@@ -86,48 +94,54 @@ def splits_at_spaces(model) -> bool:
     return _spaceless[id(model)]
 
 
-def _ends_word(model) -> np.ndarray:
-    """For each id, whether its token closes a piece."""
-    suffix, ids = json.loads(model.to_str())["model"].get("end_of_word_suffix") or "", model.get_vocab()
-    ends = np.zeros(max(ids.values()) + 1, dtype=bool)
-    if suffix:
-        ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
-    return ends
-
-
-def _learn_pieces(model, new: list[str], known: dict[str, bytes], ends: np.ndarray) -> None:
-    """Encodes pieces, many in one text with spaces between, told apart by the tokens that close them; a lot that does not come apart is encoded one by one."""
-    for at in range(0, len(new), PIECES_AT_ONCE):
-        lot = new[at : at + PIECES_AT_ONCE]
-        ids = np.array(model.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        borders = np.flatnonzero(ends[ids]) + 1
-        if len(borders) == len(lot) and borders[-1] == len(ids):
-            raw, last = ids.tobytes(), 0
-            for piece, border in zip(lot, (4 * borders).tolist()):
-                known[piece] = raw[last:border]
-                last = border
-        else:
-            _learn_whole(model, lot, known)
-
-
-def _learn_whole(model, new: list[str], known: dict[str, bytes]) -> None:
-    for word, coded in zip(new, model.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-        known[word] = np.array(coded.ids, dtype=np.uint32).tobytes()
-
-
-def _learn(model, new: list[str], known: dict[str, bytes], ends: np.ndarray) -> None:
-    """Plain words are the pieces that the vocabulary's own split makes of them; any other word is encoded as it is."""
-    pieces, made, odd = [], {}, []
-    for w in new:
-        if PIECE.fullmatch(w):
-            pieces.append(w)
-        elif PLAIN.fullmatch(w) and "<|" not in w:
-            made[w] = PIECES.findall(w.lower())
-        else:
-            odd.append(w)
-    _learn_pieces(model, list(set(pieces).union(*made.values()) - known.keys()), known, ends)
-    _learn_whole(model, odd, known)
-    known.update((w, b"".join([known[x] for x in own])) for w, own in made.items())
+class Words:
+    """The ids of words, encoded when first asked for; the words used least recently go first."""
+
+    def __init__(self, model):
+        self.model, self.now, self.before, self.size = model, {}, {}, 0
+        suffix, ids = json.loads(model.to_str())["model"].get("end_of_word_suffix") or "", model.get_vocab()
+        #: for each id, whether its token closes a piece
+        self.ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
+
+    def of(self, names: list[str]) -> list[bytes]:
+        """The ids (32 bits each) of distinct words."""
+        found = list(map(self.now.get, names))
+        lost = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in lost:
+            found[i] = self.before.get(names[i])
+            if found[i] is None:
+                new.append(i)
+        pieces = [i for i in new if PIECE.fullmatch(names[i])]
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            lot = pieces[at : at + PIECES_AT_ONCE]
+            for i, ids in zip(lot, self._together([names[i] for i in lot])):
+                found[i] = ids
+        alone = [i for i in new if found[i] is None]
+        for i, ids in zip(alone, self._apart([names[i] for i in alone])):
+            found[i] = ids
+        self.now.update((names[i], found[i]) for i in lost)
+        self.size += sum(ENTRY_BYTES + len(names[i]) + len(found[i]) for i in lost)
+        if self.size > KEPT_BYTES:
+            self.now, self.before, self.size = {}, self.now, 0
+        return found
+
+    def _together(self, lot: list[str]) -> list[bytes]:
+        """Many pieces in one text with spaces between, told apart by the tokens that close them; a lot that does not come apart is encoded one by one."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        borders = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(borders) != len(lot) or borders[-1] != 4 * len(ids):
+            return self._apart(lot)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *borders], borders)]
+
+    def _apart(self, lot: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype=np.uint32).tobytes() for x in (self.model.encode_batch_fast(lot, add_special_tokens=False) if lot else ())]
+
+
+_words: dict[int, Words] = {}
 
 
 def _split(texts: pa.Array) -> pa.Array:
@@ -139,29 +153,19 @@ def _split(texts: pa.Array) -> pa.Array:
 
 
 def _encode_words(model, lot: list[str], end_id: int) -> Iterator[np.ndarray]:
-    """Distinct words are encoded once and kept in the worker (up to ``KEPT_WORDS``); texts are looked up in one pass over numbered words."""
+    """Texts are looked up in one pass over numbered words."""
     if not lot:
         return
-    if id(model) not in _known:
-        _known[id(model)] = {}, _ends_word(model)
-    known, ends = _known[id(model)]
+    if id(model) not in _words:
+        _words[id(model)] = Words(model)
     split = _split(pa.array(lot, pa.large_string()))
     numbered = pc.dictionary_encode(split.values)
-    names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-    table = list(map(known.get, names))
-    if new := [w for w, ids in zip(names, table) if ids is None]:
-        _learn(model, new, known, ends)
-        table = list(map(known.get, names))
-    # one word more stands for the end of a document
-    table.append(np.array([end_id], dtype=np.uint32).tobytes())
+    table = _words[id(model)].of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
     flat, size = np.frombuffer(b"".join(table), dtype=np.uint32), np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-    first, borders = np.cumsum(size) - size, split.offsets.to_numpy()
-    word = np.insert(numbered.indices.to_numpy(), borders[1:], len(names))
-    for a, b in zip(borders[:-1] + np.arange(len(lot)), borders[1:] + np.arange(1, len(lot) + 1)):
-        parts = [_ids(flat, first, size, word[at : min(b, at + WORDS_AT_ONCE)]) for at in range(a, b, WORDS_AT_ONCE)]
-        yield parts[0] if len(parts) == 1 else np.concatenate(parts)
-    if len(known) > KEPT_WORDS:
-        known.clear()
+    first, word, borders = np.cumsum(size) - size, numbered.indices.to_numpy(), split.offsets.to_numpy()
+    end = np.array([end_id], dtype=np.uint32)
+    for a, b in zip(borders[:-1], borders[1:]):
+        yield np.concatenate([*(_ids(flat, first, size, word[at : min(b, at + WORDS_AT_ONCE)]) for at in range(a, b, WORDS_AT_ONCE)), end])
 
 
 def _ids(flat: np.ndarray, first: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
