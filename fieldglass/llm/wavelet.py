@@ -4,6 +4,9 @@ Layout: blocks of bit-planes, highest bit first, each block of ``BLOCK`` bits co
 then a directory (place and size of each block, ones before it, zeros of each plane, the
 documents of the shard); then the directory's length and a magic word. A reader fetches the
 directory and afterwards only the blocks that an access needs.
+
+Nulls and edges: a document id may be None; a shard without ids has empty planes (every count is 0); a position or
+occurrence that does not exist is an IndexError; a token beyond the bit-planes counts 0; a file of another kind is a ValueError.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int], bit
             before += int(_POP[packed[at : at + BLOCK // 8]].sum())
             out.write(kept)
         zeros.append(len(left) - before)
-        left = np.concatenate([left[~on], left[on]])
+        left = np.concatenate([np.compress(~on, left), np.compress(on, left)])
     tables = [np.array(places, dtype="<u8").reshape(-1, 3), np.array(ones, dtype="<u8"), np.array([x or 0 for x in doc_ids], dtype="<i8"), np.array([x is None for x in doc_ids], dtype="u1"), np.array(doc_tokens, dtype="<u8")]
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "tables": [[t.dtype.str, list(t.shape)] for t in tables]}).encode()
     directory = press.compress(len(head).to_bytes(8, "little") + head + b"".join(t.tobytes() for t in tables))
@@ -148,7 +151,7 @@ class WaveletFile:
             packed = [self._block(plane, k) for k in range(self.blocks)]
             on = np.unpackbits(np.concatenate(packed), bitorder="little")[: self.n].astype(bool) if packed else np.zeros(0, bool)
             above = np.empty_like(values)
-            above[~on] = values[: self.zeros[plane]]
-            above[on] = values[self.zeros[plane] :] | values.dtype.type(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~on)] = values[: self.zeros[plane]]
+            above[np.flatnonzero(on)] = values[self.zeros[plane] :] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = above
         return values.astype(np.uint32)
