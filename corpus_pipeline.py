@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences in five stages, each one operator over all that the stage before kept.
 
 Every stage is written and read again before the next. All but the last return the columns of ``documents``.
-Rows with null ids pass through every stage as ordinary rows.
+
+Nulls and edges, stage by stage: rows with null ids are ordinary rows throughout. Null, empty and blank texts are rejected by
+the quality rules. Repeated rows, rows that share an id and exact ties are separate rows until near-dedup keeps one row a group (the
+smallest id, null last). Texts of any length are worked on whole. An empty table, or one of which no row is kept, goes through
+every stage as an empty table. Columns beyond those of ``documents`` are dropped by the first stage, whatever their names; the columns of ``documents`` keep theirs.
 """
 
 from __future__ import annotations
@@ -40,9 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the balanced sample takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("its"), "copies").groupBy("its").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("its")))
-    return _shape(taken.select("*", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    return mixing.mixed_rows(_shape(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
