@@ -139,3 +139,15 @@ def test_reports(people):
     assert "## Outliers" in text and "| age | 1 |" in text and "People &lt;1&gt;" in page and "<td>age</td>" in page and '"risk": "medium"' in doc
     assert {(r["issue"], r["column"]) for r in sections["Recommendations"]} >= {("missing", "name"), ("outliers", "age")}
     assert reports.markdown("x", {"a": [], "b": "words", "c": [{"k": "p|q"}]}).count("\n") > 5
+
+
+def test_pii_anchors(spark):
+    """Rows of the documents of scale 0.01 that match, as typed in; independent of the library's constants."""
+    got = {r.kind: r.n_rows for r in privacy.pii_scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ["text"]).collect()}
+    assert got == {"email": 11, "phone": 18, "ssn": 0, "credit_card": 24, "ip_address": 25}
+
+
+@pytest.mark.parametrize("kind,text", [("phone", "(212) 555-0199"), ("phone", "+1 212 555 0199"), ("phone", "212.555.0199"), ("credit_card", "4111-1111 1111 1111"), ("credit_card", "4111111111111111"), ("ip_address", "1.2.3.4"), ("email", "a.b@c.de"), ("ssn", "123-45-6789")])
+def test_pii_shapes(spark, kind, text):
+    got = {r.kind: r.n_rows for r in privacy.pii_scan(spark.createDataFrame([(f"call {text} now",), (None,), ("2125550199",)], "t string")).collect()}
+    assert got[kind] == 1
