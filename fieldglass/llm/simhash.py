@@ -281,7 +281,7 @@ def _joined(sets: list[np.ndarray], group: np.ndarray, early: np.ndarray, least:
 
 
 def all_links(live: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
-    """(a, b) for keys of :func:`_apart` with many texts: every two chunks of a key's texts are compared whole in a task, which passes a forest on."""
+    """(a, b) for rows (key, h, g, early, n): every two chunks of a key's ``n`` texts are compared whole in a task, which passes a forest on."""
     q = F.ceil(F.col("n") / CHUNK).cast("int")
     parts = live.withColumn("i", F.pmod(F.xxhash64("h", F.lit(1)), q).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), q - 1)))
 
@@ -321,7 +321,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
     key, are confirmed on their shingle sets, which joins most families cheaply. Whatever they miss is found after that: texts
     of different groups that share a member of their prefixes (see :func:`prefix`) are all compared, those of keys
     with few texts as pairs, the others in chunks. So the result does not depend on ``guaranteed``, ``reach`` or the number of texts.
-    Of keys with many texts, each text's widest goes first; that unites most of a large family, so little is left to compare under its other keys.
+    Texts that keys with many texts hold together are compared in one place, each text there once, where there are at most ``CHUNK`` of them;
+    beyond, key by key, each text's widest key first, which unites most of a large family, so little is left to compare under its other keys.
 
     Nulls and edges: null and empty texts are one text each without words; null ids and repeated rows keep their rows; an empty table gives an empty result.
     """
@@ -349,14 +350,22 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
 
     joined(confirm(pairs, docs, shingle, least, text_col))
     wide = live.filter(F.col("n") > FEW)
-    for first in (True, False):
-        many = materialize(_apart(wide, groups, least), "shared")
-        if many.isEmpty():
-            break
-        if first:
-            widest = many.groupBy("h").agg(F.max(F.struct("n", "key")).alias("x")).select(F.col("h").alias("own"), F.col("x.key").alias("at"))
-            many = many.join(widest, (F.col("h") == F.col("own")) & (F.col("key") == F.col("at"))).select("key", "h", "g", "early", "n")
-        joined(all_links(many, docs, shingle, least, text_col))
+    many = materialize(_apart(wide, groups, least), "shared")
+    if not many.isEmpty():
+        bins = components(many.select(F.col("h").alias("a"), F.col("key").alias("b")))
+        own = many.select("h", "g").distinct().join(bins, F.col("h") == F.col("node")).select(F.col("component").alias("key"), "h", "g")
+        sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        joined(all_links(own.join(sizes.filter(F.col("n") <= CHUNK), "key").withColumn("early", F.lit(True)), docs, shingle, least, text_col))
+        large = bins.join(sizes.filter(F.col("n") > CHUNK), F.col("component") == F.col("key")).select(F.col("node").alias("h"))
+        wide = materialize(wide.join(large, "h", "left_semi"), "wide")
+        for first in (True, False):
+            many = materialize(_apart(wide, groups, least), "shared")
+            if many.isEmpty():
+                break
+            if first:
+                widest = many.groupBy("h").agg(F.max(F.struct("n", "key")).alias("x")).select(F.col("h").alias("own"), F.col("x.key").alias("at"))
+                many = many.join(widest, (F.col("h") == F.col("own")) & (F.col("key") == F.col("at"))).select("key", "h", "g", "early", "n")
+            joined(all_links(many, docs, shingle, least, text_col))
     return prints.join(groups, F.col("text_hash") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("group"))
 
 
