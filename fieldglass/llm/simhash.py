@@ -32,7 +32,7 @@ CHUNK = 1024
 #: Prefix keys with so many texts at most give pairs; those with more are compared in chunks.
 FEW = 16
 #: Texts whose frequent shingles order the prefixes; bears on speed only.
-SAMPLE_TEXTS = 4096
+SAMPLE_TEXTS = 32_768
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -182,8 +182,8 @@ def _common(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, n
         for batch in batches:
             yield pd.DataFrame({"s": np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in batch["t"]] or [np.zeros(0, "<u8")]).view(np.int64)})
 
-    seen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).dropDuplicates(["h"]).mapInPandas(each, "s long")
-    top = seen.groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(1 << 17).toPandas()
+    seen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).mapInPandas(each, "s long")
+    top = materialize(seen.groupBy("s").count().filter("count > 2"), "frequent").orderBy(F.desc("count"), "s").limit(1 << 18).toPandas()
     values = top["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], (len(values) - np.arange(len(values)))[order]
@@ -193,7 +193,7 @@ def prefixes(docs: DataFrame, shingle: int, least: float, id_col: str = "doc_id"
     """doc_id, text_hash, fp, size (of the shingle set), keys (its prefix): one row a document, each text hashed once."""
     spark = docs.sparkSession
     small_batches(spark)
-    order = spark.sparkContext.broadcast(_common(docs, shingle, text_col))  # at most 131,072 shingles
+    order = spark.sparkContext.broadcast(_common(docs, shingle, text_col))  # at most 262,144 shingles
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
