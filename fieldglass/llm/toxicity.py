@@ -1,15 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexical step turns each word into a class: insult (with a learned weight), threat, target, negation, reported speech or
-other. Three small transducers follow and are composed into one machine: negation marks insults and threats
-within its scope, reported speech marks what follows it in the clause, and the target machine joins an insult
-or a threat with a target before or after it. The machine runs over each clause that holds an insult or a threat and emits
+other. Three small weighted transducers follow and are composed into one machine, whose arcs carry the product of their weights: negation marks insults and threats
+within its scope and halves them, reported speech marks what follows it in the clause and halves that, and the target machine joins an insult
+or a threat with a target before or after it, at the weight of the insult or threat. Insults weigh what was learned, threats 1.
+The machine runs over each clause that holds an insult or a threat and emits weighted
 events; a document is described by its events (how many clauses, what weight), and
 logistic weights learned from labels turn them into a score. Whether a negated or reported insult still
 counts is thus learned, not assumed.
 
 Learning takes at most ``sample_rows`` labelled rows, those with the smallest hash of their id. Insult words and
-word stems are terms that stand in at least 19 toxic documents for each other one, and so often that few
+word stems (at most ``most`` of them, 20,000, the surest first: the lexicon goes to every worker) are terms that stand in at least 19 toxic documents for each other one, and so often that few
 among all terms would by chance (a likelihood-ratio test).
 
 Nulls and edges: a null or empty text has no events and gets the score of such texts; rows with a null or missing
@@ -44,13 +45,16 @@ EVENTS = ("insult", "insult at target", "threat", "threat at target", "negated",
 
 
 class Transducer:
-    """Deterministic: ``arcs[state, symbol] = (next state, output)``; a missing arc stays in the state and copies the symbol."""
+    """Deterministic and weighted: ``arcs[state, symbol] = (next state, output, weight)``; a missing arc stays in the state, copies the symbol and weighs 1."""
 
     def __init__(self, arcs: dict, start=0):
         self.arcs, self.start = arcs, start
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol))
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))[:2]
+
+    def weight(self, state, symbol) -> float:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))[2]
 
 
 def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transducer:
@@ -62,7 +66,7 @@ def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transd
         for symbol in symbols:
             a, middle = first.step(pair[0], symbol)
             b, out = second.step(pair[1], middle)
-            arcs[pair, symbol] = ((a, b), out)
+            arcs[pair, symbol] = ((a, b), out, first.weight(pair[0], symbol) * second.weight(pair[1], middle))
             if (a, b) not in seen:
                 seen.add((a, b))
                 open_.append((a, b))
@@ -73,29 +77,30 @@ def negation(scope: int = 3) -> Transducer:
     """I and H within ``scope`` words after N become nI and nH."""
     arcs = {}
     for left in range(scope + 1):
-        arcs[left, "N"] = (scope, "o")
+        arcs[left, "N"] = (scope, "o", 1.0)
         for symbol in "IHTRo":
-            arcs[left, symbol] = (max(0, left - 1), "n" + symbol if left and symbol in "IH" else symbol)
+            marked = left and symbol in "IH"
+            arcs[left, symbol] = (max(0, left - 1), "n" + symbol if marked else symbol, 0.5 if marked else 1.0)
     return Transducer(arcs)
 
 
 def reported() -> Transducer:
     """I and H after R in a clause become rI and rH."""
-    arcs = {(s, "R"): (1, "o") for s in (0, 1)}
-    return Transducer(arcs | {(1, x): (1, "r" + x) for x in "IH"})
+    arcs = {(s, "R"): (1, "o", 1.0) for s in (0, 1)}
+    return Transducer(arcs | {(1, x): (1, "r" + x, 0.5) for x in "IH"})
 
 
 def targeted() -> Transducer:
     """Joins insults and threats with a target before or after them; outputs events."""
     arcs = {}
     for state in ("", "T", "I", "H"):
-        arcs[state, "T"] = ("T", {"I": "insult at target", "H": "threat at target"}.get(state, "o"))
-        arcs[state, "I"] = ("I", "insult at target" if state == "T" else "insult")
-        arcs[state, "H"] = ("H", "threat at target" if state == "T" else "threat")
+        arcs[state, "T"] = ("T", {"I": "insult at target", "H": "threat at target"}.get(state, "o"), 1.0)
+        arcs[state, "I"] = ("I", "insult at target" if state == "T" else "insult", 1.0)
+        arcs[state, "H"] = ("H", "threat at target" if state == "T" else "threat", 1.0)
         for symbol in ("nI", "nH"):
-            arcs[state, symbol] = (state, "negated")
+            arcs[state, symbol] = (state, "negated", 1.0)
         for symbol in ("rI", "rH"):
-            arcs[state, symbol] = (state, "reported")
+            arcs[state, symbol] = (state, "reported", 1.0)
     return Transducer(arcs, "")
 
 
@@ -115,28 +120,36 @@ class Scorer:
         found = self.known.get(word)
         if found is None:
             weight = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(word[:n] + "*", 0.0) for n in STEMS if len(word) >= n)])
-            found = ("I", weight) if weight > 0 else (self.closed.get(word, "o"), 0.0)
+            found = ("I", weight) if weight > 0 else (c := self.closed.get(word, "o"), 1.0 if c == "H" else 0.0)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def events(self, clause: list[tuple[str, float]]) -> Iterator[tuple[str, float]]:
+        """The machine's weighted events over the symbols of a clause. A target that comes after its insult or threat takes that one's weight."""
+        state, held = self.machine.start, 0.0
+        for symbol, weight in clause:
+            factor = self.machine.weight(state, symbol)
+            state, out = self.machine.step(state, symbol)
+            if out in EVENTS:
+                own = factor * (held if symbol == "T" else weight)
+                held = held if out in ("negated", "reported") else own
+                yield out, own
+
     def features(self, text: str | None) -> list[float]:
         """1, then per event log(1 + clauses) and the largest weight, then the log of the number of words."""
         times, most, n = Counter(), {}, 0
         clause: list[tuple[str, float]] = []
-        hit = False
+        hit, seen = False, set()
         for token in [*TOKEN.findall((text or "").lower()), "."]:
             if token in STOPS:
                 if hit:
-                    state, seen = self.machine.start, set()
-                    for symbol, weight in clause:
-                        state, out = self.machine.step(state, symbol)
-                        if out in EVENTS:
-                            seen.add(out)
-                            most[out] = max(most.get(out, 0.0), weight)
+                    for out, weight in self.events(clause):
+                        seen.add(out)
+                        most[out] = max(most.get(out, 0.0), weight)
                     times.update(seen)
-                clause, hit = [], False
+                clause, hit, seen = [], False, set()
                 continue
             n += 1
             found = self.classify(token)
@@ -210,7 +223,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     if not n_pos or not n_neg:
         share = min(max(n_pos / max(n_pos + n_neg, 1), 1e-9), 1 - 1e-9)
         return {}, np.array([math.log(share / (1 - share)), *[0.0] * (N_FEATURES - 1)])
-    lexicon = choose_terms(term_counts(sample), n_pos, n_neg)
+    lexicon = choose_terms(materialize(term_counts(sample), "terms"), n_pos, n_neg)
     described = describe(sample.select("t", "toxic"), lexicon).toPandas()
     return lexicon, fit_logistic(np.stack(described["x"].to_numpy()), described["toxic"].to_numpy(float))
 
