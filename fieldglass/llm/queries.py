@@ -99,9 +99,13 @@ FROM found
 
 OP3 = r"""
 WITH RECURSIVE rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+tags AS (
+  SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS h FROM pages WHERE html ILIKE '%canonical%'
+  UNION SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages WHERE html ILIKE '%refresh%'),
+seen AS (SELECT url, replace(h, '&amp;', '&') AS h, regexp_extract(url, '^[^?#]*') AS bare, regexp_extract(url, '^[^:/?#]+://[^/?#]*') AS site FROM tags),
 edges AS (
-  SELECT split_part(url, '#', 1) AS a, split_part(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '#', 1) AS b FROM pages WHERE html LIKE '%canonical%'
-  UNION SELECT split_part(url, '#', 1), split_part(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1), '#', 1) FROM pages WHERE html ILIKE '%refresh%'),
+  SELECT split_part(url, '#', 1) AS a, split_part(CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN site = '' OR h = '' OR starts_with(h, '#') THEN NULL WHEN starts_with(h, '//') THEN regexp_extract(url, '^[^:/?#]+:') || h
+    WHEN starts_with(h, '/') THEN site || h WHEN starts_with(h, '?') THEN bare || h WHEN bare = site THEN site || '/' || h ELSE regexp_replace(bare, '[^/]*$', '') || h END, '#', 1) AS b FROM seen),
 links AS (SELECT a, b FROM edges WHERE b LIKE '%://%' AND a <> b UNION SELECT b, a FROM edges WHERE b LIKE '%://%' AND a <> b),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, e.b FROM reach r JOIN links e ON r.b = e.a),
 urls AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL UNION SELECT a FROM links),

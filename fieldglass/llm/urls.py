@@ -1,7 +1,7 @@
 """URL filters that hold across redirects and canonical links.
 
 A rule list (allow or block; host and path) gives the verdict of every url that a rule fits. Urls are joined into
-classes by redirect edges, canonical links in pages and sameness up to the fragment; the classes are
+classes by redirect edges, canonical links in pages (several, relative and in any letter case) and sameness up to the fragment; the classes are
 connected components. A url without a rule takes its class's decision: *allow* if any url of the class is allowed by
 a rule (an explicit allow takes precedence), else *block* if any is blocked, else ``default``. A
 url's own rule always holds, so a block never reaches a page that is explicitly allowed.
@@ -33,15 +33,34 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def absolute(link: Column, base: Column) -> Column:
+    """A link as an absolute url, seen from the page ``base``; null for one to the page itself, without a host, or of another kind (``mailto:``)."""
+    bare = F.regexp_extract(base, r"^[^?#]*", 0)
+    site = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    folder = F.when(bare == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
+    whole = (
+        F.when((site == "") | (link == "") | link.startswith("#"), F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(link.contains("://"), link))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:/?#]+:", 0), link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(bare, link))
+        .otherwise(F.concat(folder, link))
+    )
+    parts = r"^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$"
+    empty = F.array().cast("array<string>")
+    steps = F.aggregate(F.split(F.regexp_extract(whole, parts, 2), "/", -1), empty, lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(whole.rlike(r"/\.\.?(/|\?|#|$)"), F.concat(F.regexp_extract(whole, parts, 1), F.array_join(steps, "/"), F.regexp_extract(whole, parts, 3))).otherwise(whole)
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): each page's canonical link and its meta-refresh redirect, where they are absolute urls."""
-    html = F.col(html_col)
-    link = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    canonical = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    refresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    ends = F.array(F.when(F.lower(html).contains("canonical"), canonical), F.when(F.lower(html).contains("refresh"), refresh))
-    return pages.select(F.col(url_col).alias("a"), F.explode(ends).alias("b")).filter(F.col("b").contains("://"))
+    """(a, b): each page's canonical links and its meta-refresh redirects, in any letter case, relative ones seen from the page's url."""
+    html, low = F.col(html_col), F.lower(html_col)
+    found = lambda word, tag, value: F.when(low.contains(word), F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1)))
+    canonical = found("canonical", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = found("refresh", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    none = F.array().cast("array<string>")
+    links = pages.select(F.col(url_col).alias("a"), F.explode(F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))).alias("b"))
+    return links.select("a", absolute(F.regexp_replace("b", "&amp;", "&"), F.col("a")).alias("b")).filter("b is not null").distinct()
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -59,7 +59,24 @@ def test_urls(spark):
 def test_page_edges(spark):
     html = [("http://a/1", '<link href="http://b/1" rel="canonical">'), ("http://a/2", "<META http-equiv='Refresh' content='0; url=http://c/2'>"), ("http://a/3", '<link rel=canonical href="/relative">'), ("http://a/4", None), (None, "")]
     got = {(r.a, r.b) for r in urls.page_edges(spark.createDataFrame(html, "url string, html string")).collect()}
-    assert got == {("http://a/1", "http://b/1"), ("http://a/2", "http://c/2")}
+    assert got == {("http://a/1", "http://b/1"), ("http://a/2", "http://c/2"), ("http://a/3", "http://a/relative")}
+
+
+def test_page_edges_relative_and_several(spark):
+    link = lambda *hrefs: "".join(f'<link rel="canonical" href="{h}">' for h in hrefs)
+    html = [("https://a.b/c/d?q=1#f", link("x", "../y", "./z?k&amp;l", "//h/p", "/r/../s", "?n", "#top", "mailto:a@b", "")), ("https://a.b", link("x")), ("no host", link("x", "http://k/")), ("http://e/f", None)]
+    got = {(r.a, r.b) for r in urls.page_edges(spark.createDataFrame(html, "url string, html string")).collect()}
+    first = {"https://a.b/c/x", "https://a.b/y", "https://a.b/c/z?k&l", "https://h/p", "https://a.b/s", "https://a.b/c/d?n"}
+    assert got == {("https://a.b/c/d?q=1#f", x) for x in first} | {("https://a.b", "https://a.b/x"), ("no host", "http://k/")}
+
+
+def test_class_decides_where_no_rule_fits(spark):
+    """Pages whose links join them to a blocked or an allowed page; neither a rule of their own nor the default gives these verdicts."""
+    pages = [(1, "http://x.net/es/a", ""), (2, "http://other.org/1", '<link rel="canonical" href="http://x.net/es/a">'), (3, "http://other.org/2", '<link rel="canonical" href="1">'), (4, "http://free.org/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("net", "/es/", "block"), ("com", "/", "allow")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df, rules, urls.page_edges(df)).collect()}
+    assert got == {1: ("net/es/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow")}
 
 
 def test_page_edges_any_case(spark):
@@ -128,6 +145,30 @@ def test_grammar_events():
     assert len(s.features("x")) == toxicity.N_FEATURES
 
 
+def test_weights_do_not_depend_on_the_order():
+    s = toxicity.Scorer({"idiot": 3.0, "fool": 2.0})
+    most = lambda text: dict(zip(toxicity.EVENTS, s.features(text)[2::2]))
+    assert most("idiot you")["insult at target"] == most("you idiot")["insult at target"] == 3.0
+    assert most("kill you")["threat at target"] == most("you kill")["threat at target"] == 1.0
+    assert most("idiot not fool you")["insult at target"] == 3.0
+    assert most("not fool")["negated"] == most("he said fool")["reported"] == 1.0
+
+
+def test_composed_weights_are_products_along_the_path():
+    rng = random.Random(1)
+    machines = toxicity.negation(), toxicity.reported(), toxicity.targeted()
+    machine = toxicity.grammar()
+    for _ in range(300):
+        states, state = [t.start for t in machines], machine.start
+        for x in [rng.choice(["I", "H", "T", "N", "R", "o"]) for _ in range(rng.randrange(12))]:
+            want, middle = 1.0, x
+            for k, t in enumerate(machines):
+                want *= t.weight(states[k], middle)
+                states[k], middle = t.step(states[k], middle)
+            assert machine.weight(state, x) == want
+            state, _ = machine.step(state, x)
+
+
 def test_composition_equals_running_in_turn():
     rng = random.Random(0)
     a, b, c = toxicity.negation(), toxicity.reported(), toxicity.targeted()
