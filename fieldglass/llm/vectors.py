@@ -3,9 +3,9 @@
 Codes: vectors are scaled to length one, centred, turned to their principal axes and rotated so that signs lose least
 (iterative quantization, fitted on at most ``sample_rows`` vectors); the signs are the code. Every row
 is indexed. A shard of the index splits its codes into byte substrings and keeps an inverted list per
-substring value. A query within radius r of a code agrees with it up to ``r // m`` bits on one of
-the ``m`` substrings (pigeonhole), so probing all values that near in every list retrieves every code within
-the radius; those are checked on the whole code, then reranked by the cosine of the float vectors. The
+substring value. Bounds on the ``m`` substrings that add up to ``r + 1 - m`` are enough: a code that exceeds each
+of them differs in at least ``r + 1`` bits (pigeonhole). So ``(r + 1) % m`` lists are probed to ``(r + 1) // m`` bits and
+the others to one bit less, which retrieves every code within radius ``r``; those are checked on the whole code, then reranked by the cosine of the float vectors. The
 radius is fitted on the sample so that ``aim`` of the true neighbours lie within it; a query that finds fewer
 than ``k`` within the radius has its radius widened until it has ``k`` or all rows.
 
@@ -89,9 +89,10 @@ class Index:
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Entries within ``radius`` bits: probe each list by the pigeonhole bound, then check whole codes."""
-        reach, hit = radius // len(self.lists), np.zeros(len(self.packed), dtype=bool)
-        for value, (order, starts) in zip(code, self.lists):
-            for near in np.flatnonzero(_BYTES[value] <= reach):
+        reach, wider = divmod(radius + 1, len(self.lists))
+        hit = np.zeros(len(self.packed), dtype=bool)
+        for i, (value, (order, starts)) in enumerate(zip(code, self.lists)):
+            for near in np.flatnonzero(_BYTES[value] < reach + (i < wider)):
                 hit[order[starts[near] : starts[near + 1]]] = True
         found = np.flatnonzero(hit)
         return found[_BYTES[self.packed[found], code].sum(axis=1, dtype=np.int64) <= radius]
