@@ -92,8 +92,9 @@ class Index:
         reach, wider = divmod(radius + 1, len(self.lists))
         hit = np.zeros(len(self.packed), dtype=bool)
         for i, (value, (order, starts)) in enumerate(zip(code, self.lists)):
-            for near in np.flatnonzero(_BYTES[value] < reach + (i < wider)):
-                hit[order[starts[near] : starts[near + 1]]] = True
+            near = np.flatnonzero(_BYTES[value] < reach + (i < wider))
+            first, n = starts[near], starts[near + 1] - starts[near]
+            hit[order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True  # all those lists at once
         found = np.flatnonzero(hit)
         return found[_BYTES[self.packed[found], code].sum(axis=1, dtype=np.int64) <= radius]
 
