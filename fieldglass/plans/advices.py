@@ -19,6 +19,7 @@ LOOPS_SCHEMA = "snippet_id string, line int, depth int, vectorizable boolean, re
 LOOPS = [("a", 3, 1, True, "Arithmetic operations in loop"), ("a", 9, 2, True, "Iterating over NumPy array"), ("b", 2, 1, True, "List comprehension"), ("b", 7, 3, False, "calls with effects"), ("b", 5, 2, True, None), ("c", 1, None, None, "pandas rows")]
 IMPORTS_SCHEMA = "snippet_id string, module string"
 IMPORTS = [("a", "numpy"), ("a", "os"), ("b", "pandas"), ("b", None)]
+SNIPPETS = [("loader", "import torch\nfor batch in dataloader:\n    batch.cuda()\n"), ("graph", "import tensorflow as tf\nx = tf.placeholder()\nwith tf.Session() as s:\n    pass\n"), ("loop", "import jax\nFOR i in range(3): jnp.ones(i)\n"), ("both", "import torch, jax\nfor i in range(2): x.cuda()\n"), ("plain", "for row in dataset: pass\n"), ("null", None)]
 EVIDENCE_SCHEMA = "rule string, time_impact double, memory_impact double"
 EVIDENCE = [("pandas_iterrows", 2.5, 1.8), ("loader_workers", 3.0, None), ("item_in_loop", None, None)]
 MEASURED_SCHEMA = "model string, bytes double, batch int"
@@ -30,7 +31,7 @@ def ad_pattern_advice(spark, sf_dir):
 
 
 def ad_framework_issues(spark, sf_dir):
-    return advice.framework_issues(ref.code(spark))
+    return advice.framework_issues(spark.createDataFrame(SNIPPETS, ref.CODE_SCHEMA))
 
 
 def ad_compression_openings(spark, sf_dir):
@@ -102,7 +103,7 @@ def _fired(source: str, key: str, *cases: tuple[str, str, str, str]) -> str:
 
 ORACLES = {
     "ad_pattern_advice": f"WITH {_v(FOUND, FOUND_SCHEMA, 'f')}, {_v(advice.PATTERN_ADVICE, advice.PATTERN_ADVICE_SCHEMA, 'p')} SELECT * FROM f JOIN p USING (pattern)",
-    "ad_framework_issues": f"WITH {_v(ref.CODE, ref.CODE_SCHEMA, 'x')}, {_v(advice.ISSUES, advice.ISSUES_SCHEMA, 'p')} SELECT snippet_id, framework, pattern, suggestion FROM x JOIN (SELECT snippet_id, name AS framework FROM {_INFERRED} WHERE kind = 'framework') USING (snippet_id) JOIN p USING (framework) WHERE regexp_matches(code, '(?i)' || pattern)",
+    "ad_framework_issues": f"WITH {_v(SNIPPETS, ref.CODE_SCHEMA, 'x')}, {_v(advice.ISSUES, advice.ISSUES_SCHEMA, 'p')}, u AS (" + " UNION ALL ".join(f"SELECT snippet_id, '{n}' AS framework FROM x WHERE regexp_matches(code, {rules._q('(?i)' + t)})" for n, t in textscan.FRAMEWORKS) + ") SELECT snippet_id, framework, pattern, suggestion FROM x JOIN u USING (snippet_id) JOIN p USING (framework) WHERE regexp_matches(code, '(?i)' || pattern)",
     "ad_compression_openings": f"WITH {_v(ref.CODE, ref.CODE_SCHEMA, 'x')}, {_v(advice.TOOLS, advice.TOOLS_SCHEMA, 't')}, i AS {_INFERRED}, o AS (SELECT i.snippet_id, technique, framework, implementation FROM i JOIN t ON i.name = t.framework WHERE kind = 'framework' UNION ALL SELECT snippet_id, technique, 'any', NULL FROM x CROSS JOIN (SELECT DISTINCT technique FROM t) WHERE snippet_id NOT IN (SELECT snippet_id FROM i WHERE kind = 'framework')) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.snippet_id = o.snippet_id AND i.kind = 'compression' AND i.name = o.technique)",
     "ad_platform_advice": f"WITH {_v(ref.CODE, ref.CODE_SCHEMA, 'x')}, {_v(advice.PLATFORM, advice.PLATFORM_SCHEMA, 'p')}, i AS {_INFERRED} SELECT snippet_id, kind, name, recommendation FROM (SELECT snippet_id, kind, name FROM i WHERE kind IN ('hardware', 'cloud') UNION ALL SELECT snippet_id, 'cloud', 'general' FROM x WHERE snippet_id NOT IN (SELECT snippet_id FROM i WHERE kind = 'cloud')) JOIN p USING (kind, name)",
     "ad_complexity_advice": f"WITH {_v(RUNS, RUNS_SCHEMA, 'r')} " + _fired(
