@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -33,6 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
+@contextlib.contextmanager
+def session_settings(spark: SparkSession, values: dict) -> Iterator[None]:
+    """Settings of the session for work that is done inside the block; set back after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 _made: list[str] = []
 
 
@@ -50,13 +65,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     # what was shuffled for the table is of no use once it is written
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    with session_settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,3 +120,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def ordered_rows(df: DataFrame, order: list[Column | str], label: str) -> DataFrame:
+    """``df`` as a written table with ``place``: each row's rank from 0 in the given order over the whole table.
+
+    Rows are split by sampled ranges of the order and numbered within their range; one count a range gives the
+    offsets. So no task sees more than a range, ties included if the order tells rows apart. Columns of the order should be short: they are sampled on the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    table = materialize(ranged, label)
+    part = F.shiftright("place_", 33)
+    counts = table.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))
+    # one row a range
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
+    return table.join(F.broadcast(offsets), part == F.col("part_")).withColumn("place", F.col("offset_") + F.col("place_").bitwiseAND((1 << 33) - 1)).drop("place_", "part_", "offset_")

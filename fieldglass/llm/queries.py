@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import mixing, packing, quality, revisits, simhash, substrings, token_files, toxicity, urls, vectors
+from fieldglass.llm import content_sort, conversation_trie, importance, mixing, packing, quality, revisits, simhash, substrings, token_files, toxicity, urls, vectors
 
 #: The rules that op3 judges by.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -78,7 +78,20 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_warc_revisits, op3_url_classes, op4_phrase_automata, op5_multi_index_hashing, op6_concatenate_and_cut, op7_simhash_blocks, op8_line_rules, op9_clause_grammar, op10_wavelet_shards)}
+def op11_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.dedup_content(_read(spark, sf_dir, "documents"))
+
+
+def op12_partition_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(*conversation_trie.rebuilt(*conversation_trie.numbered_turns(_read(spark, sf_dir, "conversations"))))
+
+
+def op13_suffix_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_warc_revisits, op3_url_classes, op4_phrase_automata, op5_multi_index_hashing, op6_concatenate_and_cut, op7_simhash_blocks, op8_line_rules, op9_clause_grammar, op10_wavelet_shards, op11_content_sort, op12_partition_refinement, op13_suffix_importance)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -145,6 +158,50 @@ FROM base
 """
 
 
+OP11 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+#: CRC-32 of a list of bytes by a table that is made from its rule.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+CRC = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+OP12 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS i, key, bytes FROM (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+conv AS (SELECT n.c, n.n, n.c - n.c % 5 AS b, {CRC.format(bytes="list_transform(string_split(CAST(n.c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 9 AS h FROM n, crc),
+known AS (SELECT conv.*, least(h, coalesce(m.n, 0)) AS taken FROM conv LEFT JOIN n m ON m.c = conv.b),
+turn AS (SELECT x.c, t.i AS pos, key, bytes FROM known x JOIN t ON t.c = x.b AND t.i <= x.h UNION ALL SELECT x.c, taken + t.i - h, key, bytes FROM known x JOIN t ON t.c = x.c AND t.i > x.h),
+link AS (SELECT c, 0 AS pos, '' AS prefix, 0 AS bytes FROM n UNION ALL SELECT c, pos, md5(string_agg(key, '') OVER (PARTITION BY c ORDER BY pos)), bytes FROM turn),
+last AS (SELECT c, max(pos) AS total FROM link GROUP BY c),
+node AS (SELECT pos, prefix, min(c) AS conv_id, count(*) AS n, max(bytes) AS bytes FROM link GROUP BY ALL),
+member AS (SELECT link.c, link.pos, node.conv_id FROM link JOIN node USING (pos, prefix)),
+leaf AS (SELECT conv_id, pos, max(total) = pos AS is_leaf, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (total = pos), '')) AS ends FROM member JOIN last USING (c) GROUP BY conv_id, pos),
+pair AS (SELECT m.conv_id, m.pos, node.pos AS sub_pos, is_leaf, (node.n - 1) * node.bytes AS saved FROM node JOIN leaf USING (conv_id, pos) JOIN member m ON m.c = node.conv_id AND m.pos <= node.pos),
+fold AS (SELECT conv_id, pos, count(*) FILTER (sub_pos = pos + 1) AS n_children, count(*) FILTER (is_leaf) AS n_leaves, sum(saved) AS saved FROM pair GROUP BY ALL)
+SELECT CAST(f.conv_id AS BIGINT) AS conv_id, CAST(f.pos AS BIGINT) AS depth, CAST(p.conv_id AS BIGINT) AS parent_conv_id, CAST(node.n AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM fold f JOIN node ON node.conv_id = f.conv_id AND node.pos = f.pos JOIN leaf ON leaf.conv_id = f.conv_id AND leaf.pos = f.pos LEFT JOIN member p ON p.c = f.conv_id AND p.pos = f.pos - 1
+"""
+
+OP13 = rf"""
+WITH {CRC_TABLE},
+texts AS (SELECT 1 AS kind, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT 2, row_number() OVER (), NULL, text FROM benchmark),
+split AS (SELECT kind, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feature AS (SELECT kind, k, f, count(*) AS n FROM (SELECT kind, k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM split) GROUP BY ALL),
+coded AS (SELECT f, {CRC.format(bytes="list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM feature), crc),
+cell AS (SELECT kind, k, bucket, sum(n) AS n FROM feature JOIN coded USING (f) GROUP BY ALL),
+total AS (SELECT coalesce(sum(n) FILTER (kind = 1), 0) AS ss, coalesce(sum(n) FILTER (kind = 2), 0) AS tt FROM cell),
+gain AS (SELECT bucket, floor(1000 * ln((CAST(coalesce(sum(n) FILTER (kind = 2), 0) AS DOUBLE) + 1) * (CAST(any_value(ss) AS DOUBLE) + 10000) / ((CAST(coalesce(sum(n) FILTER (kind = 1), 0) AS DOUBLE) + 1) * (CAST(any_value(tt) AS DOUBLE) + 10000)))) AS gain FROM cell, total GROUP BY bucket),
+weighed AS (SELECT k, sum(n) AS n_features, sum(n * CAST(gain AS BIGINT)) AS weight FROM cell JOIN gain USING (bucket) WHERE kind = 1 GROUP BY k),
+scored AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM split LEFT JOIN weighed USING (k) WHERE kind = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+
 def _quoted(sql: str, **patterns: str) -> str:
     for name, pattern in patterns.items():
         sql = sql.replace(f"${name}", "'" + pattern.replace("'", "''") + "'")
@@ -156,5 +213,8 @@ ORACLES: dict[str, str] = {
     "op2_warc_revisits": OP2,
     "op3_url_classes": OP3,
     "op4_phrase_automata": OP4,
+    "op11_content_sort": OP11,
+    "op12_partition_refinement": OP12,
+    "op13_suffix_importance": OP13,
     "op8_line_rules": _quoted(OP8.replace("{long_line}", "25"), sentence=quality.SENTENCE, symbols=quality.SYMBOLS, menu=quality.MENU, link=quality.LINK, separators=quality.SEPARATORS, boilerplate=quality.BOILERPLATE),
 }
