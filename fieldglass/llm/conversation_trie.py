@@ -8,7 +8,8 @@ together with its depth. All conversations start in one class, the root. Round d
    refined. The others go on as active classes; members without a further turn end at their class.
 3. When no class is active, the levels fold back from the deepest to the root: children, leaves and bytes saved are sums over the children.
 
-A turn counts by the SHA-256 digest of role and text, so texts move once. Rounds number as many as the turns that two
+A turn counts by the first 128 bits of the SHA-256 digest of role and text, so texts move once. Members carry the next few turns with them, in blocks
+of ``BLOCK``, so conversations and turns meet once a block. Rounds number as many as the turns that two
 conversations share at most. Turns get their places in the conversation from sampled ranges and one offset a range, so
 one conversation may hold most of all rows; a class may hold most of all conversations, as it is only ever
 counted, joined or, for the digest of its ends, packed in pieces by ranges.
@@ -32,6 +33,8 @@ from fieldglass.llm.common import materialize, ordered_rows
 
 #: Ids that are packed to one piece of a list.
 PIECE = 10_000
+#: Turns that a member carries at a time.
+BLOCK = 8
 EMPTY = hashlib.sha256(b"").hexdigest()
 NODE_SCHEMA = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 
@@ -39,7 +42,7 @@ NODE_SCHEMA = "conv_id long, depth long, parent_conv_id long, n_convs long, n_ch
 def numbered_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Turns (c, place, key, bytes), ``place`` counting all turns in order; conversations (c, n, first), ``first`` the place of their first turn."""
     said, who = F.coalesce(text, F.lit("")), F.coalesce(role, F.lit(""))
-    key = F.unhex(F.sha2(F.concat(F.octet_length(who).cast("string"), F.lit(":"), who, said), 256))
+    key = F.unhex(F.substring(F.sha2(F.concat(F.octet_length(who).cast("string"), F.lit(":"), who, said), 256), 1, 32))
     rows = conversations.filter(F.col(conv).isNotNull()).select(F.col(conv).cast("long").alias("c"), F.col(turn).alias("turn"), key.alias("key"), F.octet_length(said).cast("long").alias("bytes"))
     turns = ordered_rows(rows, ["c", F.asc_nulls_first("turn"), "key"], "turns")
     return turns, turns.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
@@ -48,7 +51,7 @@ def numbered_turns(conversations: DataFrame, conv: str = "conv_id", turn: str =
 def rebuilt(turns: DataFrame, convs: DataFrame, every: int = 5, most: int = 9) -> tuple[DataFrame, DataFrame]:
     """Conversations whose first turns come from another one: each starts with the first h turns of conversation c - c % ``every``, h = crc32(c) % ``most``.
 
-    Returns turns (c, pos, key, bytes) and conversations (c, total), both written.
+    Returns blocks of turns (c, block, turns: pos, key, bytes in order) and conversations (c, total), both written.
     """
     h = F.crc32(F.col("c").cast("string").cast("binary")) % most
     named = convs.select("c", "n", "first", (F.col("c") - F.col("c") % every).alias("b"), h.cast("long").alias("h"))
@@ -59,21 +62,29 @@ def rebuilt(turns: DataFrame, convs: DataFrame, every: int = 5, most: int = 9) -
     own = placed.filter("i > h").select("c", (F.col("taken") + F.col("i") - F.col("h")).alias("pos"), "key", "bytes")
     lent = placed.filter(F.col("i") < most).select(F.col("c").alias("b"), "i", "key", "bytes")
     borrowed = lent.join(known.select("c", "b", "h"), "b").filter("i <= h").select("c", F.col("i").alias("pos"), "key", "bytes")
-    return materialize(own.unionByName(borrowed).repartitionByRange("pos", "c").sortWithinPartitions("pos", "c"), "rebuilt"), known.select("c", "total")
+    block = F.floor((F.col("pos") - 1) / BLOCK).cast("long")
+    # at most ``BLOCK`` turns a group
+    blocks = own.unionByName(borrowed).groupBy("c", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "key", "bytes"))).alias("turns"))
+    return materialize(blocks.sortWithinPartitions("block"), "blocks"), known.select("c", "total")
 
 
-def refine(turns: DataFrame, convs: DataFrame, root: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def refine(blocks: DataFrame, convs: DataFrame, root: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Per depth from 1: the groups (cls, key, node, n, bytes, total) of its round; per depth from 0: members (c, cls, total) of active classes."""
     active, groups = [convs.select("c", F.lit(root).cast("long").alias("cls"), "total")], []
     while True:
         depth = len(active)
-        going = active[-1].filter(F.col("total") >= depth).join(turns.filter(F.col("pos") == depth).select("c", "key", "bytes"), "c")
+        going = active[-1].filter(F.col("total") >= depth)
+        if depth % BLOCK == 1 % BLOCK:
+            going = going.select("c", "cls", "total").join(blocks.filter(F.col("block") == (depth - 1) // BLOCK).select("c", "turns"), "c")
+        turn = F.col("turns")[(depth - 1) % BLOCK]
+        going = going.select("c", "cls", "total", "turns", turn["key"].alias("key"), turn["bytes"].alias("bytes"))
         level = materialize(going.groupBy("cls", "key").agg(F.min("c").alias("node"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.max("total").alias("total")), "classes")
         groups.append(level)
         split = level.filter("n > 1").select("cls", "key", "node")
         if split.isEmpty():
             return groups, active
-        active.append(materialize(going.join(split, ["cls", "key"]).select("c", F.col("node").alias("cls"), "total"), "members"))
+        # classes are read from their table, so that Spark can split a class that holds most members
+        active.append(materialize(going.join(split, ["cls", "key"]).select("c", F.col("node").alias("cls"), "total", "turns"), "members"))
 
 
 def fold(groups: list[DataFrame]) -> tuple[list[DataFrame], DataFrame]:
@@ -143,12 +154,12 @@ def ends_digests(ends: DataFrame) -> DataFrame:
     return pieces.repartition("depth", "cls").sortWithinPartitions("depth", "cls", "first").mapInArrow(_digest, "depth long, cls long, ends string")
 
 
-def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
-    """One row a node (columns of ``NODE_SCHEMA``) of the trie over turns (c, pos from 1, key, bytes) and conversations (c, total)."""
+def trie(blocks: DataFrame, convs: DataFrame) -> DataFrame:
+    """One row a node (columns of ``NODE_SCHEMA``) of the trie over blocks of turns and conversations, as :func:`rebuilt` gives them."""
     whole = convs.agg(F.min("c").alias("root"), F.count(F.lit(1)).alias("n")).first()
     if not whole["n"]:
         return convs.sparkSession.createDataFrame([], NODE_SCHEMA)
-    groups, active = refine(turns, convs, whole["root"])
+    groups, active = refine(blocks, convs, whole["root"])
     shared, below = fold(groups)
     long = lambda x: F.lit(x).cast("long")
     # sums below the root: one row, or none if no conversation has a turn
@@ -160,7 +171,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     digests = ends_digests(ends).select(F.col("cls").alias("node"), "depth", "ends")
     inner = nodes.join(digests, ["node", "depth"], "left").select("node", "depth", "parent", "n", "n_children", "n_leaves", "saved", F.coalesce("ends", F.lit(EMPTY)).alias("ends"))
     alone = functools.reduce(DataFrame.unionByName, [x.filter("n = 1").select(F.col("node").alias("c"), "cls", "total", long(d).alias("begin")) for d, x in enumerate(groups, 1)])
-    chain = turns.select("c", "pos").join(alone, "c").filter("pos >= begin")
+    chain = blocks.select("c", F.col("turns.pos").alias("at")).join(alone, "c").select("c", "cls", "total", "begin", F.explode("at").alias("pos")).filter("pos >= begin")
     tail = F.when(F.col("pos") == F.col("total"), F.sha2(F.col("c").cast("string").cast("binary"), 256)).otherwise(F.lit(EMPTY))
     tails = chain.select(F.col("c").alias("node"), F.col("pos").alias("depth"), F.when(F.col("pos") == F.col("begin"), F.col("cls")).otherwise(F.col("c")).alias("parent"), long(1).alias("n"), (F.col("pos") < F.col("total")).cast("long").alias("n_children"), long(1).alias("n_leaves"), long(0).alias("saved"), tail.alias("ends"))
     return inner.unionByName(tails).toDF(*[c.split()[0] for c in NODE_SCHEMA.split(", ")])

@@ -169,7 +169,7 @@ CRC = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda a, b: xor(tab[
 
 OP12 = f"""
 WITH {CRC_TABLE},
-t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS i, key, bytes FROM (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS i, key, bytes FROM (SELECT conv_id AS c, turn, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS key, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)),
 n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
 conv AS (SELECT n.c, n.n, n.c - n.c % 5 AS b, {CRC.format(bytes="list_transform(string_split(CAST(n.c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 9 AS h FROM n, crc),
 known AS (SELECT conv.*, least(h, coalesce(m.n, 0)) AS taken FROM conv LEFT JOIN n m ON m.c = conv.b),
