@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def clean(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in float and double columns, so both count as missing everywhere."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[F.when(~F.isnan(named(c)), named(c)).alias(c) if c in floats else named(c) for c in df.columns])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -28,5 +33,5 @@ def ratio(a: Column, b: Column) -> Column:
 
 def one_row_to_long(row: DataFrame, columns: list[str], metrics: list[str]) -> DataFrame:
     """Turns a one-row table with columns ``metric__i`` into (column_name, metric...)."""
-    parts = ", ".join(f"'{c}', " + ", ".join(f"{m}__{i}" for m in metrics) for i, c in enumerate(columns))
-    return row.selectExpr(f"stack({len(columns)}, {parts}) as (column_name, {', '.join(metrics)})")
+    cells = [x for i, c in enumerate(columns) for x in (F.lit(c), *[F.col(f"{m}__{i}") for m in metrics])]
+    return row.select(F.stack(F.lit(len(columns)), *cells).alias("column_name", *metrics))

@@ -1,4 +1,9 @@
-"""Statistics of run-time and memory measurements, outlier flags, and the complexity class that fits them."""
+"""Statistics of run-time and memory measurements, outlier flags, and the complexity class that fits them.
+
+Nulls and edges, unless a function says otherwise: null measurements are left out and a group without any has null statistics; a null key is a group of its
+own; repeated rows are measurements of their own; an empty table gives an empty result; extra columns are ignored. Medians and
+percentiles are exact and come from :mod:`fieldglass.operators.quantile`, which holds no group's values.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.guards import ratio
+from fieldglass.operators.quantile import with_quantiles
 
 #: Complexity classes from the cheapest to the dearest, each with its growth as SQL over n.
 CLASSES = [("O(1)", "1.0D"), ("O(log n)", "ln(n)"), ("O(n)", "n"), ("O(n log n)", "n * ln(n)"), ("O(n^2)", "n * n"), ("O(n^3)", "n * n * n"), ("O(2^n)", "pow(2.0D, n)")]
@@ -17,16 +23,16 @@ def stats(df: DataFrame, keys: Sequence[str], value: str, with_cv: bool = True)
     """keys, n, min, max, mean, median, stdev, variance (sample; 0 for fewer than two), cv."""
     v = F.col(value)
     zero = lambda c: F.when(F.count(v) > 1, c).otherwise(F.lit(0.0))
-    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), zero(F.stddev_samp(v)).alias("stdev"), zero(F.var_samp(v)).alias("variance"))
+    out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), zero(F.stddev_samp(v)).alias("stdev"), zero(F.var_samp(v)).alias("variance"))
+    out = with_quantiles(out, df, keys, v, [0.5], ["median"]).select(*keys, "n", "min", "max", "mean", "median", "stdev", "variance")
     return out.withColumn("cv", F.coalesce(ratio(F.col("stdev"), F.col("mean")), F.lit(0.0))) if with_cv else out
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float] = (0.9, 0.95, 0.99)) -> DataFrame:
     """keys, mean, std (population), min, max and one column ``p90``... per percentile."""
     v = F.col(value)
-    p = F.percentile(v, F.array(*[F.lit(x) for x in at]))
-    out = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), p.alias("p"))
-    return out.select(*keys, "mean", "std", "min", "max", *[F.col("p")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(at)])
+    out = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_quantiles(out, df, keys, v, at, [f"p{round(100 * x)}" for x in at])
 
 
 def batch_stats(df: DataFrame, size: str, seconds: str) -> DataFrame:
@@ -39,11 +45,14 @@ def batch_stats(df: DataFrame, size: str, seconds: str) -> DataFrame:
 def outlier_flags(df: DataFrame, keys: Sequence[str], value: str, method: str = "iqr", k: float = 1.5) -> DataFrame:
     """Adds ``is_outlier`` by interquartile range or z-score within each group (strict; none in groups of fewer than 4 or without spread)."""
     v = F.col(value)
-    facts = df.groupBy(*[F.col(c).alias(f"g_{c}") for c in keys]).agg(F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
+    groups = [f"g_{c}" for c in keys]
+    facts = df.groupBy(*[F.col(c).alias(g) for c, g in zip(keys, groups)]).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"))
+    if method == "iqr":
+        facts = with_quantiles(facts, df.select(*[F.col(c).alias(g) for c, g in zip(keys, groups)], v.alias("v_")), groups, F.col("v_"), [0.25, 0.75], ["q1", "q3"])
     joined = df.join(facts, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in keys])
-    spread = F.col("q")[1] - F.col("q")[0]
     if method == "iqr":
-        flag = (v < F.col("q")[0] - k * spread) | (v > F.col("q")[1] + k * spread)
+        spread = F.col("q3") - F.col("q1")
+        flag = (v < F.col("q1") - k * spread) | (v > F.col("q3") + k * spread)
     else:
         flag = (F.col("s") > 0) & (F.abs(v - F.col("m")) > k * F.col("s"))
     return joined.withColumn("is_outlier", (F.col("n") >= 4) & F.coalesce(flag, F.lit(False))).select(*df.columns, "is_outlier")
@@ -94,13 +103,38 @@ def highest_complexity(df: DataFrame, keys: Sequence[str], text: str) -> DataFra
 
 def robust_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, median, mad, robust_cv = 1.4826 * mad / median."""
-    v = F.col(value)
-    med = df.groupBy(*[F.col(k).alias(f"g_{k}") for k in keys]).agg(F.percentile(v, F.lit(0.5)).alias("median"))
-    joined = df.join(med, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
-    out = joined.groupBy(*keys).agg(F.max("median").alias("median"), F.percentile(F.abs(v - F.col("median")), F.lit(0.5)).alias("mad"))
+    v, groups = F.col(value).cast("double"), [f"g_{k}" for k in keys]
+    every = df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)]).distinct()
+    med = with_quantiles(every, df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], v.alias("v_")), groups, F.col("v_"), [0.5], ["median"])
+    joined = df.select(*keys, v.alias("v_")).join(med, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
+    out = joined.groupBy(*keys).agg(F.max("median").alias("median"))
+    out = with_quantiles(out, joined.select(*keys, F.abs(F.col("v_") - F.col("median")).alias("away_")), keys, F.col("away_"), [0.5], ["mad"])
     return out.withColumn("robust_cv", ratio(F.col("mad") * 1.4826, F.col("median")))
 
 
+#: Weights of fit, low spread and plausible slope in the quality of a memory fit; the least growth that counts.
+FIT_WEIGHT, SPREAD_WEIGHT, SLOPE_WEIGHT, LEAST_GROWTH = 0.4, 0.3, 0.3, 1e-6
+
+
+def memory_scaling(df: DataFrame, keys: Sequence[str], size: str, used: str, baseline: Column | float = 0.0) -> DataFrame:
+    """keys, per_sample (median of growth over the baseline, per unit of size), spread (its robust CV), slope, r2, quality.
+
+    Growth that is linear in size has quality 1: a blend of the line's fit, the spread of the growth per unit, and how far the line's slope is from
+    the median growth per unit. Rows without a positive size or a measurement are left out; growth below the least counts as the least.
+    """
+    base = baseline if isinstance(baseline, Column) else F.lit(float(baseline))
+    x = F.col(size).cast("double")
+    grown = df.filter(F.col(used).isNotNull()).select(*keys, x.alias("x_"), F.greatest(F.col(used).cast("double") - base, F.lit(LEAST_GROWTH)).alias("y_")).filter("x_ > 0")
+    middle = robust_stats(grown.withColumn("each_", F.col("y_") / F.col("x_")), keys, "each_")
+    line = grown.groupBy(*[F.col(k).alias(f"l_{k}") for k in keys]).agg(F.regr_slope("y_", "x_").alias("slope"), F.regr_sxx("y_", "x_").alias("sxx"), F.regr_sxy("y_", "x_").alias("sxy"), F.regr_syy("y_", "x_").alias("syy"))
+    both = middle.join(line, [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in keys]) if keys else middle.crossJoin(line)
+    spread = F.col("mad") * 1.4826 / (F.col("median") + 1e-6)
+    r2 = 1 - (F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")) / (F.col("syy") + 1e-10)
+    plausible = 1 - F.least(F.abs(F.col("slope") - F.col("median")) / (F.col("median") + 1e-10), F.lit(1.0))
+    quality = FIT_WEIGHT * F.greatest(r2, F.lit(0.0)) + SPREAD_WEIGHT / (1 + spread) + SLOPE_WEIGHT * plausible
+    return both.select(*keys, F.col("median").alias("per_sample"), spread.alias("spread"), "slope", r2.alias("r2"), quality.alias("quality"))
+
+
 def deltas(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """Adds ``delta_s``: seconds since the row before in the group."""
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6

@@ -76,6 +76,16 @@ def ms_robust_stats(spark, sf_dir):
     return rounded(measure.robust_stats(_events(spark, sf_dir), ["event_type"], "value"))
 
 
+def ms_memory_scaling(spark, sf_dir):
+    """Prices as memory that grows with the quantity, by discount and by supplier; suppliers hold few rows, discounts many."""
+    li = read(spark, sf_dir, "lineitem")
+    out = None
+    for key in ("l_discount", "l_suppkey"):
+        part = measure.memory_scaling(li.withColumn("k", F.col(key).cast("double")), ["k"], "l_quantity", "l_extendedprice", 100.0).withColumn("grouping", F.lit(key))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.filter("slope is not null"), 4)
+
+
 def ms_deltas(spark, sf_dir):
     out = measure.deltas(_events(spark, sf_dir).withColumn("ts2", F.col("ts")), ["user_id"], "ts2").groupBy("user_id").agg(F.max("delta_s").alias("max_delta_s"), F.count("delta_s").alias("n"))
     return rounded(out)
@@ -105,9 +115,9 @@ def ms_slow_functions(spark, sf_dir):
 
 
 def ms_monitor(spark, sf_dir):
-    # cents add up exactly, so the mean does not depend on the order of rows
-    mean = F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("value")
-    return rounded(_events(spark, sf_dir).groupBy(F.date_trunc("day", "ts").alias("day")).agg(mean.alias("avg_value"), F.max("value").alias("max_value"), F.countDistinct("user_id").alias("n_users")))
+    # a mean that lies midway between two roundings is moved off that point, so that the order of addition doesn't decide
+    out = _events(spark, sf_dir).groupBy(F.date_trunc("day", "ts").alias("day")).agg((F.avg("value") + 1e-9).alias("avg_value"), F.max("value").alias("max_value"), F.countDistinct("user_id").alias("n_users"))
+    return rounded(out)
 
 
 def th_history(spark, sf_dir):
@@ -244,12 +254,16 @@ ORACLES = {
     "ms_complexity_vectors": _fit(f"WITH {values_sql(VECTORS, VECTORS_SCHEMA, 'v')} SELECT name AS k, n, y FROM v", "name", 6),
     "ms_highest_complexity": "SELECT * FROM (VALUES ('a', 'O(n)'), ('b', 'O(n^2)'), ('c', 'O(2^n)'), ('d', 'Unknown')) t(name, complexity)",
     "ms_robust_stats": "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events GROUP BY 1) SELECT event_type, round(max(med), 6) AS median, round(quantile_cont(abs(value - med), 0.5), 6) AS mad, round(quantile_cont(abs(value - med), 0.5) * 1.4826 / nullif(max(med), 0), 6) AS robust_cv FROM events JOIN m USING (event_type) GROUP BY 1",
+    "ms_memory_scaling": "\nUNION ALL ".join(f"""SELECT k, '{key}' AS grouping, round(med, 4) AS per_sample, round(mad * 1.4826 / (med + 1e-6), 4) AS spread, round(slope, 4) AS slope, round(r2, 4) AS r2,
+      round(0.4 * greatest(r2, 0) + 0.3 / (1 + mad * 1.4826 / (med + 1e-6)) + 0.3 * (1 - least(abs(slope - med) / (med + 1e-10), 1)), 4) AS quality FROM (
+      SELECT k, any_value(med) AS med, quantile_cont(abs(y / x - med), 0.5) AS mad, regr_slope(y, x) AS slope, 1 - (regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (regr_syy(y, x) + 1e-10) AS r2 FROM (
+      SELECT CAST({key} AS DOUBLE) AS k, l_quantity AS x, greatest(l_extendedprice - 100, 1e-6) AS y, quantile_cont(greatest(l_extendedprice - 100, 1e-6) / l_quantity, 0.5) OVER (PARTITION BY {key}) AS med FROM lineitem WHERE l_quantity > 0) GROUP BY k) WHERE slope IS NOT NULL AND NOT isnan(slope)""" for key in ("l_discount", "l_suppkey")),
     "ms_deltas": "SELECT user_id, round(max(d), 6) AS max_delta_s, count(d) AS n FROM (SELECT user_id, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS d FROM events) GROUP BY 1",
     "ms_weighted_efficiency": "SELECT round(coalesce(sum(l_discount * l_quantity) FILTER (l_returnflag = 'R') / nullif(sum(l_quantity) FILTER (l_returnflag = 'R'), 0), 0), 6) AS efficiency FROM lineitem",
     "ms_speedups": "SELECT l_returnflag, l_linestatus, round(s, 6) AS seconds, round(min(s) OVER (PARTITION BY l_returnflag) / nullif(s, 0), 6) AS relative_speed FROM (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS s FROM lineitem GROUP BY ALL)",
     "ms_scaling": f"WITH {values_sql(SCALING, 'strategy string, devices int, throughput double', 'v')} SELECT strategy, devices, throughput, round(throughput / ((SELECT max(throughput) FROM v WHERE devices = 1) * devices), 6) AS efficiency FROM v",
     "ms_slow_functions": "SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY 1 HAVING avg(value) > 50 ORDER BY avg(value) DESC, user_id LIMIT 5",
-    "ms_monitor": "SELECT date_trunc('day', ts) AS day, round(CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(value), 6) AS avg_value, round(max(value), 6) AS max_value, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
+    "ms_monitor": "SELECT date_trunc('day', ts) AS day, round(avg(value) + 1e-9, 6) AS avg_value, round(max(value), 6) AS max_value, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
     "th_history": "SELECT event_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
     "th_date_range": "SELECT event_id, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09' AND event_type IN ('view', 'click')",
     "th_series_stats": "SELECT event_type, count(*) AS n, round(avg(v), 6) AS avg, round(max(v), 6) AS max, round(min(v), 6) AS min FROM (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN value ELSE 0 END AS v FROM events) GROUP BY 1",

@@ -247,11 +247,23 @@ _KS = f"""WITH {HALVES}, cell AS (SELECT value AS x, 1 AS r, 0 AS c FROM old UNI
   tail AS (SELECT *, CASE WHEN d <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * list_sum([(CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * d * d * (CAST(n_reference AS DOUBLE) * n_current / (n_reference + n_current))) FOR k IN range(1, 101)]))) END AS p FROM stat)
 SELECT n_reference, n_current, round(d, 6) AS d, round(p, 6) AS p_value, p < 0.05 AS drifted FROM tail"""
 
+
+
+def _ks(column: str) -> str:
+    return _KS.replace("SELECT value AS x", f"SELECT {column} AS x").replace("UNION ALL SELECT value, 0, 1", f"UNION ALL SELECT {column}, 0, 1")
+
+
 _SHARES = f"""WITH {HALVES}, r AS (SELECT event_type AS value, count(*) AS n FROM old WHERE event_type IS NOT NULL GROUP BY 1), c AS (SELECT event_type AS value, count(*) AS n FROM new WHERE event_type IS NOT NULL GROUP BY 1),
   cell AS (SELECT value, coalesce(r.n, 0) AS n_reference, coalesce(c.n, 0) AS n_current FROM r FULL JOIN c USING (value)),
   tot AS (SELECT sum(n_reference) AS tr, sum(n_current) AS tc FROM cell)"""
 
+_CHI = f"{_SHARES} SELECT sum(CASE WHEN n_reference = 0 THEN CASE WHEN n_current > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END ELSE pow(n_current - n_reference / tr * tc, 2) / (n_reference / tr * tc) END) AS statistic, count(*) - 1 AS dof, CASE WHEN count(*) FILTER (n_reference = 0 AND n_current > 0) > 0 THEN 'new category' END AS reason FROM cell, tot"
+#: The tail is a finite sum for even degrees of freedom, which the five event types give.
+_CHI_P = f"SELECT *, CASE WHEN dof % 2 = 0 THEN exp(-statistic / 2) * list_sum([pow(statistic / 2, i) / factorial(CAST(i AS INTEGER)) FOR i IN range(dof // 2)]) END AS p FROM ({_CHI})"
+
 ORACLES = {
+    "drift_chi_square_p": f"SELECT round(statistic, 6) AS statistic, dof, reason, round(p, 6) AS p_value, p < 0.05 AS drifted FROM ({_CHI_P})",
+    "drift_summary": f"WITH t AS (SELECT 'value' AS column_name, 'ks' AS test, d AS statistic, p_value, drifted FROM ({_ks('value')}) UNION ALL SELECT 'user_id', 'ks', d, p_value, drifted FROM ({_ks('user_id')}) UNION ALL SELECT 'event_type', 'chi_square', round(statistic, 6), round(p, 6), p < 0.05 FROM ({_CHI_P})) SELECT *, round((SELECT count(*) FROM t WHERE drifted) / 6, 6) AS drift_score FROM t",
     "dq_profile": "SELECT c.column_name, c.completeness, u.uniqueness, CAST(o.n_outliers AS DOUBLE) AS n_outliers FROM (" + _completeness("lineitem", LINEITEM_ALL) + ") c JOIN (" + _uniqueness("lineitem", LINEITEM_ALL) + ") u USING (column_name) LEFT JOIN (" + _outliers("lineitem", LINEITEM) + ") o USING (column_name)",
     "dq_basic_profile": "SELECT count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem",
     "dq_completeness": _completeness(LABELLED, LAB_COLS),
