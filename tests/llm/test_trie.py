@@ -16,7 +16,7 @@ def brute(rows):
     for c, turn, role, text in rows:
         if c is not None:
             role, text = role or "", text or ""
-            key = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()[:32]
+            key = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
             convs[c].append(((turn is not None, turn or 0, key), (role, text)))
     own = {c: [x for _, x in sorted(t)] for c, t in convs.items()}
     whole = {}
