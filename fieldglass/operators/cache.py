@@ -48,7 +48,7 @@ def _index(spark: SparkSession, path: str, versions: list[int], keys: Sequence[s
     """The live groups: of each the last version that changed it."""
     every = spark.read.parquet(*[f"{path}/index/{v}" for v in versions])
     last = Window.partitionBy(*keys).orderBy(F.desc("version"))  # a row a version that changed the group
-    return every.withColumn("k", F.row_number().over(last)).filter("k = 1 and not gone").drop("k", "gone")
+    return every.withColumn("newest_", F.row_number().over(last)).filter("newest_ = 1 and not gone").drop("newest_", "gone")
 
 
 def _result(spark: SparkSession, path: str, versions: list[int], keys: Sequence[str]) -> DataFrame:

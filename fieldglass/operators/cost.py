@@ -16,15 +16,17 @@ def provisioning(gpu_util: Column, memory_util: Column) -> Column:
 
 def instance_scores(prices: DataFrame, cost: float = 1.0, performance: float = 0.0, memory: float = 0.0) -> DataFrame:
     """Adds cost_score, performance_score, memory_score and their weighted sum ``score`` within each provider; weights are brought to sum 1."""
-    w = Window.partitionBy("provider")
     total = (cost + performance + memory) or 1.0
+    # one row a provider
+    most = prices.groupBy(F.col("provider").alias("of_")).agg(F.max("cost").alias("most_cost_"), F.max("ram").alias("most_ram_"))
+    prices = prices.join(most, F.col("provider").eqNullSafe(F.col("of_"))).drop("of_")
     kind = F.coalesce("gpu_type", F.lit(""))
     rank = F.when(kind.contains("A100"), 1.0).when(kind.contains("V100"), 0.8).when(kind.contains("A10G"), 0.7).when(kind.contains("T4"), 0.5).otherwise(0.0)
     scored = prices.withColumns({
-        "cost_score": 1 - ratio(F.col("cost"), F.max("cost").over(w)),
+        "cost_score": 1 - ratio(F.col("cost"), F.col("most_cost_")),
         "performance_score": rank * F.least(F.coalesce("gpus", F.lit(1)) / 8, F.lit(1.0)),
-        "memory_score": ratio(F.coalesce("ram", F.lit(0)), F.max("ram").over(w)),
-    })
+        "memory_score": ratio(F.coalesce("ram", F.lit(0)), F.col("most_ram_")),
+    }).drop("most_cost_", "most_ram_")
     return scored.withColumn("score", (F.col("cost_score") * cost + F.col("performance_score") * performance + F.col("memory_score") * memory) / total)
 
 

@@ -7,55 +7,41 @@ from pyspark.sql import functions as F
 from fieldglass import reftables as ref
 from fieldglass.operators import advice, textscan
 from fieldglass.plans import rules
+from fieldglass.plans.facts import derived, derived_sql
 from fieldglass.plans.quality import read, rounded
 
-FOUND_SCHEMA = "pattern string, line int, function string"
-FOUND = [("nested_loop_with_numpy", 4, "pairs"), ("pytorch_lstm_loop", 9, "run"), ("pytorch_lstm_loop", 31, None), ("unheard_of", 2, "f"), (None, 5, "g")]
-RUNS_SCHEMA = "name string, big_o string, architecture string, memory_mb double, slowest_s double, source string"
-RUNS = [("sort", "O(n^2)", "unknown", 12.0, 0.02, "for x in y: return x"), ("fib", "O(2^n)", "unknown", None, 0.4, "return fib(n - 1)"), ("denoise", "O(n)", "diffusion", 51.0, 0.1, None), ("big", "O(n^3)", "transformer", 101.0, None, "while x: pass"), ("none", None, None, None, None, None)]
-MODELS_SCHEMA = "model string, params long, architecture string, heads int, layer_kinds array<string>, memory_mb double, framework string"
-MODELS = [("bert", 110000000, "Transformer", 12, ["Linear", "LayerNorm"], 1400.0, "pytorch"), ("edge", 10000000, "Transformer", 8, None, 1024.0, "tensorflow"), ("resnet", 11700000, "CNN", None, ["Conv2d", "BatchNorm2d"], 90.0, "pytorch"), ("plain", 60000, "CNN", None, ["Conv2d", None], 3.0, None), ("unlisted", None, None, None, None, None, None)]
-LOOPS_SCHEMA = "snippet_id string, line int, depth int, vectorizable boolean, reason string"
-LOOPS = [("a", 3, 1, True, "Arithmetic operations in loop"), ("a", 9, 2, True, "Iterating over NumPy array"), ("b", 2, 1, True, "List comprehension"), ("b", 7, 3, False, "calls with effects"), ("b", 5, 2, True, None), ("c", 1, None, None, "pandas rows")]
-IMPORTS_SCHEMA = "snippet_id string, module string"
-IMPORTS = [("a", "numpy"), ("a", "os"), ("b", "pandas"), ("b", None)]
-SNIPPETS = [("loader", "import torch\nfor batch in dataloader:\n    batch.cuda()\n"), ("graph", "import tensorflow as tf\nx = tf.placeholder()\nwith tf.Session() as s:\n    pass\n"), ("loop", "import jax\nFOR i in range(3): jnp.ones(i)\n"), ("both", "import torch, jax\nfor i in range(2): x.cuda()\n"), ("plain", "for row in dataset: pass\n"), ("null", None)]
-EVIDENCE_SCHEMA = "rule string, time_impact double, memory_impact double"
-EVIDENCE = [("pandas_iterrows", 2.5, 1.8), ("loader_workers", 3.0, None), ("item_in_loop", None, None)]
-MEASURED_SCHEMA = "model string, bytes double, batch int"
-MEASURED = [("small", 1048576.0, 1), ("middle", 734003200.0, 32), ("huge", 2199023255552.0, 8), ("unset", 4096.0, None), ("missing", None, 4)]
 
 
 def ad_pattern_advice(spark, sf_dir):
-    return advice.pattern_advice(spark.createDataFrame(FOUND, FOUND_SCHEMA))
+    return advice.pattern_advice(derived(spark, sf_dir, "found"))
 
 
 def ad_framework_issues(spark, sf_dir):
-    return advice.framework_issues(spark.createDataFrame(SNIPPETS, ref.CODE_SCHEMA))
+    return advice.framework_issues(derived(spark, sf_dir, "code"))
 
 
 def ad_compression_openings(spark, sf_dir):
-    return advice.compression_openings(ref.code(spark))
+    return advice.compression_openings(derived(spark, sf_dir, "code"))
 
 
 def ad_platform_advice(spark, sf_dir):
-    return advice.platform_advice(ref.code(spark))
+    return advice.platform_advice(derived(spark, sf_dir, "code"))
 
 
 def ad_complexity_advice(spark, sf_dir):
-    return advice.complexity_advice(spark.createDataFrame(RUNS, RUNS_SCHEMA))
+    return advice.complexity_advice(derived(spark, sf_dir, "runs"))
 
 
 def ad_model_advice(spark, sf_dir):
-    return advice.model_advice(spark.createDataFrame(MODELS, MODELS_SCHEMA))
+    return advice.model_advice(derived(spark, sf_dir, "advised_models"))
 
 
 def ad_loop_advice(spark, sf_dir):
-    return advice.loop_advice(spark.createDataFrame(LOOPS, LOOPS_SCHEMA), spark.createDataFrame(IMPORTS, IMPORTS_SCHEMA))
+    return advice.loop_advice(derived(spark, sf_dir, "loops"), derived(spark, sf_dir, "imports"))
 
 
 def ad_rule_suggestions(spark, sf_dir):
-    return advice.rule_suggestions(rules.tx_regex_rules(spark, sf_dir), spark.createDataFrame(EVIDENCE, EVIDENCE_SCHEMA))
+    return advice.rule_suggestions(rules.tx_regex_rules(spark, sf_dir), derived(spark, sf_dir, "evidence"))
 
 
 def ad_tensor_core_share(spark, sf_dir):
@@ -77,7 +63,7 @@ def ad_human_bytes(spark, sf_dir):
 
 
 def ad_memory_sweep(spark, sf_dir):
-    return rounded(advice.memory_sweep(spark.createDataFrame(MEASURED, MEASURED_SCHEMA)))
+    return rounded(advice.memory_sweep(derived(spark, sf_dir, "measured")), 1)
 
 
 def ad_version_stamp(spark, sf_dir):
@@ -102,11 +88,11 @@ def _fired(source: str, key: str, *cases: tuple[str, str, str, str]) -> str:
 
 
 ORACLES = {
-    "ad_pattern_advice": f"WITH {_v(FOUND, FOUND_SCHEMA, 'f')}, {_v(advice.PATTERN_ADVICE, advice.PATTERN_ADVICE_SCHEMA, 'p')} SELECT * FROM f JOIN p USING (pattern)",
-    "ad_framework_issues": f"WITH {_v(SNIPPETS, ref.CODE_SCHEMA, 'x')}, {_v(advice.ISSUES, advice.ISSUES_SCHEMA, 'p')}, u AS (" + " UNION ALL ".join(f"SELECT snippet_id, '{n}' AS framework FROM x WHERE regexp_matches(code, {rules._q('(?i)' + t)})" for n, t in textscan.FRAMEWORKS) + ") SELECT snippet_id, framework, pattern, suggestion FROM x JOIN u USING (snippet_id) JOIN p USING (framework) WHERE regexp_matches(code, '(?i)' || pattern)",
-    "ad_compression_openings": f"WITH {_v(ref.CODE, ref.CODE_SCHEMA, 'x')}, {_v(advice.TOOLS, advice.TOOLS_SCHEMA, 't')}, i AS {_INFERRED}, o AS (SELECT i.snippet_id, technique, framework, implementation FROM i JOIN t ON i.name = t.framework WHERE kind = 'framework' UNION ALL SELECT snippet_id, technique, 'any', NULL FROM x CROSS JOIN (SELECT DISTINCT technique FROM t) WHERE snippet_id NOT IN (SELECT snippet_id FROM i WHERE kind = 'framework')) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.snippet_id = o.snippet_id AND i.kind = 'compression' AND i.name = o.technique)",
-    "ad_platform_advice": f"WITH {_v(ref.CODE, ref.CODE_SCHEMA, 'x')}, {_v(advice.PLATFORM, advice.PLATFORM_SCHEMA, 'p')}, i AS {_INFERRED} SELECT snippet_id, kind, name, recommendation FROM (SELECT snippet_id, kind, name FROM i WHERE kind IN ('hardware', 'cloud') UNION ALL SELECT snippet_id, 'cloud', 'general' FROM x WHERE snippet_id NOT IN (SELECT snippet_id FROM i WHERE kind = 'cloud')) JOIN p USING (kind, name)",
-    "ad_complexity_advice": f"WITH {_v(RUNS, RUNS_SCHEMA, 'r')} " + _fired(
+    "ad_pattern_advice": f"WITH {derived_sql("found", "f")}, {_v(advice.PATTERN_ADVICE, advice.PATTERN_ADVICE_SCHEMA, 'p')} SELECT * FROM f JOIN p USING (pattern)",
+    "ad_framework_issues": f"WITH {derived_sql("code", "x")}, {_v(advice.ISSUES, advice.ISSUES_SCHEMA, 'p')}, u AS (" + " UNION ALL ".join(f"SELECT snippet_id, '{n}' AS framework FROM x WHERE regexp_matches(code, {rules._q('(?i)' + t)})" for n, t in textscan.FRAMEWORKS) + ") SELECT snippet_id, framework, pattern, suggestion FROM x JOIN u USING (snippet_id) JOIN p USING (framework) WHERE regexp_matches(code, '(?i)' || pattern)",
+    "ad_compression_openings": f"WITH {derived_sql("code", "x")}, {_v(advice.TOOLS, advice.TOOLS_SCHEMA, 't')}, i AS {_INFERRED}, o AS (SELECT i.snippet_id, technique, framework, implementation FROM i JOIN t ON i.name = t.framework WHERE kind = 'framework' UNION ALL SELECT snippet_id, technique, 'any', NULL FROM x CROSS JOIN (SELECT DISTINCT technique FROM t) WHERE snippet_id NOT IN (SELECT snippet_id FROM i WHERE kind = 'framework')) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.snippet_id = o.snippet_id AND i.kind = 'compression' AND i.name = o.technique)",
+    "ad_platform_advice": f"WITH {derived_sql("code", "x")}, {_v(advice.PLATFORM, advice.PLATFORM_SCHEMA, 'p')}, i AS {_INFERRED} SELECT snippet_id, kind, name, recommendation FROM (SELECT snippet_id, kind, name FROM i WHERE kind IN ('hardware', 'cloud') UNION ALL SELECT snippet_id, 'cloud', 'general' FROM x WHERE snippet_id NOT IN (SELECT snippet_id FROM i WHERE kind = 'cloud')) JOIN p USING (kind, name)",
+    "ad_complexity_advice": f"WITH {derived_sql("runs", "r")} " + _fired(
         "r", "name",
         ("architecture <> 'unknown'", "architecture", "info", "architecture detected"),
         ("architecture = 'diffusion'", "optimization", "medium", "distil sampling steps, low-rank adapters, half precision"),
@@ -118,7 +104,7 @@ ORACLES = {
         ("big_o LIKE '%2^n%' AND source LIKE '%return%'", "optimization", "high", "memoize"),
         ("big_o LIKE '%n^%' AND source LIKE '%for%'", "optimization", "medium", "parallelize or vectorize the loops"),
     ),
-    "ad_model_advice": f"WITH {_v(MODELS, MODELS_SCHEMA, 'm')} " + _fired(
+    "ad_model_advice": f"WITH {derived_sql("advised_models", "m")} " + _fired(
         "m", "model",
         ("params > 10000000", "optimization", "high", "quantize"),
         ("architecture = 'Transformer'", "performance", "medium", "use an inference runtime"),
@@ -128,12 +114,12 @@ ORACLES = {
         ("framework = 'pytorch'", "deployment", "low", "export a compiled script"),
         ("framework = 'tensorflow'", "deployment", "low", "export to a tensor runtime"),
     ),
-    "ad_loop_advice": f"WITH {_v(LOOPS, LOOPS_SCHEMA, 'l')}, {_v(IMPORTS, IMPORTS_SCHEMA, 'm')}, k AS (SELECT *, CASE WHEN reason ILIKE '%arithmetic%' THEN 1 WHEN reason ILIKE '%comprehension%' THEN 2 WHEN reason ILIKE '%iterating over numpy%' OR reason ILIKE '%pandas%' THEN 3 END AS kind FROM l) SELECT snippet_id, line, 'vectorization' AS type, CASE kind WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'high' END AS severity, CASE kind WHEN 1 THEN 'vectorize arithmetic' WHEN 2 THEN 'replace the comprehension' ELSE 'do not iterate over arrays or frames' END AS advice FROM k WHERE vectorizable AND kind IS NOT NULL UNION ALL SELECT snippet_id, min(line), 'vectorization', 'high', 'vectorize nested loops' FROM l WHERE depth > 1 GROUP BY 1 UNION ALL SELECT snippet_id, min(line), 'import', 'medium', 'import numpy' FROM l WHERE snippet_id NOT IN (SELECT snippet_id FROM m WHERE module = 'numpy') GROUP BY 1",
-    "ad_rule_suggestions": f"WITH {_v(EVIDENCE, EVIDENCE_SCHEMA, 'e')}, f AS ({rules.ORACLES['tx_regex_rules']}) SELECT snippet_id, array_to_string(list_transform(string_split(rule, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS title, severity, 1.0::DOUBLE AS confidence, CASE WHEN time_impact IS NULL AND memory_impact IS NULL THEN 'rule' ELSE 'profiler' END AS source, 'Rule-based detection: ' || rule || coalesce(chr(10) || format('Profiling evidence: {{:.1f}}x slower execution', time_impact), '') || coalesce(chr(10) || format('Memory impact: {{:.1f}}x higher memory usage', memory_impact), '') AS reason FROM f LEFT JOIN e USING (rule)".replace("{{", "{").replace("}}", "}"),
+    "ad_loop_advice": f"WITH {derived_sql("loops", "l")}, {derived_sql("imports", "m")}, k AS (SELECT *, CASE WHEN reason ILIKE '%arithmetic%' THEN 1 WHEN reason ILIKE '%comprehension%' THEN 2 WHEN reason ILIKE '%iterating over numpy%' OR reason ILIKE '%pandas%' THEN 3 END AS kind FROM l) SELECT snippet_id, line, 'vectorization' AS type, CASE kind WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'high' END AS severity, CASE kind WHEN 1 THEN 'vectorize arithmetic' WHEN 2 THEN 'replace the comprehension' ELSE 'do not iterate over arrays or frames' END AS advice FROM k WHERE vectorizable AND kind IS NOT NULL UNION ALL SELECT snippet_id, min(line), 'vectorization', 'high', 'vectorize nested loops' FROM l WHERE depth > 1 GROUP BY 1 UNION ALL SELECT snippet_id, min(line), 'import', 'medium', 'import numpy' FROM l WHERE snippet_id NOT IN (SELECT snippet_id FROM m WHERE module = 'numpy') GROUP BY 1",
+    "ad_rule_suggestions": f"WITH {derived_sql("evidence", "e")}, f AS ({rules.ORACLES['tx_regex_rules']}) SELECT snippet_id, array_to_string(list_transform(string_split(rule, '_'), lambda x: upper(x[1]) || x[2:]), ' ') AS title, severity, 1.0::DOUBLE AS confidence, CASE WHEN time_impact IS NULL AND memory_impact IS NULL THEN 'rule' ELSE 'profiler' END AS source, 'Rule-based detection: ' || rule || coalesce(chr(10) || format('Profiling evidence: {{:.1f}}x slower execution', time_impact), '') || coalesce(chr(10) || format('Memory impact: {{:.1f}}x higher memory usage', memory_impact), '') AS reason FROM f LEFT JOIN e USING (rule)".replace("{{", "{").replace("}}", "}"),
     "ad_tensor_core_share": "SELECT l_suppkey, round(coalesce(count(*) FILTER (l_quantity % 2 = 0 AND l_extendedprice < 20000) / nullif(count(*) FILTER (l_quantity % 2 = 0), 0), 0), 6) AS share FROM lineitem GROUP BY 1",
     "ad_top_bound_ops": "WITH o AS (SELECT l_returnflag AS model, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pos, l_partkey || '-' || l_suppkey AS op, CASE WHEN l_discount > 0.05 THEN 'memory' ELSE 'compute' END AS bound FROM lineitem), b AS (SELECT model, CASE WHEN count(*) FILTER (bound = 'memory') > count(*) FILTER (bound = 'compute') THEN 'memory' ELSE 'compute' END AS bound FROM o GROUP BY 1) SELECT model, bound, pos, op FROM o JOIN b USING (model, bound) QUALIFY row_number() OVER (PARTITION BY model ORDER BY pos, op) <= 5",
     "ad_human_bytes": f"SELECT o_orderkey, {_HUMAN} AS size FROM (SELECT o_orderkey, CAST(CAST(pow(CAST(floor(o_totalprice) AS DOUBLE), o_orderkey % 3 + 1) AS BIGINT) AS DOUBLE) AS b FROM orders)",
-    "ad_memory_sweep": f"WITH {_v(MEASURED, MEASURED_SCHEMA, 'm')} SELECT model, batch, round(b, 6) AS bytes, {_HUMAN} AS human FROM (SELECT model, t AS batch, f + t * (bytes - f) / greatest(coalesce(batch, 1), 1) AS b FROM (SELECT *, bytes * CASE WHEN batch > 1 THEN 0.2 ELSE 0.5 END AS f FROM m WHERE bytes IS NOT NULL), (SELECT unnest({list(advice.BATCHES)}) AS t))",
+    "ad_memory_sweep": f"WITH {derived_sql("measured", "m")} SELECT model, batch, round(b, 1) AS bytes, {_HUMAN} AS human FROM (SELECT model, t AS batch, f + t * (bytes - f) / greatest(coalesce(batch, 1), 1) AS b FROM (SELECT *, bytes * CASE WHEN batch > 1 THEN 0.2 ELSE 0.5 END AS f FROM m WHERE bytes IS NOT NULL), (SELECT unnest({list(advice.BATCHES)}) AS t))",
     "ad_version_stamp": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS version FROM events",
     "ad_fingerprints": "SELECT l_orderkey AS model, md5(string_agg(coalesce(l_returnflag, '') || ':' || coalesce(CAST(l_partkey AS VARCHAR), ''), ',' ORDER BY l_linenumber, coalesce(l_returnflag, '') || ':' || coalesce(CAST(l_partkey AS VARCHAR), ''))) AS fingerprint FROM lineitem GROUP BY 1",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass.operators import measure, registry, telemetry
+from fieldglass.plans.facts import derived, derived_sql
 from fieldglass.plans.quality import read, rounded
 from fieldglass.reftables import values_sql
 
@@ -57,19 +58,16 @@ def ms_complexity_fit(spark, sf_dir):
     return rounded(measure.best_complexity(totals, ["event_type"], "size", "total"), 4)
 
 
-VECTORS = [("const", 10.0, 1.0), ("const", 20.0, 1.0), ("const", 30.0, 1.0), ("const", 40.0, 1.0), ("const", 50.0, 1.0), ("linear", 10.0, 10.0), ("linear", 20.0, 20.0), ("linear", 30.0, 30.0), ("linear", 40.0, 40.0), ("linear", 50.0, 50.0), ("square", 10.0, 100.0), ("square", 20.0, 400.0), ("square", 30.0, 900.0), ("square", 40.0, 1600.0), ("square", 50.0, 2500.0), ("short", 1.0, 1.0), ("short", 2.0, 2.0)]
-VECTORS_SCHEMA = "name string, n double, y double"
 
 
 def ms_complexity_vectors(spark, sf_dir):
-    return rounded(measure.best_complexity(spark.createDataFrame(VECTORS, VECTORS_SCHEMA), ["name"], "n", "y"))
+    return rounded(measure.best_complexity(derived(spark, sf_dir, "vectors"), ["name"], "n", "y"))
 
 
-MENTIONS = [("a", "O(1)"), ("a", "O(n)"), ("b", "O(n^2)"), ("b", "O(n log n)"), ("c", "O(n) or O(2^n)"), ("d", "unclear")]
 
 
 def ms_highest_complexity(spark, sf_dir):
-    return measure.highest_complexity(spark.createDataFrame(MENTIONS, "name string, said string"), ["name"], "said")
+    return measure.highest_complexity(derived(spark, sf_dir, "mentions"), ["name"], "said")
 
 
 def ms_robust_stats(spark, sf_dir):
@@ -101,11 +99,10 @@ def ms_speedups(spark, sf_dir):
     return rounded(measure.speedups(per, ["l_returnflag"], "seconds"))
 
 
-SCALING = [("ddp", 1, 100.0), ("ddp", 2, 180.0), ("ddp", 4, 320.0), ("ddp", 8, 560.0)]
 
 
 def ms_scaling(spark, sf_dir):
-    return rounded(measure.scaling_efficiency(spark.createDataFrame(SCALING, "strategy string, devices int, throughput double"), "devices", "throughput"))
+    return rounded(measure.scaling_efficiency(derived(spark, sf_dir, "scaling"), "devices", "throughput"))
 
 
 def ms_slow_functions(spark, sf_dir):
@@ -197,26 +194,20 @@ def rg_merge_metadata(spark, sf_dir):
     return out.select("n_nationkey", *[F.try_element_at("meta", F.lit(k)).alias(k) for k in ("name", "region", "extra")])
 
 
-SUGGESTIONS_SCHEMA = "category string, priority int, description string, confidence_score double"
-SUGGESTIONS = [("memory", 5, "use checkpointing", 0.9), ("memory", 2, "smaller buffers", 0.8), ("speed", 4, "compile the model", 0.95), ("speed", 3, "raise the batch size", 0.7), ("data", 1, "prefetch", 0.8)]
 
 
 def rg_suggestion_filter(spark, sf_dir):
-    return registry.suggestion_filter(spark.createDataFrame(SUGGESTIONS, SUGGESTIONS_SCHEMA), None, 3, 0.8)
+    return registry.suggestion_filter(derived(spark, sf_dir, "suggestions"), None, 3, 0.8)
 
 
 def rg_suggestions_by_category(spark, sf_dir):
-    return registry.suggestions_by_category(spark.createDataFrame(SUGGESTIONS, SUGGESTIONS_SCHEMA))
+    return registry.suggestions_by_category(derived(spark, sf_dir, "suggestions"))
 
 
-EXPECTED_SCHEMA = "model string, params double, size_mb double, latency_min_ms double, latency_max_ms double"
-EXPECTED = [("resnet18", 11689512.0, 44.7, 5.0, 20.0), ("mobilenet_v2", 3504872.0, 13.6, 3.0, 100.0), ("densenet121", 7978856.0, 30.8, 10.0, 200.0)]
-ACTUAL_SCHEMA = "model string, actual_params double, actual_size_mb double, actual_latency_ms double"
-ACTUAL = [("resnet18", 11689512.0, 44.68, 142.39), ("mobilenet_v2", 4000000.0, 16.0, 61.36)]
 
 
 def rg_verify_metadata(spark, sf_dir):
-    return registry.verify_metadata(spark.createDataFrame(EXPECTED, EXPECTED_SCHEMA), spark.createDataFrame(ACTUAL, ACTUAL_SCHEMA))
+    return registry.verify_metadata(derived(spark, sf_dir, "expected"), derived(spark, sf_dir, "actual"))
 
 
 NAMES = [n for n in dir() if n.startswith(("ms_", "th_", "rg_", "json_"))]
@@ -251,8 +242,8 @@ ORACLES = {
     "ms_batch_stats": f"SELECT size, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(size / nullif(avg(value), 0), 6) AS throughput FROM {SIZED} GROUP BY size",
     "ms_early_stop": f"SELECT event_type, count(*) AS n_run, max(size) AS last_size FROM (SELECT *, coalesce(max(CASE WHEN value > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY size, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM {SIZED}) WHERE s = 0 GROUP BY 1",
     "ms_complexity_fit": _fit(f"SELECT event_type AS k, CAST(size AS DOUBLE) AS n, sum(value) AS y FROM {SIZED} GROUP BY 1, 2", "event_type", 4),
-    "ms_complexity_vectors": _fit(f"WITH {values_sql(VECTORS, VECTORS_SCHEMA, 'v')} SELECT name AS k, n, y FROM v", "name", 6),
-    "ms_highest_complexity": "SELECT * FROM (VALUES ('a', 'O(n)'), ('b', 'O(n^2)'), ('c', 'O(2^n)'), ('d', 'Unknown')) t(name, complexity)",
+    "ms_complexity_vectors": _fit(f"WITH {derived_sql("vectors", "v")} SELECT name AS k, n, y FROM v", "name", 6),
+    "ms_highest_complexity": f"WITH {derived_sql('mentions', 'm')} SELECT name, coalesce((['" + "', '".join(n for n, _ in measure.CLASSES) + "'])[max(" + "greatest(" + ", ".join(f"CASE WHEN contains(said, '{n}') THEN {i} ELSE 0 END" for i, (n, _) in enumerate(measure.CLASSES, 1)) + "))], 'Unknown') AS complexity FROM m GROUP BY name",
     "ms_robust_stats": "WITH m AS (SELECT event_type, quantile_cont(value, 0.5) AS med FROM events GROUP BY 1) SELECT event_type, round(max(med), 6) AS median, round(quantile_cont(abs(value - med), 0.5), 6) AS mad, round(quantile_cont(abs(value - med), 0.5) * 1.4826 / nullif(max(med), 0), 6) AS robust_cv FROM events JOIN m USING (event_type) GROUP BY 1",
     "ms_memory_scaling": "\nUNION ALL ".join(f"""SELECT k, '{key}' AS grouping, round(med, 4) AS per_sample, round(mad * 1.4826 / (med + 1e-6), 4) AS spread, round(slope, 4) AS slope, round(r2, 4) AS r2,
       round(0.4 * greatest(r2, 0) + 0.3 / (1 + mad * 1.4826 / (med + 1e-6)) + 0.3 * (1 - least(abs(slope - med) / (med + 1e-10), 1)), 4) AS quality FROM (
@@ -261,7 +252,7 @@ ORACLES = {
     "ms_deltas": "SELECT user_id, round(max(d), 6) AS max_delta_s, count(d) AS n FROM (SELECT user_id, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS d FROM events) GROUP BY 1",
     "ms_weighted_efficiency": "SELECT round(coalesce(sum(l_discount * l_quantity) FILTER (l_returnflag = 'R') / nullif(sum(l_quantity) FILTER (l_returnflag = 'R'), 0), 0), 6) AS efficiency FROM lineitem",
     "ms_speedups": "SELECT l_returnflag, l_linestatus, round(s, 6) AS seconds, round(min(s) OVER (PARTITION BY l_returnflag) / nullif(s, 0), 6) AS relative_speed FROM (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS s FROM lineitem GROUP BY ALL)",
-    "ms_scaling": f"WITH {values_sql(SCALING, 'strategy string, devices int, throughput double', 'v')} SELECT strategy, devices, throughput, round(throughput / ((SELECT max(throughput) FROM v WHERE devices = 1) * devices), 6) AS efficiency FROM v",
+    "ms_scaling": f"WITH {derived_sql("scaling", "v")} SELECT strategy, devices, throughput, round(throughput / ((SELECT max(throughput) FROM v WHERE devices = 1) * devices), 6) AS efficiency FROM v",
     "ms_slow_functions": "SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY 1 HAVING avg(value) > 50 ORDER BY avg(value) DESC, user_id LIMIT 5",
     "ms_monitor": "SELECT date_trunc('day', ts) AS day, round(avg(value) + 1e-9, 6) AS avg_value, round(max(value), 6) AS max_value, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
     "th_history": "SELECT event_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
@@ -277,7 +268,7 @@ ORACLES = {
     "rg_upsert": "SELECT o_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "rg_flatten_metrics": "SELECT n_nationkey, 'run.region' AS metric, CAST(n_regionkey AS DOUBLE) AS value FROM nation UNION ALL SELECT n_nationkey, 'run.key2', CAST(n_nationkey * 2 AS DOUBLE) FROM nation",
     "rg_merge_metadata": "SELECT n_nationkey, n_name AS name, CASE WHEN n_regionkey = 1 THEN 'one' ELSE CAST(n_regionkey AS VARCHAR) END AS region, CASE WHEN n_regionkey = 1 THEN CAST(n_nationkey AS VARCHAR) END AS extra FROM nation",
-    "rg_suggestion_filter": f"WITH {values_sql(SUGGESTIONS, SUGGESTIONS_SCHEMA, 'v')} SELECT * FROM v WHERE priority >= 3 AND confidence_score >= 0.8",
-    "rg_suggestions_by_category": f"WITH {values_sql(SUGGESTIONS, SUGGESTIONS_SCHEMA, 'v')} SELECT category, count(*) AS n, count(*) FILTER (priority >= 4) AS n_high, string_agg(description, '|' ORDER BY priority DESC, description) AS descriptions FROM v GROUP BY 1",
-    "rg_verify_metadata": f"WITH {values_sql(EXPECTED, EXPECTED_SCHEMA, 'e')}, {values_sql(ACTUAL, ACTUAL_SCHEMA, 'a')}, j AS (SELECT * FROM e LEFT JOIN a USING (model)) SELECT model, 'missing' AS discrepancy FROM j WHERE actual_params IS NULL UNION ALL SELECT model, 'parameters' FROM j WHERE abs(actual_params - params) / params > 0.05 UNION ALL SELECT model, 'size' FROM j WHERE abs(actual_size_mb - size_mb) / size_mb > 0.1 UNION ALL SELECT model, 'latency' FROM j WHERE NOT (actual_latency_ms BETWEEN latency_min_ms AND latency_max_ms)",
+    "rg_suggestion_filter": f"WITH {derived_sql("suggestions", "v")} SELECT * FROM v WHERE priority >= 3 AND confidence_score >= 0.8",
+    "rg_suggestions_by_category": f"WITH {derived_sql("suggestions", "v")} SELECT category, count(*) AS n, count(*) FILTER (priority >= 4) AS n_high, string_agg(description, '|' ORDER BY priority DESC, description) AS descriptions FROM v GROUP BY 1",
+    "rg_verify_metadata": f"WITH {derived_sql("expected", "e")}, {derived_sql("actual", "a")}, j AS (SELECT * FROM e LEFT JOIN a USING (model)) SELECT model, 'missing' AS discrepancy FROM j WHERE actual_params IS NULL UNION ALL SELECT model, 'parameters' FROM j WHERE abs(actual_params - params) / params > 0.05 UNION ALL SELECT model, 'size' FROM j WHERE abs(actual_size_mb - size_mb) / size_mb > 0.1 UNION ALL SELECT model, 'latency' FROM j WHERE NOT (actual_latency_ms BETWEEN latency_min_ms AND latency_max_ms)",
 }

@@ -86,8 +86,9 @@ def dq_correlation(spark, sf_dir):
 
 
 def dq_strong_correlation(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    return rounded(profile.strong_correlation(profile.correlation(part)))
+    """Over orders as a whole, whose lines, quantities and values grow together."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"), F.sum(F.floor("l_extendedprice")).alias("worth"))
+    return rounded(profile.strong_correlation(profile.correlation(lines)))
 
 
 def dq_feature_types(spark, sf_dir):
@@ -257,6 +258,7 @@ _SHARES = f"""WITH {HALVES}, r AS (SELECT event_type AS value, count(*) AS n FRO
   cell AS (SELECT value, coalesce(r.n, 0) AS n_reference, coalesce(c.n, 0) AS n_current FROM r FULL JOIN c USING (value)),
   tot AS (SELECT sum(n_reference) AS tr, sum(n_current) AS tc FROM cell)"""
 
+_LINES = ("l_orderkey", "n_lines", "quantity", "worth")
 _CHI = f"{_SHARES} SELECT sum(CASE WHEN n_reference = 0 THEN CASE WHEN n_current > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END ELSE pow(n_current - n_reference / tr * tc, 2) / (n_reference / tr * tc) END) AS statistic, count(*) - 1 AS dof, CASE WHEN count(*) FILTER (n_reference = 0 AND n_current > 0) > 0 THEN 'new category' END AS reason FROM cell, tot"
 #: The tail is a finite sum for even degrees of freedom, which the five event types give.
 _CHI_P = f"SELECT *, CASE WHEN dof % 2 = 0 THEN exp(-statistic / 2) * list_sum([pow(statistic / 2, i) / factorial(CAST(i AS INTEGER)) FOR i IN range(dof // 2)]) END AS p FROM ({_CHI})"
@@ -277,7 +279,7 @@ ORACLES = {
     "dq_outlier_rows": "SELECT 'value' AS column_name, event_id, round(value, 6) AS value FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)",
     "dq_outlier_counts": _outliers("orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
     "dq_correlation": _union(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({_corr(a, b)}, 6) AS r FROM lineitem" for a in LINEITEM for b in LINEITEM),
-    "dq_strong_correlation": "SELECT column_a, column_b, round(r, 6) AS r FROM (" + _union(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {_corr(a, b)} AS r FROM part" for a in ("p_partkey", "p_size", "p_retailprice") for b in ("p_partkey", "p_size", "p_retailprice") if a != b) + ") WHERE abs(r) > 0.7 ORDER BY abs(r) DESC, column_a, column_b LIMIT 10",
+    "dq_strong_correlation": "WITH lines AS (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS quantity, sum(floor(l_extendedprice)) AS worth FROM lineitem GROUP BY 1) SELECT column_a, column_b, round(r, 6) AS r FROM (" + _union(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {_corr(a, b)} AS r FROM lines" for a in _LINES for b in _LINES if a != b) + ") WHERE abs(r) > 0.7 ORDER BY abs(r) DESC, column_a, column_b LIMIT 10",
     "dq_feature_types": _union(
         f"SELECT '{c}' AS column_name, CASE WHEN {num} THEN CASE WHEN count(DISTINCT {c}) <= 2 THEN 'binary' ELSE 'numeric' END WHEN {date} THEN 'datetime' WHEN avg(CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '^\\d{{2,4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}') THEN 1.0 ELSE 0.0 END) FILTER ({c} IS NOT NULL) > 0.7 THEN 'datetime' WHEN count(DISTINCT {c}) <= 10 OR (count(DISTINCT {c}) / count(*) < 0.05 AND count(DISTINCT {c}) <= 100) THEN 'categorical' ELSE 'text' END AS feature_type, '{t}' AS table_name FROM {t}"
         for t, c, num, date in [("orders", "o_orderkey", "true", "false"), ("orders", "o_custkey", "true", "false"), ("orders", "o_orderstatus", "false", "false"), ("orders", "o_totalprice", "true", "false"), ("orders", "o_orderdate", "false", "true"), ("orders", "o_orderpriority", "false", "false"), ("events", "event_id", "true", "false"), ("events", "ts", "false", "true"), ("events", "user_id", "true", "false"), ("events", "event_type", "false", "false"), ("events", "value", "true", "false"), ("events", "props", "false", "false"), ("labels", "doc_id", "true", "false"), ("labels", "quality", "true", "false"), ("labels", "toxic", "true", "false"), ("region", "r_regionkey", "true", "false"), ("region", "r_name", "false", "false")]

@@ -6,43 +6,19 @@ from pyspark.sql import functions as F
 
 from fieldglass import reftables as ref
 from fieldglass.operators import codescan, cost, roofline, security, textscan
+from fieldglass.plans.facts import derived, derived_sql
 from fieldglass.plans.quality import read, rounded
 
 GATES_SCHEMA = "metric string, direction string, threshold double"
 GATES = [("size_mb", "max", 100.0), ("latency_ms", "max", 50.0), ("reduction", "min", 0.3), ("security", "min", 70.0), ("robustness", "min", 40.0)]
-GATED_SCHEMA = "model string, metric string, value double"
-GATED = [("resnet18", "size_mb", 44.68), ("resnet18", "latency_ms", 142.39), ("resnet18", "reduction", 0.75), ("resnet18", "security", 85.0), ("resnet18", "robustness", 53.0), ("vgg16", "size_mb", 527.8), ("vgg16", "robustness", 31.0)]
-FLEET_SCHEMA = "name string, provider string, instance string, gpu_util double, memory_util double"
-FLEET = [("idle", "aws", "p3.8xlarge", 0.3, 0.4), ("busy", "aws", "g4dn.xlarge", 0.95, 0.5), ("fine", "gcp", "a2-highgpu-1g", 0.8, 0.8), ("unknown", "azure", "Standard_NC24s_v3", None, None)]
-LOADS_SCHEMA = "name string, latency_s double, peak_bytes long, requests long"
-LOADS = [("small", 0.02, 50000000, 1000000), ("large", 2.5, 4000000000, 250000), ("none", None, None, 20000000)]
-DEVICES_SCHEMA = "device string"
-DEVICES = [("Tesla V100-SXM2",), ("NVIDIA A100-80GB PCIe",), ("NVIDIA RTX 4060",), ("Unheard Of 9",)]
-OPS_SCHEMA = "model string, device string, op string, flops double, bytes double, time_us double"
-OPS = [("m1", "Tesla V100-SXM2", "matmul", 2.0e9, 1.0e7, 400.0), ("m1", "Tesla V100-SXM2", "relu", 1.0e6, 8.0e6, 20.0), ("m1", "Tesla V100-SXM2", "norm", 5.0e6, 8.0e6, 25.0), ("m1", "Tesla V100-SXM2", "tiny", 1.0, 1.0, 0.5), ("m2", "Unheard Of 9", "conv", 9.0e9, 3.0e7, 900.0), ("m2", "Unheard Of 9", "copy", 0.0, 0.0, 30.0)]
-LAYERS_SCHEMA = "model string, pos int, kind string, params long, flops double, inputs int, outputs int, kernel array<int>"
-LAYERS = [("m1", 1, "conv", 1728, 1.0e8, 3, 64, [3, 3]), ("m1", 2, "conv", 36864, 3.0e7, 64, 64, [3, 3]), ("m1", 3, "linear", 65600, 9.0e7, 1024, 64, None), ("m2", 1, "linear", 650, 6.0e5, 64, 10, None)]
-SHAPES_SCHEMA = "op string, shapes array<array<int>>, gpu boolean, capability int, out_features int"
-SHAPES = [("aten::matmul", [[64, 128], [128, 256]], False, 8, 256), ("cuda_addmm", [[33, 30], [30, 96]], True, 7, 96), ("conv2d", [[8, 16, 32, 32]], True, 7, 16), ("linear", [[4, 10]], False, 7, 10), ("relu", [], False, 8, None), ("gelu", [[2, 0]], True, 8, None)]
-SIZES_SCHEMA = "model string, parameters double, size_gb double, device_gb double"
-SIZES = [("small", 1.0e8, 0.4, 16.0), ("middle", 5.0e9, 10.0, 24.0), ("huge", 7.0e10, 140.0, 80.0)]
-RESULTS_SCHEMA = "strategy string, throughput double, memory_gb double"
-RESULTS = [("ddp", 900.0, 20.0), ("zero", 850.0, 9.0), ("pipeline", 500.0, 9.0), ("broken", 0.0, 1.0), ("partial", 700.0, None)]
-SWEEP_SCHEMA = "loader string, framework string, dimension string, setting int, throughput double"
-SWEEP = [("a", "pytorch", "batch_size", 16, 100.0), ("a", "pytorch", "batch_size", 32, 180.0), ("a", "pytorch", "batch_size", 64, 180.0), ("a", "pytorch", "workers", 0, 50.0), ("a", "pytorch", "workers", 2, 97.0), ("a", "pytorch", "workers", 4, 100.0), ("b", "tensorflow", "batch_size", 8, 10.0), ("b", "tensorflow", "workers", 0, 10.0)]
-HOSTS_SCHEMA = "host string, cores int, device_gb double, capability double, sample_mb double"
-HOSTS = [("laptop", 4, None, None, 10.0), ("server", 64, 80.0, 8.0, 100.0), ("old", 8, 16.0, 7.0, 30.0), ("tiny", 1, 2.0, 6.1, 4000.0)]
-WORDS_SCHEMA = "name string, keywords array<string>"
-WORDS_A = [("transformer", ["attention", "encoder", "decoder"]), ("cnn", ["conv", "pool"]), ("none", None)]
-WORDS_B = [("bert", ["attention", "encoder", "mask"]), ("unet", ["conv", "skip", "pool"]), ("same", ["decoder", "attention", "encoder"])]
 
 
 def sc_vulnerabilities(spark, sf_dir):
-    return security.findings(ref.models(spark), ref.risks(spark, more=True))
+    return security.findings(derived(spark, sf_dir, "models"), ref.risks(spark, more=True))
 
 
 def sc_severity_counts(spark, sf_dir):
-    return security.severity_counts(ref.models(spark), security.findings(ref.models(spark), ref.risks(spark)))
+    return security.severity_counts(derived(spark, sf_dir, "models"), security.findings(derived(spark, sf_dir, "models"), ref.risks(spark)))
 
 
 def sc_security_score(spark, sf_dir):
@@ -50,80 +26,82 @@ def sc_security_score(spark, sf_dir):
 
 
 def sc_enhanced_score(spark, sf_dir):
-    counts = security.severity_counts(ref.models(spark), security.findings(ref.models(spark), ref.risks(spark, more=True)))
+    counts = security.severity_counts(derived(spark, sf_dir, "models"), security.findings(derived(spark, sf_dir, "models"), ref.risks(spark, more=True)))
     return security.security_score(counts, (25, 15, 7, 3))
 
 
 def sc_robustness(spark, sf_dir):
-    return rounded(security.robustness(ref.attacks(spark)))
+    return rounded(security.robustness(derived(spark, sf_dir, "attacks")))
 
 
 def sc_weighted_robustness(spark, sf_dir):
-    return rounded(security.weighted_robustness(ref.attacks(spark)))
+    return rounded(security.weighted_robustness(derived(spark, sf_dir, "attacks")))
 
 
 def sc_robustness_details(spark, sf_dir):
-    return rounded(security.robustness_details(ref.attacks(spark)))
+    return rounded(security.robustness_details(derived(spark, sf_dir, "attacks")))
 
 
 def sc_gates(spark, sf_dir):
-    return security.gates(spark.createDataFrame(GATED, GATED_SCHEMA), spark.createDataFrame(GATES, GATES_SCHEMA))
+    return security.gates(derived(spark, sf_dir, "gated"), spark.createDataFrame(GATES, GATES_SCHEMA))
 
 
 def co_instance_rank(spark, sf_dir):
-    return rounded(cost.recommend(ref.prices(spark), spark.createDataFrame(FLEET, FLEET_SCHEMA), 16.0, cost=0.5, performance=0.3, memory=0.2))
+    return rounded(cost.recommend(derived(spark, sf_dir, "prices"), derived(spark, sf_dir, "fleet"), 16.0, cost=0.5, performance=0.3, memory=0.2))
 
 
 def co_instance_scores(spark, sf_dir):
-    return rounded(cost.instance_scores(ref.prices(spark), 1.0).select("provider", "instance", "cost_score", "performance_score", "memory_score", "score"))
+    return rounded(cost.instance_scores(derived(spark, sf_dir, "prices"), 1.0).select("provider", "instance", "cost_score", "performance_score", "memory_score", "score"))
 
 
 def co_provision_class(spark, sf_dir):
-    return spark.createDataFrame(FLEET, FLEET_SCHEMA).select("name", cost.provisioning(F.col("gpu_util"), F.col("memory_util")).alias("provisioning"))
+    return derived(spark, sf_dir, "fleet").select("name", cost.provisioning(F.col("gpu_util"), F.col("memory_util")).alias("provisioning"))
 
 
 def co_pricing_advice(spark, sf_dir):
-    return rounded(cost.pricing_advice(ref.prices(spark).select("provider", F.col("instance").alias("name"), "cost")))
+    return rounded(cost.pricing_advice(derived(spark, sf_dir, "prices").select("provider", F.col("instance").alias("name"), "cost")))
 
 
 def co_forecast(spark, sf_dir):
-    return rounded(cost.forecast(ref.prices(spark), 8.0))
+    return rounded(cost.forecast(derived(spark, sf_dir, "prices"), 8.0))
 
 
 def co_serverless(spark, sf_dir):
-    return rounded(cost.serverless(spark.createDataFrame(LOADS, LOADS_SCHEMA)))
+    return rounded(cost.serverless(derived(spark, sf_dir, "loads")))
 
 
 def co_best_ratio(spark, sf_dir):
-    return rounded(cost.best_ratio(ref.prices(spark).withColumn("throughput", F.coalesce("gpus", F.lit(1)) * 100.0)))
+    return rounded(cost.best_ratio(derived(spark, sf_dir, "prices").withColumn("throughput", F.coalesce("gpus", F.lit(1)) * 100.0)))
 
 
 def co_parallelism(spark, sf_dir):
-    return cost.parallelism(spark.createDataFrame(SIZES, SIZES_SCHEMA)).select("model", "strategy")
+    return cost.parallelism(derived(spark, sf_dir, "sizes")).select("model", "strategy")
 
 
 def co_applicable_strategies(spark, sf_dir):
-    return cost.applicable_strategies(spark.createDataFrame(SIZES, SIZES_SCHEMA))
+    return cost.applicable_strategies(derived(spark, sf_dir, "sizes"))
 
 
 def co_rank_strategies(spark, sf_dir):
-    return cost.rank_strategies(spark.createDataFrame(RESULTS, RESULTS_SCHEMA))
+    return cost.rank_strategies(derived(spark, sf_dir, "results"))
 
 
 def co_loader_advice(spark, sf_dir):
-    return cost.loader_advice(spark.createDataFrame(SWEEP, SWEEP_SCHEMA))
+    return cost.loader_advice(derived(spark, sf_dir, "sweep"))
 
 
 def co_hardware_advice(spark, sf_dir):
-    return cost.hardware_advice(spark.createDataFrame(HOSTS, HOSTS_SCHEMA))
+    return cost.hardware_advice(derived(spark, sf_dir, "hosts"))
 
 
 def rf_device_specs(spark, sf_dir):
-    return roofline.device_specs(spark.createDataFrame(DEVICES, DEVICES_SCHEMA), ref.gpus(spark))
+    return roofline.device_specs(derived(spark, sf_dir, "devices"), ref.gpus(spark))
 
 
 def rf_roofline(spark, sf_dir):
-    return rounded(roofline.roofline(spark.createDataFrame(OPS, OPS_SCHEMA), rf_device_specs(spark, sf_dir)))
+    """Efficiency in parts per billion, as the derived operations are small."""
+    found = roofline.roofline(derived(spark, sf_dir, "ops"), rf_device_specs(spark, sf_dir))
+    return rounded(found.withColumn("efficiency_ppb", F.col("efficiency") * 1e9).drop("efficiency"))
 
 
 def rf_bottleneck(spark, sf_dir):
@@ -131,61 +109,61 @@ def rf_bottleneck(spark, sf_dir):
 
 
 def rf_layer_bottleneck(spark, sf_dir):
-    return rounded(roofline.layer_bottlenecks(spark.createDataFrame(LAYERS, LAYERS_SCHEMA)).select("model", "pos", "share_so_far"))
+    return rounded(roofline.layer_bottlenecks(derived(spark, sf_dir, "layers")).select("model", "pos", "share_so_far"))
 
 
 def rf_layer_rollup(spark, sf_dir):
-    return rounded(roofline.layer_rollup(spark.createDataFrame(LAYERS, LAYERS_SCHEMA)))
+    return rounded(roofline.layer_rollup(derived(spark, sf_dir, "layers")))
 
 
 def rf_layer_params(spark, sf_dir):
-    return roofline.layer_params(spark.createDataFrame(LAYERS, LAYERS_SCHEMA)).select("model", "pos", "n_params")
+    return roofline.layer_params(derived(spark, sf_dir, "layers")).select("model", "pos", "n_params")
 
 
 def vc_alignment(spark, sf_dir):
-    rows = spark.createDataFrame(SHAPES, SHAPES_SCHEMA)
-    return rounded(rows.select("op", roofline.alignment(F.col("shapes"), F.col("op"), F.col("gpu")).alias("efficiency"), roofline.tensor_core(F.col("shapes"), F.col("op"), F.col("capability")).alias("tensor_core")))
+    rows = derived(spark, sf_dir, "shapes")
+    return rounded(rows.select("line", "op", roofline.alignment(F.col("shapes"), F.col("op"), F.col("gpu")).alias("efficiency"), roofline.tensor_core(F.col("shapes"), F.col("op"), F.col("capability")).alias("tensor_core")))
 
 
 def vc_flops_and_bytes(spark, sf_dir):
-    rows = spark.createDataFrame(SHAPES, SHAPES_SCHEMA)
-    return rounded(rows.select("op", roofline.shape_bytes(F.col("shapes")).alias("bytes"), roofline.op_flops(F.col("op"), F.try_element_at("shapes", F.lit(1)), F.col("out_features")).alias("flops")))
+    rows = derived(spark, sf_dir, "shapes")
+    return rounded(rows.select("line", "op", roofline.shape_bytes(F.col("shapes")).alias("bytes"), roofline.op_flops(F.col("op"), F.try_element_at("shapes", F.lit(1)), F.col("out_features")).alias("flops")))
 
 
 def tx_regex_rules(spark, sf_dir):
-    return textscan.apply_rules(ref.code(spark), spark.createDataFrame(textscan.RULES, textscan.RULES_SCHEMA))
+    return textscan.apply_rules(derived(spark, sf_dir, "code"), spark.createDataFrame(textscan.RULES, textscan.RULES_SCHEMA))
 
 
 def tx_severe_rules(spark, sf_dir):
-    return textscan.apply_rules(ref.code(spark), spark.createDataFrame(textscan.RULES, textscan.RULES_SCHEMA), "medium", ("append_in_loop",), 1).select("snippet_id", "rule")
+    return textscan.apply_rules(derived(spark, sf_dir, "code"), spark.createDataFrame(textscan.RULES, textscan.RULES_SCHEMA), "medium", ("append_in_loop",), 1).select("snippet_id", "rule")
 
 
 def tx_architecture_vote(spark, sf_dir):
-    return textscan.architecture_vote(ref.code(spark))
+    return textscan.architecture_vote(derived(spark, sf_dir, "code"))
 
 
 def tx_pattern_scan(spark, sf_dir):
-    return textscan.known_patterns(ref.code(spark))
+    return textscan.known_patterns(derived(spark, sf_dir, "code"))
 
 
 def tx_recognize(spark, sf_dir):
-    return textscan.recognize(ref.code(spark))
+    return textscan.recognize(derived(spark, sf_dir, "code"))
 
 
 def tx_inferred(spark, sf_dir):
-    return textscan.inferred(ref.code(spark))
+    return textscan.inferred(derived(spark, sf_dir, "code"))
 
 
 def tx_aligned(spark, sf_dir):
-    return textscan.aligned(ref.code(spark))
+    return textscan.aligned(derived(spark, sf_dir, "code"))
 
 
 def tx_settings(spark, sf_dir):
-    return textscan.settings(ref.code(spark))
+    return textscan.settings(derived(spark, sf_dir, "code"))
 
 
 def tx_keyword_overlap(spark, sf_dir):
-    return rounded(textscan.keyword_overlap(spark.createDataFrame(WORDS_A, WORDS_SCHEMA), spark.createDataFrame(WORDS_B, WORDS_SCHEMA)))
+    return rounded(textscan.keyword_overlap(derived(spark, sf_dir, "words_a"), derived(spark, sf_dir, "words_b")))
 
 
 def tx_conversations(spark, sf_dir):
@@ -195,18 +173,18 @@ def tx_conversations(spark, sf_dir):
 
 
 def cs_code_facts(spark, sf_dir):
-    return codescan.scan(ref.code(spark))
+    return codescan.scan(derived(spark, sf_dir, "code"))
 
 
 def cs_call_frequency(spark, sf_dir):
-    return codescan.scan(ref.code(spark)).select(F.explode("calls").alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n"))
+    return codescan.scan(derived(spark, sf_dir, "code")).select(F.explode("calls").alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n"))
 
 
 NAMES = [n for n in dir() if n.startswith(("sc_", "co_", "rf_", "vc_", "tx_", "cs_"))]
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _v = ref.values_sql
-_MODELS = _v(ref.MODELS, ref.MODELS_SCHEMA, "m")
+_MODELS = derived_sql("models", "m")
 
 
 def _findings(rules) -> str:
@@ -229,9 +207,9 @@ def _counts(rules) -> str:
 
 
 _BAND = "CASE WHEN s < 20 THEN 'very low' WHEN s < 40 THEN 'low' WHEN s < 60 THEN 'medium' WHEN s < 80 THEN 'high' ELSE 'very high' END AS level"
-_ATT = _v(ref.ATTACKS, ref.ATTACKS_SCHEMA, "a")
+_ATT = derived_sql("attacks", "a")
 _WEIGHT = "CASE attack " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in ref.ATTACK_WEIGHTS.items()) + " END"
-_PRICES = _v(ref.PRICES, ref.PRICES_SCHEMA, "p")
+_PRICES = derived_sql("prices", "p")
 _PROV = "CASE WHEN coalesce(gpu_util, 0.5) < 0.7 AND coalesce(memory_util, 0.5) < 0.7 THEN 'over' WHEN coalesce(gpu_util, 0.5) > 0.9 OR coalesce(memory_util, 0.5) > 0.9 THEN 'under' ELSE 'right' END"
 
 
@@ -239,7 +217,7 @@ def _scores(c: float, g: float, m: float) -> str:
     return f"SELECT *, cost_score * {c} + performance_score * {g} + memory_score * {m} AS score FROM (SELECT *, 1 - cost / max(cost) OVER (PARTITION BY provider) AS cost_score, CASE gpu_type WHEN 'A100' THEN 1.0 WHEN 'V100' THEN 0.8 WHEN 'A10G' THEN 0.7 WHEN 'T4' THEN 0.5 ELSE 0 END * least(coalesce(gpus, 1) / 8.0, 1.0) AS performance_score, CAST(ram AS DOUBLE) / max(ram) OVER (PARTITION BY provider) AS memory_score FROM p)"
 
 
-_CODE = _v(ref.CODE, ref.CODE_SCHEMA, "c")
+_CODE = derived_sql("code", "c")
 _RULES = _v(textscan.RULES, textscan.RULES_SCHEMA, "r")
 _RANKED = "list_position(['low', 'medium', 'high', 'critical'], severity)"
 
@@ -259,8 +237,8 @@ def _infer(kind: str, table) -> str:
 
 _INFERRED = f"WITH {_CODE}, f AS ({_infer('framework', textscan.FRAMEWORKS)}), h AS ({_infer('hardware', textscan.HARDWARE)}), k AS ({_infer('cloud', textscan.CLOUDS)}), z AS ({_infer('compression', textscan.COMPRESSION)}) SELECT snippet_id, kind, name FROM f UNION ALL SELECT snippet_id, kind, name FROM h UNION ALL SELECT snippet_id, 'hardware', 'CPU' FROM c WHERE snippet_id NOT IN (SELECT snippet_id FROM h) UNION ALL SELECT snippet_id, kind, arg_min(name, i) FROM k GROUP BY ALL UNION ALL SELECT snippet_id, kind, name FROM z"
 _RECOGNIZED = f"WITH {_CODE} SELECT snippet_id, algorithm, n_matched, CAST(least(80, 40 + 10 * n_matched) AS INTEGER) AS confidence FROM (" + " UNION ALL ".join(f"SELECT snippet_id, '{n}' AS algorithm, CAST({' + '.join(f'''CAST(regexp_matches(code, {_q('(?i)' + p)}) AS INTEGER)''' for p in ps)} AS INTEGER) AS n_matched FROM c" for n, ps in textscan.ALGORITHMS) + ") WHERE n_matched > 0"
-_SPECS = f"WITH {_v(DEVICES, DEVICES_SCHEMA, 'd')}, {_v(ref.GPUS, ref.GPUS_SCHEMA, 'g')} SELECT device, coalesce(arg_min(tflops, pos), 10.0) AS tflops, coalesce(arg_min(gbps, pos), 500.0) AS gbps, arg_min(architecture, pos) AS architecture FROM d LEFT JOIN g ON contains(device, gpu) GROUP BY device"
-_ROOF = f"WITH {_v(OPS, OPS_SCHEMA, 'o')} SELECT model, op, round(intensity, 6) AS intensity, round(achieved, 6) AS achieved, round(achieved / (tflops * 1e12), 6) AS efficiency, CASE WHEN intensity < tflops * 1e12 / (gbps * 1e9) THEN 'memory' ELSE 'compute' END AS bound FROM (SELECT *, flops / CASE WHEN bytes > 0 THEN bytes ELSE time_us * 1e-3 END AS intensity, flops / (time_us * 1e-6) AS achieved FROM o JOIN ({_SPECS}) USING (device) WHERE time_us >= 1)"
+_SPECS = f"WITH {derived_sql("devices", "d")}, {_v(ref.GPUS, ref.GPUS_SCHEMA, 'g')} SELECT device, coalesce(arg_min(tflops, pos), 10.0) AS tflops, coalesce(arg_min(gbps, pos), 500.0) AS gbps, arg_min(architecture, pos) AS architecture FROM d LEFT JOIN g ON contains(device, gpu) GROUP BY device"
+_ROOF = f"WITH {derived_sql("ops", "o")} SELECT model, op, round(intensity, 6) AS intensity, round(achieved, 6) AS achieved, round(achieved / (tflops * 1e12) * 1e9, 6) AS efficiency_ppb, CASE WHEN intensity < tflops * 1e12 / (gbps * 1e9) THEN 'memory' ELSE 'compute' END AS bound FROM (SELECT *, flops / CASE WHEN bytes > 0 THEN bytes ELSE time_us * 1e-3 END AS intensity, flops / (time_us * 1e-6) AS achieved FROM o JOIN ({_SPECS}) USING (device) WHERE time_us >= 1)"
 
 ORACLES = {
     "sc_vulnerabilities": _findings(ref.RISKS + ref.MORE_RISKS),
@@ -270,27 +248,31 @@ ORACLES = {
     "sc_robustness": f"WITH {_ATT} SELECT model, round(s, 6) AS score, {_BAND} FROM (SELECT model, coalesce(avg(CASE WHEN original_accuracy = 0 THEN 0 ELSE adversarial_accuracy / original_accuracy END), 0) * 100 AS s FROM a GROUP BY 1)",
     "sc_weighted_robustness": f"WITH {_ATT} SELECT model, round(s, 6) AS score, {_BAND} FROM (SELECT model, coalesce(sum(coalesce({_WEIGHT}, 0.1) * robustness), 0) / CASE WHEN sum(coalesce({_WEIGHT}, 0)) = 0 THEN 1 ELSE sum(coalesce({_WEIGHT}, 0)) END * 100 AS s FROM a GROUP BY 1)",
     "sc_robustness_details": f"WITH {_ATT} SELECT model, round(coalesce(avg(perturbation), 0), 6) AS avg_perturbation, round(coalesce(avg(success_rate), 0), 6) AS avg_success, round(coalesce(min(robustness), 1), 6) AS worst_case, round(1 - coalesce(stddev_pop(robustness), 0), 6) AS consistency, count(*) AS n_attacks FROM a GROUP BY 1",
-    "sc_gates": f"WITH {_v(GATED, GATED_SCHEMA, 'm')}, {_v(GATES, GATES_SCHEMA, 'g')} SELECT model, metric AS gate FROM m JOIN g USING (metric) WHERE CASE direction WHEN 'max' THEN value > threshold ELSE value < threshold END",
-    "co_instance_rank": f"WITH {_PRICES}, {_v(FLEET, FLEET_SCHEMA, 'f')}, s AS ({_scores(0.5, 0.3, 0.2)}), own AS (SELECT f.name, f.provider, f.instance AS current, p.cost AS current_cost, {_PROV} AS provisioning FROM f JOIN p ON f.provider = p.provider AND f.instance = p.instance) SELECT name, provisioning, current, current_cost, instance, cost, round((cost - current_cost) / current_cost * 100, 6) AS change_percent, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY name ORDER BY round(score, 12) DESC, instance) AS INTEGER) AS rank FROM own JOIN s USING (provider) WHERE instance <> current AND ram >= 16 AND (provisioning = 'over' AND cost < current_cost OR provisioning = 'under' AND cost > current_cost)",
+    "sc_gates": f"WITH {derived_sql("gated", "m")}, {_v(GATES, GATES_SCHEMA, 'g')} SELECT model, metric AS gate FROM m JOIN g USING (metric) WHERE CASE direction WHEN 'max' THEN value > threshold ELSE value < threshold END",
+    "co_instance_rank": f"WITH {_PRICES}, {derived_sql("fleet", "f")}, s AS ({_scores(0.5, 0.3, 0.2)}), own AS (SELECT f.name, f.provider, f.instance AS current, p.cost AS current_cost, {_PROV} AS provisioning FROM f JOIN p ON f.provider = p.provider AND f.instance = p.instance) SELECT name, provisioning, current, current_cost, instance, cost, round((cost - current_cost) / current_cost * 100, 6) AS change_percent, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY name ORDER BY round(score, 12) DESC, instance) AS INTEGER) AS rank FROM own JOIN s USING (provider) WHERE instance <> current AND ram >= 16 AND (provisioning = 'over' AND cost < current_cost OR provisioning = 'under' AND cost > current_cost)",
     "co_instance_scores": f"WITH {_PRICES} SELECT provider, instance, round(cost_score, 6) AS cost_score, round(performance_score, 6) AS performance_score, round(memory_score, 6) AS memory_score, round(score, 6) AS score FROM ({_scores(1.0, 0.0, 0.0)})",
-    "co_provision_class": f"WITH {_v(FLEET, FLEET_SCHEMA, 'f')} SELECT name, {_PROV} AS provisioning FROM f",
+    "co_provision_class": f"WITH {derived_sql("fleet", "f")} SELECT name, {_PROV} AS provisioning FROM f",
     "co_pricing_advice": f"WITH {_PRICES} SELECT instance AS name, k AS model, round(cost * s, 6) AS savings_per_hour FROM p, (VALUES ('spot', 0.7), ('reserved_1yr', 0.4)) o(k, s) WHERE provider = 'aws'",
     "co_forecast": f"WITH {_PRICES} SELECT provider, instance, 240.0::DOUBLE AS hours, round(cost * 240, 6) AS monthly, round(cost * 240 * 0.6, 6) AS monthly_1yr, round(cost * 240 * 0.4, 6) AS monthly_3yr, round(cost * 240 * 12, 6) AS annual, round(cost * 240 * 0.6 * 12, 6) AS annual_1yr, round(cost * 240 * 0.4 * 12, 6) AS annual_3yr FROM p",
-    "co_serverless": f"WITH {_v(LOADS, LOADS_SCHEMA, 'l')}, x AS (SELECT name, greatest(0.001, coalesce(latency_s, 0.001)) AS s, greatest(0.128, greatest(134217728.0, coalesce(peak_bytes, 0)) / 1073741824) AS gb, CAST(requests AS DOUBLE) AS n FROM l), y AS (SELECT name, 'aws' AS provider, n * gb * s * 0.0000166667 AS c FROM x UNION ALL SELECT name, 'gcp', 0.40 * n / 1e6 + 0.00001 * s * n + 0.0000025 * gb * s * n FROM x UNION ALL SELECT name, 'azure', 0.20 * n / 1e6 + 0.000016 * gb * s * n FROM x) SELECT name, provider, round(c, 6) AS monthly_cost, CAST(row_number() OVER (PARTITION BY name ORDER BY c, provider) AS INTEGER) AS rank, round((c / greatest(0.0001, min(c) OVER (PARTITION BY name)) - 1) * 100, 6) AS pct_above_best FROM y",
+    "co_serverless": f"WITH {derived_sql("loads", "l")}, x AS (SELECT name, greatest(0.001, coalesce(latency_s, 0.001)) AS s, greatest(0.128, greatest(134217728.0, coalesce(peak_bytes, 0)) / 1073741824) AS gb, CAST(requests AS DOUBLE) AS n FROM l), y AS (SELECT name, 'aws' AS provider, n * gb * s * 0.0000166667 AS c FROM x UNION ALL SELECT name, 'gcp', 0.40 * n / 1e6 + 0.00001 * s * n + 0.0000025 * gb * s * n FROM x UNION ALL SELECT name, 'azure', 0.20 * n / 1e6 + 0.000016 * gb * s * n FROM x) SELECT name, provider, round(c, 6) AS monthly_cost, CAST(row_number() OVER (PARTITION BY name ORDER BY c, provider) AS INTEGER) AS rank, round((c / greatest(0.0001, min(c) OVER (PARTITION BY name)) - 1) * 100, 6) AS pct_above_best FROM y",
     "co_best_ratio": f"WITH {_PRICES} SELECT provider, instance, round(coalesce(gpus, 1) * 100.0 / cost, 6) AS throughput_per_cost FROM p ORDER BY coalesce(gpus, 1) * 100.0 / cost DESC, instance DESC LIMIT 1",
-    "co_parallelism": f"WITH {_v(SIZES, SIZES_SCHEMA, 'm')} SELECT model, CASE WHEN parameters < 1e9 THEN 'data parallel' WHEN parameters < 1e10 THEN 'sharded data parallel' ELSE 'data, model and pipeline parallel' END AS strategy FROM m",
-    "co_applicable_strategies": f"WITH {_v(SIZES, SIZES_SCHEMA, 'm')} SELECT model, 'data parallel' AS strategy FROM m UNION ALL SELECT model, 'sharded data parallel' FROM m WHERE size_gb / device_gb > 0.3 UNION ALL SELECT model, 'pipeline parallel' FROM m WHERE size_gb / device_gb > 0.7",
-    "co_rank_strategies": f"WITH {_v(RESULTS, RESULTS_SCHEMA, 'm')} SELECT strategy, throughput, memory_gb, CAST(rank() OVER (ORDER BY throughput DESC) AS INTEGER) AS throughput_rank, CAST(rank() OVER (ORDER BY memory_gb) AS INTEGER) AS memory_rank FROM m WHERE throughput > 0 AND memory_gb IS NOT NULL",
-    "co_loader_advice": f"WITH {_v(SWEEP, SWEEP_SCHEMA, 's')}, t AS (SELECT *, max(throughput) OVER (PARTITION BY loader, dimension) AS most FROM s), w AS (SELECT loader, framework, min(setting) AS value FROM t WHERE dimension = 'workers' AND throughput >= 0.95 * most GROUP BY ALL) SELECT loader, 'batch_size' AS kind, min(setting) AS value FROM t WHERE dimension = 'batch_size' AND throughput = most GROUP BY loader UNION ALL SELECT loader, 'num_workers', value FROM w WHERE value > 0 UNION ALL SELECT loader, 'pin_memory', 1 FROM w WHERE value > 0 AND framework = 'pytorch' UNION ALL SELECT DISTINCT loader, 'prefetch', 1 FROM s WHERE framework = 'tensorflow'",
-    "co_hardware_advice": f"WITH {_v(HOSTS, HOSTS_SCHEMA, 'h')} SELECT host, greatest(1, least(cores - 1, 16)) AS workers, CASE WHEN device_gb IS NULL THEN 'fp32' WHEN capability >= 8 THEN 'bf16' WHEN capability >= 7 THEN 'fp16' ELSE 'fp32' END AS precision, CAST(CASE WHEN floor(device_gb * 0.8 * 1024 / sample_mb) >= 1 THEN pow(2, floor(log2(floor(device_gb * 0.8 * 1024 / sample_mb)))) ELSE 1 END AS BIGINT) AS batch_size FROM h",
+    "co_parallelism": f"WITH {derived_sql("sizes", "m")} SELECT model, CASE WHEN parameters < 1e9 THEN 'data parallel' WHEN parameters < 1e10 THEN 'sharded data parallel' ELSE 'data, model and pipeline parallel' END AS strategy FROM m",
+    "co_applicable_strategies": f"WITH {derived_sql("sizes", "m")} SELECT model, 'data parallel' AS strategy FROM m UNION ALL SELECT model, 'sharded data parallel' FROM m WHERE size_gb / device_gb > 0.3 UNION ALL SELECT model, 'pipeline parallel' FROM m WHERE size_gb / device_gb > 0.7",
+    "co_rank_strategies": f"WITH {derived_sql("results", "m")} SELECT strategy, throughput, memory_gb, CAST(rank() OVER (ORDER BY throughput DESC) AS INTEGER) AS throughput_rank, CAST(rank() OVER (ORDER BY memory_gb) AS INTEGER) AS memory_rank FROM m WHERE throughput > 0 AND memory_gb IS NOT NULL",
+    "co_loader_advice": f"WITH {derived_sql("sweep", "s")}, t AS (SELECT *, max(throughput) OVER (PARTITION BY loader, dimension) AS most FROM s), w AS (SELECT loader, framework, min(setting) AS value FROM t WHERE dimension = 'workers' AND throughput >= 0.95 * most GROUP BY ALL) SELECT loader, 'batch_size' AS kind, min(setting) AS value FROM t WHERE dimension = 'batch_size' AND throughput = most GROUP BY loader UNION ALL SELECT loader, 'num_workers', value FROM w WHERE value > 0 UNION ALL SELECT loader, 'pin_memory', 1 FROM w WHERE value > 0 AND framework = 'pytorch' UNION ALL SELECT DISTINCT loader, 'prefetch', 1 FROM s WHERE framework = 'tensorflow'",
+    "co_hardware_advice": f"WITH {derived_sql("hosts", "h")} SELECT host, greatest(1, least(cores - 1, 16)) AS workers, CASE WHEN device_gb IS NULL THEN 'fp32' WHEN capability >= 8 THEN 'bf16' WHEN capability >= 7 THEN 'fp16' ELSE 'fp32' END AS precision, CAST(CASE WHEN floor(device_gb * 0.8 * 1024 / sample_mb) >= 1 THEN pow(2, floor(log2(floor(device_gb * 0.8 * 1024 / sample_mb)))) ELSE 1 END AS BIGINT) AS batch_size FROM h",
     "rf_device_specs": _SPECS,
     "rf_roofline": _ROOF,
     "rf_bottleneck": f"SELECT model, count(*) FILTER (bound = 'memory') AS n_memory, count(*) FILTER (bound = 'compute') AS n_compute, CASE WHEN count(*) FILTER (bound = 'memory') > count(*) FILTER (bound = 'compute') THEN 'memory' ELSE 'compute' END AS bottleneck FROM ({_ROOF}) GROUP BY model",
-    "rf_layer_bottleneck": f"WITH {_v([r[:7] for r in LAYERS], LAYERS_SCHEMA.rpartition(',')[0], 'l')} SELECT model, pos, round(s, 6) AS share_so_far FROM (SELECT model, pos, flops / sum(flops) OVER (PARTITION BY model ORDER BY pos) AS s FROM l) WHERE s > 0.3",
-    "rf_layer_rollup": f"WITH {_v([r[:7] for r in LAYERS], LAYERS_SCHEMA.rpartition(',')[0], 'l')} SELECT model, kind, count(*) AS n, CAST(sum(params) AS BIGINT) AS params, round(sum(params) * 4 / 1048576.0, 6) AS size_mb, round(sum(flops), 6) AS flops, round(sum(flops) / 1e13 * 1e3, 6) AS est_ms FROM l GROUP BY ALL",
-    "rf_layer_params": "SELECT * FROM (VALUES ('m1', 1, 1792::BIGINT), ('m1', 2, 36928), ('m1', 3, 65600), ('m2', 1, 650)) t(model, pos, n_params)",
-    "vc_alignment": "SELECT * FROM (VALUES ('aten::matmul', 0.8::DOUBLE, true), ('cuda_addmm', round(0.8 * 0.7 * 0.9 * 0.7 * 0.7 * 0.7 * 0.95, 6), false), ('conv2d', 0.72, true), ('linear', 0.8, false), ('relu', 0.0, false), ('gelu', 0.8, false)) t(op, efficiency, tensor_core)",
-    "vc_flops_and_bytes": "SELECT * FROM (VALUES ('aten::matmul', 163840.0::DOUBLE, NULL::DOUBLE), ('cuda_addmm', 15480.0, NULL), ('conv2d', 524288.0, NULL), ('linear', 160.0, 800.0), ('relu', 0.0, NULL), ('gelu', 0.0, 0.0)) t(op, bytes, flops)",
+    "rf_layer_bottleneck": f"WITH {derived_sql("layers", "l")} SELECT model, pos, round(s, 6) AS share_so_far FROM (SELECT model, pos, flops / sum(flops) OVER (PARTITION BY model ORDER BY pos) AS s FROM l) WHERE s > 0.3",
+    "rf_layer_rollup": f"WITH {derived_sql("layers", "l")} SELECT model, kind, count(*) AS n, CAST(sum(params) AS BIGINT) AS params, round(sum(params) * 4 / 1048576.0, 6) AS size_mb, round(sum(flops), 6) AS flops, round(sum(flops) / 1e13 * 1e3, 6) AS est_ms FROM l GROUP BY ALL",
+    "rf_layer_params": f"WITH {derived_sql('layers', 'l')} SELECT model, pos, CAST(inputs AS BIGINT) * outputs * coalesce(list_reduce(kernel, lambda a, b: a * b), 1) + outputs AS n_params FROM l",
+    "vc_alignment": f"""WITH {derived_sql('shapes', 's')}, x AS (SELECT *, flatten(list_transform(list_filter(shapes, lambda s: len(s) >= 2), lambda s: s[len(s) - 1:len(s)])) AS ends, flatten(list_transform(list_filter(shapes, lambda s: len(s) = 4), lambda s: s[1:2])) AS starts FROM s),
+      y AS (SELECT *, CASE WHEN gpu THEN list_reduce(list_concat([0.8::DOUBLE], list_transform(shapes, lambda s: CASE WHEN s[len(s)] % 8 <> 0 THEN 0.7 ELSE 1.0 END * CASE WHEN len(list_filter(s, lambda d: d % 32 = 0 AND d % 64 <> 0)) > 0 THEN 0.9 ELSE 1.0 END)), lambda a, b: a * b) ELSE 0.8 END
+        * CASE WHEN regexp_matches(op, 'matmul|gemm|bmm|addmm') THEN list_reduce(list_concat([1.0::DOUBLE], list_transform(ends, lambda d: CASE WHEN d % 64 = 0 THEN 1.0 WHEN d % 32 = 0 THEN 0.95 WHEN d % 16 = 0 THEN 0.9 WHEN d % 8 = 0 THEN 0.85 ELSE 0.7 END)), lambda a, b: a * b) ELSE 1 END AS e, CASE WHEN contains(op, 'conv') THEN starts ELSE ends END AS dims FROM x)
+      SELECT line, op, round(greatest(0.1, least(1, e)), 6) AS efficiency, regexp_matches(op, 'matmul|conv|linear|addmm|bmm|gemm') AND len(dims) > 0 AND len(list_filter(dims, lambda d: d % CASE WHEN capability >= 8 THEN 4 ELSE 8 END <> 0)) = 0 AS tensor_core FROM y""",
+    "vc_flops_and_bytes": f"""WITH {derived_sql('shapes', 's')}, x AS (SELECT *, list_reduce(list_transform(shapes[1], lambda d: CAST(d AS DOUBLE)), lambda a, b: a * b) AS n FROM s)
+      SELECT line, op, list_sum(list_transform(shapes, lambda s: CASE WHEN list_min(s) > 0 THEN 4.0 * list_reduce(list_transform(s, lambda d: CAST(d AS DOUBLE)), lambda a, b: a * b) ELSE 0 END)) AS bytes, CASE op WHEN 'linear' THEN 2 * n * out_features WHEN 'layer_norm' THEN 5 * n WHEN 'relu' THEN n WHEN 'gelu' THEN 8 * n END AS flops FROM x""",
     "tx_regex_rules": f"WITH {_CODE}, {_RULES} SELECT snippet_id, rule, severity, suggestion FROM c JOIN r ON regexp_matches(code, pattern) AND (unless IS NULL OR NOT regexp_matches(code, unless))",
     "tx_severe_rules": f"WITH {_CODE}, {_RULES} SELECT snippet_id, rule FROM c JOIN r ON regexp_matches(code, pattern) AND (unless IS NULL OR NOT regexp_matches(code, unless)) WHERE {_RANKED} >= 2 AND rule <> 'append_in_loop' QUALIFY row_number() OVER (PARTITION BY snippet_id ORDER BY {_RANKED} DESC, rule) = 1",
     "tx_architecture_vote": f"WITH {_CODE} {_vote('SELECT * FROM c')}",
@@ -299,6 +281,6 @@ ORACLES = {
     "tx_inferred": _INFERRED,
     "tx_aligned": f"WITH a(framework, algorithm) AS (VALUES {', '.join(f'''('{f}', '{n}')''' for f, names in textscan.ALIGNED.items() for n in names)}) SELECT snippet_id, algorithm, framework FROM ({_RECOGNIZED}) JOIN (SELECT snippet_id, name AS framework FROM ({_INFERRED}) WHERE kind = 'framework') USING (snippet_id) JOIN a USING (framework, algorithm)",
     "tx_settings": f"WITH {_CODE} SELECT snippet_id, try_cast(nullif(regexp_extract(code, 'batch_size\\s*=\\s*(\\d+)', 1), '') AS DOUBLE) AS batch_size, try_cast(nullif(regexp_extract(code, 'seq_len\\w*\\s*=\\s*(\\d+)', 1), '') AS DOUBLE) AS seq_len FROM c",
-    "tx_keyword_overlap": f"WITH {_v(WORDS_A, WORDS_SCHEMA, 'a')}, {_v(WORDS_B, WORDS_SCHEMA, 'b')}, s AS (SELECT a.name AS a_name, b.name AS b_name, len(list_intersect(a.keywords, b.keywords)) / greatest(len(a.keywords), len(b.keywords)) AS score FROM a, b) SELECT a_name, b_name, round(score, 6) AS score FROM s WHERE score > 0.5",
+    "tx_keyword_overlap": f"WITH {derived_sql("words_a", "a")}, {derived_sql("words_b", "b")}, s AS (SELECT a.name AS a_name, b.name AS b_name, len(list_intersect(a.keywords, b.keywords)) / greatest(len(a.keywords), len(b.keywords)) AS score FROM a, b) SELECT a_name, b_name, round(score, 6) AS score FROM s WHERE score > 0.5",
     "tx_conversations": f"SELECT architecture, count(*) AS n, CAST(sum(votes) AS BIGINT) AS votes FROM ({_vote('''SELECT conv_id || '-' || turn AS snippet_id, coalesce(text, '') AS code FROM conversations''')}) GROUP BY 1",
 }

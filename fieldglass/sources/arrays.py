@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def open_path(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
     if path.startswith("file:") and not path.startswith("file://"):
         path = "file://" + path[5:]
     return pyarrow.fs.FileSystem.from_uri(path)
@@ -63,7 +64,7 @@ def _member(path: str, f, member: str | None, base: int) -> Member:
 
 def members(path: str, array: str | None = None) -> list[Member]:
     """All arrays of a file or folder, in order; of an archive the named one, else the first. Reads headers only."""
-    fs, top = _open(path)
+    fs, top = open_path(path)
     info = fs.get_file_info(top)
     if info.type == pyarrow.fs.FileType.Directory:
         files = sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(top)) if x.path.endswith((".npy", ".npz")))
@@ -113,9 +114,11 @@ class ArrayReader(DataSourceReader):
             out += [Rows(m, a, min(a + step, m.rows)) for a in range(0, m.rows, step)]
         return out
 
-    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing to read
+            return
         m, dtype = partition.member, np.dtype(partition.member.dtype)
-        fs, top = _open(self.path)
+        fs, top = open_path(self.path)
         with fs.open_input_file(m.path) as f:
             if m.member is not None:
                 with zipfile.ZipFile(f) as z:
@@ -146,7 +149,7 @@ class ArrayWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, top = _open(self.path)
+        fs, top = open_path(self.path)
         fs.create_dir(top, recursive=True)
         files, held, size = [], [], 0
 
@@ -173,7 +176,7 @@ class ArrayWriter(DataSourceArrowWriter):
         return Written(files)
 
     def abort(self, messages) -> None:
-        fs, _ = _open(self.path)
+        fs, _ = open_path(self.path)
         for message in messages:
             for file in message.files if message else []:
                 fs.delete_file(file)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldglass.sources import arrays
+
 #: The history tables and their columns.
 TABLES = {
     "analysis_results": "id bigint, algorithm string, input_size bigint, parameters string, timestamp timestamp_ntz",
@@ -28,11 +30,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_npz(spark: SparkSession, path: str, array: str | None = None) -> DataFrame:
-    """A two-dimensional array of a local NPZ file as columns c0, c1, ...; such files are small by nature."""
-    with np.load(path) as found:
-        table = found[array or found.files[0]]
-    table = table.reshape(len(table), -1)
-    return spark.createDataFrame(table.astype(float).tolist(), T.StructType([T.StructField(f"c{i}", T.DoubleType()) for i in range(table.shape[1])]))
+    """An array of an NPZ file, the first if none is named, as columns c0, c1, ... of doubles; read by ranges of rows, see :mod:`fieldglass.sources.arrays`."""
+    arrays.register(spark)
+    reader = spark.read.format("arrays").option("path", path)
+    return (reader.option("array", array) if array else reader).load().drop("row")
 
 
 def read_validation(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
@@ -54,11 +55,47 @@ def synthetic(spark: SparkSession, rows: int = 1000, columns: int = 10, seed: in
 
 
 def file_kinds(df: DataFrame) -> DataFrame:
-    """kind, n: what the table's input files are, by their endings."""
-    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)(?:\.(?:gz|snappy|zst|bz2))?$", 1))
+    """kind, n: what the files are that a table's rows come from, by their endings; files without rows are not seen."""
+    ending = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)(?:\.(?:gz|snappy|zst|bz2))?$", 1))
     kind = F.when(ending.isin("tfrecord", "tfrecords"), "tfrecord").when(ending.isin("parquet", "csv", "json", "orc", "npz"), ending).otherwise("other")
-    paths = df.sparkSession.createDataFrame([(p,) for p in df.inputFiles()], "path string")
-    return paths.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    names = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name")).distinct()
+    return names.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The first bytes of a file, in hex, and what it is.
+MAGIC = [("50415231", "parquet"), ("4f5243", "orc"), ("4f626a01", "avro"), ("934e554d5059", "npy"), ("504b0304", "zip"), ("1f8b", "gzip"), ("28b52ffd", "zstd"), ("7b", "json"), ("5b", "json")]
+
+
+def _leading_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = []
+        for path in batch.column("path").to_pylist():
+            fs, top = arrays.open_path(path)
+            with fs.open_input_file(top) as f:
+                heads.append(f.read(8))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(heads, pa.binary())], ["path", "length", "head"])
+
+
+def kinds_by_content(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, kind of every file in a folder (or the one file), by its first bytes, which tasks read; ``text`` if they are printable, ``empty``, else ``other``.
+
+    Files whose names begin with a dot or underscore are left out, as Spark does.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(_leading_bytes, "path string, length long, head binary")
+    start = F.lower(F.hex("head"))
+    kind = F.when(F.col("length") == 0, "empty")
+    for magic, name in MAGIC:
+        kind = kind.when(start.startswith(magic), name)
+    printable = F.decode("head", "UTF-8").rlike(r"^[\t\n\r\x20-\x7E]+$")
+    return files.select("path", "length", kind.when(printable, "text").otherwise("other").alias("kind"))
+
+
+def rows_by_kind(spark: SparkSession, path: str) -> DataFrame:
+    """kind, n_files, n_rows of a table of Parquet files: kinds by content, rows by the file that Spark says they come from."""
+    where = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    rows = spark.read.parquet(path).groupBy(where(F.col("_metadata.file_path")).alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds_by_content(spark, path)
+    return kinds.join(rows, where(F.col("path")) == F.col("of"), "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
