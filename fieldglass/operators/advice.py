@@ -76,6 +76,33 @@ PLATFORM = [
     ("cloud", "general", "Monitor and terminate unused resources"),
     ("cloud", "general", "Use managed ML services for automatic resource optimization"),
 ]
+TECHNIQUES_SCHEMA = "technique string, recommendation string"
+TECHNIQUES = [
+    ("Quantization", "Apply post-training quantization for inference speedup"),
+    ("Quantization", "Use quantization-aware training for better accuracy preservation"),
+    ("Quantization", "Consider dynamic quantization for RNNs and transformers"),
+    ("Pruning", "Start with gradual pruning for minimal accuracy loss"),
+    ("Pruning", "Consider structured pruning for hardware acceleration compatibility"),
+    ("Pruning", "Apply magnitude pruning to remove the smallest weights"),
+    ("Knowledge Distillation", "Use a larger teacher model with your smaller student model"),
+    ("Knowledge Distillation", "Match intermediate representations for deeper knowledge transfer"),
+    ("Knowledge Distillation", "Combine hard and soft targets for better performance"),
+    ("Low-Rank Factorization", "Apply to fully connected layers with many parameters"),
+    ("Low-Rank Factorization", "Consider Tucker decomposition for convolutional layers"),
+    ("Low-Rank Factorization", "Use SVD to find optimal low-rank approximation"),
+]
+INSTANCES_SCHEMA = "name string, class string, instances array<string>"
+INSTANCES = [
+    ("AWS", "compute_optimized", ["c5", "c6g", "c7g"]),
+    ("AWS", "memory_optimized", ["r5", "r6g", "x2gd"]),
+    ("AWS", "accelerated_computing", ["p3", "p4d", "g4dn"]),
+    ("GCP", "compute_optimized", ["c2", "c2d"]),
+    ("GCP", "memory_optimized", ["m1", "m2"]),
+    ("GCP", "accelerated_computing", ["a2", "g2"]),
+    ("Azure", "compute_optimized", ["F-series", "Fsv2-series"]),
+    ("Azure", "memory_optimized", ["E-series", "Esv4-series"]),
+    ("Azure", "accelerated_computing", ["NC-series", "ND-series"]),
+]
 BATCHES = (1, 2, 4, 8, 16, 32, 64, 128)
 
 
@@ -115,6 +142,37 @@ def platform_advice(code: DataFrame) -> DataFrame:
     return seen.unionByName(none).join(code.sparkSession.createDataFrame(PLATFORM, PLATFORM_SCHEMA), ["kind", "name"]).select("snippet_id", "kind", "name", "recommendation")
 
 
+def technique_advice(code: DataFrame) -> DataFrame:
+    """snippet_id, technique, recommendation for every technique that a snippet does not use yet and its frameworks offer."""
+    open_ = compression_openings(code).select("snippet_id", "technique").distinct()
+    return open_.join(code.sparkSession.createDataFrame(TECHNIQUES, TECHNIQUES_SCHEMA), "technique").select("snippet_id", "technique", "recommendation")
+
+
+def instance_advice(code: DataFrame) -> DataFrame:
+    """snippet_id, name (of the cloud that shows), class, instance: instance types worth a look; no row without a cloud."""
+    clouds = textscan.inferred(code).filter("kind = 'cloud'").select("snippet_id", "name")
+    return clouds.join(code.sparkSession.createDataFrame(INSTANCES, INSTANCES_SCHEMA), "name").select("snippet_id", "name", "class", F.explode("instances").alias("instance"))
+
+
+def robustness_advice(scores: DataFrame, attacks: DataFrame, details: DataFrame) -> DataFrame:
+    """model, type, severity, advice from a model's score, its results by attack and their summary (tables of :mod:`fieldglass.operators.security`)."""
+    s = F.col("score")
+    general = _fires(
+        (F.lit(True), "training", "info", "train on adversarial examples"), (F.lit(True), "ensemble", "info", "combine several models"),
+        (s < 30, "architecture", "high", "redesign for robustness"), (s < 30, "training", "high", "defensive distillation"), (s < 30, "input", "high", "preprocess inputs"),
+        ((s >= 30) & (s < 60), "training", "medium", "regularize"), ((s >= 30) & (s < 60), "input", "medium", "squeeze features"), ((s >= 30) & (s < 60), "training", "medium", "mask gradients"),
+    )
+    low = lambda kind, below: (F.col("attack") == kind) & (F.col("robustness") < below)
+    by_attack = _fires(
+        (low("fgsm", 0.5), "attack", "medium", "mask gradients against gradient attacks"), (low("pgd", 0.4), "attack", "medium", "train on projected gradient attacks"),
+        (low("carlini_wagner", 0.3), "attack", "medium", "distil against optimization attacks"), (low("spatial_transformation", 0.6), "attack", "medium", "train on spatial transformations"),
+    )
+    summary = _fires(
+        (F.col("worst_case") < 0.2, "worst case", "high", "train on the weakest attack"), (F.col("consistency") < 0.5, "consistency", "medium", "even out attacks"), (F.col("avg_success") > 0.7, "detection", "high", "detect adversarial examples"),
+    )
+    return scores.select("model", F.inline(general)).unionByName(attacks.select("model", F.inline(by_attack)).distinct()).unionByName(details.select("model", F.inline(summary)))
+
+
 def complexity_advice(runs: DataFrame) -> DataFrame:
     """name, type, severity, advice from big_o, architecture, memory_mb (of the largest input), slowest_s and source."""
     o, src, memory, diffusion = F.col("big_o"), F.col("source"), F.col("memory_mb"), F.col("architecture") == "diffusion"

@@ -118,3 +118,28 @@ def hardware_advice(hardware: DataFrame) -> DataFrame:
     spare = F.greatest(F.lit(1), F.least(F.col("cores") - 1, F.lit(16)))
     fit = F.floor(F.try_divide(F.col("device_gb") * 0.8 * 1024, F.col("sample_mb")))
     return hardware.select("host", spare.alias("workers"), F.when(F.col("device_gb").isNull(), "fp32").when(F.col("capability") >= 8, "bf16").when(F.col("capability") >= 7, "fp16").otherwise("fp32").alias("precision"), F.when(fit >= 1, F.pow(F.lit(2.0), F.floor(F.log2(fit.cast("double"))))).otherwise(1.0).cast("long").alias("batch_size"))
+
+
+def top_alternatives(recommended: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` best alternatives of each machine: a top list of :func:`recommend`."""
+    return recommended.filter(F.col("rank") <= most)
+
+
+def comparison(recommended: DataFrame, prices: DataFrame, most: int = 5) -> DataFrame:
+    """name, place, instance, cost, gpus, memory: each machine's own instance (place 0) and its best alternatives, as a chart shows them; machines without an alternative have no row."""
+    top = top_alternatives(recommended, most)
+    own = top.select("name", F.lit(0).alias("place"), F.col("current").alias("instance")).distinct()
+    rows = own.unionByName(top.select("name", F.col("rank").alias("place"), "instance"))
+    facts = prices.select(F.col("instance").alias("of"), "cost", F.coalesce("gpus", F.lit(0)).alias("gpus"), F.coalesce("ram", F.lit(0)).alias("memory"))
+    return rows.join(facts, F.col("instance") == F.col("of")).select("name", "place", "instance", "cost", "gpus", "memory")
+
+
+def cost_breakdown(recommended: DataFrame) -> DataFrame:
+    """name, current, recommended, savings (0 if the recommendation is dearer) per hour."""
+    best = recommended.filter("rank = 1")
+    return best.select("name", F.col("current_cost").alias("current"), F.col("cost").alias("recommended"), F.greatest(F.lit(0.0), F.col("current_cost") - F.col("cost")).alias("savings"))
+
+
+def validated_results(results: DataFrame) -> DataFrame:
+    """strategy, status: ``missing`` values, ``invalid`` throughput (not positive), else ``ok``."""
+    return results.select("strategy", F.when(F.col("throughput").isNull() | F.col("memory_gb").isNull(), "missing").when(F.col("throughput") <= 0, "invalid").otherwise("ok").alias("status"))

@@ -58,6 +58,12 @@ def layer_rollup(layers: DataFrame) -> DataFrame:
     return layers.groupBy("model", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("params").alias("params"), (F.sum("params") * 4 / 1048576.0).alias("size_mb"), F.sum("flops").alias("flops"), (F.sum("flops") / 1e13 * 1e3).alias("est_ms"))
 
 
+def inference_time(layers: DataFrame) -> DataFrame:
+    """model, cpu_s, gpu_s: all operations of a model at 10 GFLOPS and at 10 TFLOPS; models without any have no row."""
+    total = layers.groupBy("model").agg(F.sum("flops").alias("flops")).filter("flops > 0")
+    return total.select("model", (F.col("flops") / 1e10).alias("cpu_s"), (F.col("flops") / 1e13).alias("gpu_s"))
+
+
 def layer_params(layers: DataFrame) -> DataFrame:
     """Adds ``n_params`` of linear and convolution layers: inputs times outputs times kernel, plus a bias per output."""
     kernel = F.aggregate(F.coalesce("kernel", F.array().cast("array<int>")), F.lit(1).cast("long"), lambda acc, k: acc * k)

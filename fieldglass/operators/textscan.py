@@ -50,10 +50,22 @@ ALGORITHMS = [
     ("Diffusion Model", [r"diffusion", r"DDPM", r"DDIM", r"score.?based", r"noise.?prediction"]),
     ("Reinforcement Learning", [r"PPO", r"DQN", r"A2C", r"DDPG", r"reinforcement", r"reward", r"action.*space"]),
 ]
-FRAMEWORKS = [("PyTorch", r"import torch|nn\.Module|torch\."), ("TensorFlow", r"import tensorflow|import tf|tf\."), ("JAX", r"import jax|jnp\.|jax\."), ("ONNX", r"import onnx|onnxruntime")]
+#: Frameworks and compression techniques, each with the patterns of which any speaks for it.
+FRAMEWORK_PATTERNS = [
+    ("PyTorch", [r"import torch", r"nn\.Module", r"torch\."]),
+    ("TensorFlow", [r"import tensorflow", r"import tf", r"tf\."]),
+    ("JAX", [r"import jax", r"jnp\.", r"jax\."]),
+    ("ONNX", [r"import onnx", r"onnxruntime"]),
+]
+COMPRESSION_PATTERNS = [
+    ("Quantization", [r"quantize", r"quantization", r"int8", r"QAT", r"post_training_quantization"]),
+    ("Pruning", [r"prune", r"sparsity", r"sparse\."]),
+    ("Knowledge Distillation", [r"distill", r"teacher.*student", r"knowledge.*transfer"]),
+    ("Low-Rank Factorization", [r"svd", r"factorization", r"decomposition"]),
+]
+FRAMEWORKS, COMPRESSION = ([(name, "|".join(patterns)) for name, patterns in table] for table in (FRAMEWORK_PATTERNS, COMPRESSION_PATTERNS))
 HARDWARE = [("GPU", r"cuda|gpu|device|to\(['\"]cuda"), ("TPU", r"tpu|xla|pjit"), ("Edge", r"quantize|tflite|coreml|onnx|mobile|edge")]
 CLOUDS = [("AWS", r"aws|amazon|ec2|s3|sagemaker"), ("GCP", r"gcp|google cloud|gcs|vertex|gke"), ("Azure", r"azure|microsoft|blob")]
-COMPRESSION = [("Quantization", r"quantize|quantization|int8|QAT|post_training_quantization"), ("Pruning", r"prune|sparsity|sparse\."), ("Knowledge Distillation", r"distill|teacher.*student|knowledge.*transfer"), ("Low-Rank Factorization", r"svd|factorization|decomposition")]
 ALIGNED = {"PyTorch": ["Transformer", "Vision Transformer", "Graph Neural Network", "Diffusion Model"], "TensorFlow": ["Transformer", "Vision Transformer", "Diffusion Model"], "JAX": ["Transformer", "Diffusion Model"]}
 RULES_SCHEMA = "rule string, pattern string, unless string, severity string, suggestion string"
 RULES = [

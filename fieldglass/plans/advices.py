@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldglass import reftables as ref
-from fieldglass.operators import advice, textscan
+from fieldglass.operators import advice, security, textscan
 from fieldglass.plans import rules
 from fieldglass.plans.facts import derived, derived_sql
 from fieldglass.plans.quality import read, rounded
@@ -28,6 +28,26 @@ def ad_platform_advice(spark, sf_dir):
     return advice.platform_advice(derived(spark, sf_dir, "code"))
 
 
+def ad_technique_advice(spark, sf_dir):
+    return advice.technique_advice(derived(spark, sf_dir, "code"))
+
+
+def ad_instance_advice(spark, sf_dir):
+    return advice.instance_advice(derived(spark, sf_dir, "code"))
+
+
+def ad_robustness_advice(spark, sf_dir):
+    """Score, attacks and summary of suppliers as models; results of an attack are their mean."""
+    attacks = derived(spark, sf_dir, "attacks")
+    by_attack = attacks.groupBy("model", "attack").agg(F.avg("robustness").alias("robustness"))
+    return advice.robustness_advice(security.robustness(attacks), by_attack, security.robustness_details(attacks))
+
+
+def ad_iso_times(spark, sf_dir):
+    """ISO 8601 with seconds, as reports print times."""
+    return read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
 def ad_complexity_advice(spark, sf_dir):
     return advice.complexity_advice(derived(spark, sf_dir, "runs"))
 
@@ -123,3 +143,13 @@ ORACLES = {
     "ad_version_stamp": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS version FROM events",
     "ad_fingerprints": "SELECT l_orderkey AS model, md5(string_agg(coalesce(l_returnflag, '') || ':' || coalesce(CAST(l_partkey AS VARCHAR), ''), ',' ORDER BY l_linenumber, coalesce(l_returnflag, '') || ':' || coalesce(CAST(l_partkey AS VARCHAR), ''))) AS fingerprint FROM lineitem GROUP BY 1",
 }
+_A = derived_sql("attacks", "a")
+ORACLES |= {
+    "ad_technique_advice": f"WITH {_v(advice.TECHNIQUES, advice.TECHNIQUES_SCHEMA, 'q')} SELECT snippet_id, technique, recommendation FROM (SELECT DISTINCT snippet_id, technique FROM ({ORACLES['ad_compression_openings']})) JOIN q USING (technique)",
+    "ad_instance_advice": f"WITH {_v(advice.INSTANCES, advice.INSTANCES_SCHEMA, 'q')} SELECT snippet_id, name, class, unnest(instances) AS instance FROM (SELECT * FROM {_INFERRED} WHERE kind = 'cloud') JOIN q USING (name)",
+    "ad_iso_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events",
+    "ad_robustness_advice": f"WITH {_A}, s AS (SELECT model, coalesce(avg(CASE WHEN original_accuracy = 0 THEN 0 ELSE adversarial_accuracy / original_accuracy END), 0) * 100 AS score, coalesce(avg(success_rate), 0) AS ok, coalesce(min(robustness), 1) AS worst, 1 - coalesce(stddev_pop(robustness), 0) AS even FROM a GROUP BY 1), b AS (SELECT model, attack, avg(robustness) AS r FROM a GROUP BY ALL) "
+    + _fired("s", "model", ("true", "training", "info", "train on adversarial examples"), ("true", "ensemble", "info", "combine several models"), ("score < 30", "architecture", "high", "redesign for robustness"), ("score < 30", "training", "high", "defensive distillation"), ("score < 30", "input", "high", "preprocess inputs"),
+             ("score >= 30 AND score < 60", "training", "medium", "regularize"), ("score >= 30 AND score < 60", "input", "medium", "squeeze features"), ("score >= 30 AND score < 60", "training", "medium", "mask gradients"), ("worst < 0.2", "worst case", "high", "train on the weakest attack"), ("even < 0.5", "consistency", "medium", "even out attacks"), ("ok > 0.7", "detection", "high", "detect adversarial examples"))
+    + " UNION ALL " + _fired("b", "model", ("attack = 'fgsm' AND r < 0.5", "attack", "medium", "mask gradients against gradient attacks"), ("attack = 'pgd' AND r < 0.4", "attack", "medium", "train on projected gradient attacks"), ("attack = 'carlini_wagner' AND r < 0.3", "attack", "medium", "distil against optimization attacks"), ("attack = 'spatial_transformation' AND r < 0.6", "attack", "medium", "train on spatial transformations")),
+}

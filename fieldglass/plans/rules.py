@@ -54,6 +54,28 @@ def co_instance_scores(spark, sf_dir):
     return rounded(cost.instance_scores(derived(spark, sf_dir, "prices"), 1.0).select("provider", "instance", "cost_score", "performance_score", "memory_score", "score"))
 
 
+def co_top_alternatives(spark, sf_dir):
+    return cost.top_alternatives(co_instance_rank(spark, sf_dir)).select("name", "rank", "instance", "cost")
+
+
+def co_comparison(spark, sf_dir):
+    return rounded(cost.comparison(co_instance_rank(spark, sf_dir), derived(spark, sf_dir, "prices")))
+
+
+def co_cost_breakdown(spark, sf_dir):
+    return rounded(cost.cost_breakdown(co_instance_rank(spark, sf_dir)))
+
+
+def co_validated_results(spark, sf_dir):
+    return cost.validated_results(derived(spark, sf_dir, "results"))
+
+
+def rf_inference_time(spark, sf_dir):
+    """Operations in thousands of millions, so that times are seconds."""
+    layers = derived(spark, sf_dir, "layers").withColumn("flops", F.col("flops") * 1e9)
+    return rounded(roofline.inference_time(layers))
+
+
 def co_provision_class(spark, sf_dir):
     return derived(spark, sf_dir, "fleet").select("name", cost.provisioning(F.col("gpu_util"), F.col("memory_util")).alias("provisioning"))
 
@@ -284,3 +306,11 @@ ORACLES = {
     "tx_keyword_overlap": f"WITH {derived_sql("words_a", "a")}, {derived_sql("words_b", "b")}, s AS (SELECT a.name AS a_name, b.name AS b_name, len(list_intersect(a.keywords, b.keywords)) / greatest(len(a.keywords), len(b.keywords)) AS score FROM a, b) SELECT a_name, b_name, round(score, 6) AS score FROM s WHERE score > 0.5",
     "tx_conversations": f"SELECT architecture, count(*) AS n, CAST(sum(votes) AS BIGINT) AS votes FROM ({_vote('''SELECT conv_id || '-' || turn AS snippet_id, coalesce(text, '') AS code FROM conversations''')}) GROUP BY 1",
 }
+_RANKING = ORACLES["co_instance_rank"]
+ORACLES |= {
+    "co_top_alternatives": f"SELECT name, rank, instance, cost FROM ({_RANKING}) WHERE rank <= 5",
+    "co_comparison": f"WITH t AS (SELECT * FROM ({_RANKING}) WHERE rank <= 5), r AS (SELECT DISTINCT name, 0 AS place, current AS instance FROM t UNION ALL SELECT name, rank, instance FROM t), {_PRICES} SELECT name, CAST(place AS INTEGER) AS place, instance, round(cost, 6) AS cost, coalesce(gpus, 0) AS gpus, coalesce(ram, 0) AS memory FROM r JOIN p USING (instance)",
+    "co_cost_breakdown": f"SELECT name, round(current_cost, 6) AS current, round(cost, 6) AS recommended, round(greatest(0, current_cost - cost), 6) AS savings FROM ({_RANKING}) WHERE rank = 1",
+    "co_validated_results": f"WITH {derived_sql('results', 'r')} SELECT strategy, CASE WHEN throughput IS NULL OR memory_gb IS NULL THEN 'missing' WHEN throughput <= 0 THEN 'invalid' ELSE 'ok' END AS status FROM r",
+    "rf_inference_time": f"WITH {derived_sql('layers', 'l')} SELECT model, round(sum(flops) * 1e9 / 1e10, 6) AS cpu_s, round(sum(flops) * 1e9 / 1e13, 6) AS gpu_s FROM l GROUP BY 1 HAVING sum(flops) > 0",
+}
