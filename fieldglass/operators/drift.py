@@ -1,25 +1,29 @@
-"""Distribution drift between a reference and a current table."""
+"""Distribution drift between a reference and a current table.
+
+Nulls and edges: NULL and NaN are left out; a category that is absent on one side counts 0 there; without rows on a side, shares and
+the statistics that need them are NULL; repeated rows count each; columns not named are ignored.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions.guards import clean, ratio
+from fieldglass.functions.guards import clean, named, ratio
 from fieldglass.functions.special import chi_square_p, kolmogorov_p
+from fieldglass.functions.stages import settle
 
 
-def ks(reference: DataFrame, current: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """n_reference, n_current, d, p_value, drifted: two-sample Kolmogorov-Smirnov.
 
-    Rows are first reduced to counts per distinct value. The running counts have two levels, so no task orders all values: value
-    ranges (cut at a sketch's quantiles) and values within a range.
+    Rows are first reduced to counts per distinct value. The running counts have two levels, so no task orders all values: sampled
+    ranges of values, and values within a range. NULL and NaN are left out.
     """
-    cell = clean(reference).select(F.col(column).cast("double").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(clean(current).select(F.col(column).cast("double").alias("x"), F.lit(0).alias("r"), F.lit(1).alias("c")))
+    cell = clean(reference).select(named(column).cast("double").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(clean(current).select(named(column).cast("double").alias("x"), F.lit(0).alias("r"), F.lit(1).alias("c")))
     counts = cell.filter("x is not null").groupBy("x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    cuts = sorted(set(counts.agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    placed = counts.withColumn("b", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]).cast("array<double>"), lambda y: y < F.col("x"))))
-    totals = placed.groupBy("b").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))  # at most ``buckets`` rows
+    placed = settle(counts.repartitionByRange("x").withColumn("b", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("b").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))  # a row a range
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("b", F.coalesce(F.sum("br").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("c0"))
     sizes = totals.agg(F.sum("br").alias("nr"), F.sum("bc").alias("nc"))

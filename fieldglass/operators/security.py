@@ -13,8 +13,8 @@ SEVERITIES = ("critical", "high", "medium", "low")
 def findings(models: DataFrame, rules: DataFrame) -> DataFrame:
     """model, type, name, severity, cve: one row per model and rule that holds.
 
-    Each model yields its facts as (field, value) rows that meet the rules in an equi-join; rules on parts of a name (a handful
-    of rows) meet the models by substring.
+    Each model yields its facts as (field, value) rows that meet the rules in equi-joins: by field and value, and, for rules on parts of
+    a name or on sizes, by field. A missing fact meets no rule; a missing number of parameters is 0.
     """
     arch, framework = F.lower(F.coalesce("architecture", F.lit(""))), F.lower(F.coalesce("framework", F.lit("")))
     fact = lambda field, value: F.struct(F.lit(field).alias("field"), value.cast("string").alias("wanted"))
@@ -26,7 +26,11 @@ def findings(models: DataFrame, rules: DataFrame) -> DataFrame:
     facts = models.select("model", F.inline(F.concat(single, techniques)))
     columns = ["model", "type", "name", "severity", "cve"]
     exact = facts.join(rules, ["field", "wanted"]).select(*columns)
-    loose = models.select("model", arch.alias("arch"), F.coalesce("parameters", F.lit(0)).alias("parameters")).join(rules.filter("field in ('architecture contains', 'architecture any', 'parameters over')"), (F.col("field").startswith("architecture") & F.expr("rlike(arch, wanted)")) | ((F.col("field") == "parameters over") & (F.col("parameters") > F.expr("try_cast(wanted as long)"))))
+    part = lambda field, value: F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"))
+    parts = models.select("model", F.inline(F.array(part("architecture contains", arch), part("architecture any", arch), part("parameters over", F.coalesce("parameters", F.lit(0))))))
+    holds = F.when(F.col("field") == "architecture contains", F.contains(F.col("value"), F.col("wanted"))).when(F.col("field") == "architecture any", F.expr("rlike(value, wanted)"))
+    holds = holds.otherwise(F.expr("try_cast(value as bigint) > try_cast(wanted as bigint)"))
+    loose = parts.join(rules, "field").filter(holds)
     return exact.unionByName(loose.select(*columns))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.operators import ruleindex
+
 #: Fixed values. Architectures, in order of precedence, and what speaks for them.
 ARCHITECTURES = [
     ("transformer", [r"(attention|transformer|mha|multi.?head|bert|gpt|llm|roberta|t5|bart|electra|albert|distilbert|longformer|reformer|xlnet)", r"(encoder|decoder).+layers", r"self\.attention"]),
@@ -84,8 +86,7 @@ def apply_rules(code: DataFrame, rules: DataFrame, min_severity: str = "low", di
     """snippet_id, rule, severity, suggestion: rules that match and whose exception does not; severities compare by rank."""
     rank = F.array_position(F.array(*[F.lit(x) for x in SEVERITY_RANK]), F.col("severity"))
     on = rules.filter((rank >= SEVERITY_RANK.index(min_severity) + 1) & ~F.col("rule").isin(list(disabled)))
-    hit = F.expr("rlike(code, pattern) and (unless is null or not rlike(code, unless))")
-    found = code.join(F.broadcast(on), hit).select("snippet_id", "rule", "severity", "suggestion")  # rules are a short list
+    found = ruleindex.match_rules(code, on, "snippet_id", "code").join(on.drop("pattern", "unless"), "rule").select("snippet_id", "rule", "severity", "suggestion")
     if most is None:
         return found
     order = Window.partitionBy("snippet_id").orderBy(F.desc(F.array_position(F.array(*[F.lit(x) for x in SEVERITY_RANK]), F.col("severity"))), "rule")
@@ -103,7 +104,9 @@ def architecture_vote(code: DataFrame) -> DataFrame:
 def known_patterns(code: DataFrame) -> DataFrame:
     """snippet_id, pattern, family, time, space: known algorithms whose name stands in the code."""
     table = code.sparkSession.createDataFrame(PATTERNS, "pattern string, family string, time string, space string")
-    return code.join(F.broadcast(table), F.contains(F.lower("code"), F.col("pattern"))).select("snippet_id", "pattern", "family", "time", "space")
+    rules = table.select(F.col("pattern").alias("rule"), F.concat(F.lit("(?i)"), "pattern").alias("pattern"), F.lit(None).cast("string").alias("unless"))
+    found = ruleindex.match_rules(code, rules, "snippet_id", "code").withColumnRenamed("rule", "pattern")
+    return found.join(table, "pattern").select("snippet_id", "pattern", "family", "time", "space")
 
 
 def recognize(code: DataFrame) -> DataFrame:
