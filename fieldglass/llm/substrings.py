@@ -5,9 +5,11 @@ has a word sequence that starts earlier: in a smaller doc_id, or further left in
 runs over shards of whole documents, about ``shard_mb`` of text each, dealt by a hash of the id:
 
 1. *Candidates.* Each window is marked by its smallest ``gram``-word hash (its anchor), so equal windows have equal anchors.
-   Every shard sends the distinct anchors it holds, packed by hash range. Anchors seen twice come back.
+   Every shard sends the distinct anchors it holds, packed by hash range (one range for every ``PER_RANGE`` shards). Anchors seen twice come
+   back, with the number of shards that hold them.
 2. *Confirmation.* For windows with a recurring anchor each shard sends anchor, window hash (together 128 bits) and the
-   first place in the shard, packed by hash range: once a shard, however many copies it holds.
+   first place in the shard, packed by hash range: once a shard, however many copies it holds. An anchor that very many shards hold, like
+   that of a line in ever other surroundings, is split by window hash into as many parts as keep ``PER_PART`` shards each.
    The least place of all shards is where the passage first stands. Each shard gets back those of its
    passages that recur, as runs of consecutive windows with the place where each first stands.
 3. *Automata.* Each shard compiles its confirmed passages into an Aho-Corasick automaton (phrases
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import joined_id, shards_for, split_id, words
 
 LAST = (1 << 63) - 1
+#: Shards whose anchors meet in one task, and shards whose windows of one anchor do.
+PER_RANGE, PER_PART = 16, 64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -112,13 +116,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), *kept_cols)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("d", "dn"), F.lit(n)).cast("int")).repartition(n, "shard")
     texts = rows.select("shard", "d", "dn", "t")
+    n_ranges, per_part = -(-n // PER_RANGE), PER_PART
 
     def send_anchors(docs: pd.DataFrame) -> pd.DataFrame:
         _, _, at, h = Shard(docs).windows(window, gram)
         _, one = np.unique(at, return_index=True)
         u, times = np.unique(h[one], return_counts=True)
-        parts = _ranges(u, n)
-        cuts = np.searchsorted(parts, np.arange(n + 1))
+        parts = _ranges(u, n_ranges)
+        cuts = np.searchsorted(parts, np.arange(n_ranges + 1))
         out = [(int(p), int(docs["shard"].iloc[0]), *_bytes(u[a:b], times[a:b] > 1)) for p in np.unique(parts) for a, b in [(cuts[p], cuts[p + 1])]]
         return pd.DataFrame(out, columns=["part", "shard", "h", "twice"])
 
@@ -128,19 +133,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         u, where, times = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
         often = times > 1
         often[where[twice]] = True
-        found = [(int(s), x[often[np.searchsorted(u, x)]].tobytes()) for s, x in zip(sent["shard"], h)]
-        return pd.DataFrame([x for x in found if x[1]], columns=["shard", "h"])
+        found = []
+        for s, x in zip(sent["shard"], h):
+            at = np.searchsorted(u, x)
+            pick = often[at]
+            found.append((int(s), *_bytes(x[pick], times[at[pick]].astype(np.uint32))))
+        return pd.DataFrame([x for x in found if x[1]], columns=["shard", "h", "held"])
 
     def send_windows(docs: pd.DataFrame, recurring: pd.DataFrame) -> pd.DataFrame:
-        columns = ["part", "shard", "anchor", "doc", "key", "n", "w", "twice"]
+        columns = ["part", "sub", "shard", "anchor", "doc", "key", "n", "w", "twice"]
         if not len(docs) or not len(recurring):
             return pd.DataFrame(columns=columns)
         shard = Shard(docs)
         word, doc, at, h = shard.windows(window, gram)
-        known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in recurring["h"]]))
+        known, held = np.concatenate([np.frombuffer(x, np.uint64) for x in recurring["h"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in recurring["held"]])
+        by_hash = np.argsort(known)
+        known, held = known[by_hash], held[by_hash]
         spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
         pick = np.flatnonzero(known[spot] == h)
-        word, doc, at, h = word[pick], doc[pick], at[pick], h[pick]
+        word, doc, at, h, held = word[pick], doc[pick], at[pick], h[pick], held[spot[pick]].astype(np.int64)
         w = shard.hashes(word, window, 0xC2B2AE3D27D4EB4F)
         order = np.lexsort((word, w, h))
         fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])]) if len(order) else np.zeros(0, bool)
@@ -149,19 +160,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         one = order[heads]
         by_place = np.argsort(one)
         one, times = one[by_place], times[by_place]
-        word, doc, at, h, w = word[one], doc[one], at[one], h[one], w[one]
-        part = _ranges(h, n)
-        order = np.argsort(part, kind="stable")
-        word, doc, at, h, w, times, part = (x[order] for x in (word, doc, at, h, w, times, part))
-        head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (word[1:] != word[:-1] + 1) | (part[1:] != part[:-1])])) if len(at) else np.zeros(0, np.int64)
+        word, doc, at, h, w, held = word[one], doc[one], at[one], h[one], w[one], held[one]
+        part, sub = _ranges(h, n), (w % (-(-held // per_part)).astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((np.arange(len(part)), sub, part))
+        word, doc, at, h, w, times, part, sub = (x[order] for x in (word, doc, at, h, w, times, part, sub))
+        other = (part[1:] != part[:-1]) | (sub[1:] != sub[:-1])
+        head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (word[1:] != word[:-1] + 1) | other])) if len(at) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([head, [len(at)]]))
         key = (shard.sub[doc] << 32) + word - shard.first[doc]
         out = []
-        for p in np.unique(part):
-            a, b = np.searchsorted(part, [p, p + 1])
+        begins = np.concatenate([[0], np.flatnonzero(other) + 1]) if len(at) else np.zeros(0, np.int64)
+        for a, b in zip(begins, np.append(begins[1:], len(at))):
             i, j = np.searchsorted(head, [a, b])
             x = head[i:j]
-            out.append((int(p), int(docs["shard"].iloc[0]), *_bytes(h[x], shard.doc[doc[x]], key[x], size[i:j].astype(np.uint16), w[a:b], times[a:b] > 1)))
+            out.append((int(part[a]), int(sub[a]), int(docs["shard"].iloc[0]), *_bytes(h[x], shard.doc[doc[x]], key[x], size[i:j].astype(np.uint16), w[a:b], times[a:b] > 1)))
         return pd.DataFrame(out, columns=columns)
 
     def confirm(sent: pd.DataFrame) -> pd.DataFrame:
@@ -202,9 +214,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return result.assign(**{f"k{i}": out[f"k{i}"] for i in range(len(keep))})
 
     anchors = texts.groupBy("shard").applyInPandas(send_anchors, "part int, shard int, h binary, twice binary")
-    recurring = anchors.groupBy("part").applyInPandas(find_recurring, "shard int, h binary")
-    sent = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(send_windows, "part int, shard int, anchor binary, doc binary, key binary, n binary, w binary, twice binary")
-    confirmed = sent.groupBy("part").applyInPandas(confirm, "shard int, runs binary")
+    recurring = anchors.groupBy("part").applyInPandas(find_recurring, "shard int, h binary, held binary")
+    sent = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(send_windows, "part int, sub int, shard int, anchor binary, doc binary, key binary, n binary, w binary, twice binary")
+    confirmed = sent.groupBy("part", "sub").applyInPandas(confirm, "shard int, runs binary")
     types = {c: t for c, t in rows.dtypes}
     schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", k{i} {types[f'k{i}']}" for i in range(len(keep)))
     result = rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInPandas(mark, schema)

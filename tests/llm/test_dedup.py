@@ -32,6 +32,18 @@ def test_substrings_odd(odd_docs, shard_mb):
     assert sum(x[2] for x in want) > 200
 
 
+def test_a_frequent_line_in_many_surroundings(spark, monkeypatch):
+    """One line of 12 words in thousands of texts gives all its windows one anchor; its parts stay small, messages few, and results whole."""
+    rng = random.Random(2)
+    line = " ".join(f"line{i}" for i in range(12))
+    other = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    texts = [f"{other(6)} {line} {other(6)}" for _ in range(3000)]
+    rows = list(enumerate(texts + texts[:50] + [f"{line} {other(3)} {t} x" for t in texts[100:140]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substrings, "PER_PART", 3)
+    assert got_substrings(docs, shard_mb=0.005) == brute_substrings(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_substrings_random(spark, seed):
     """Few words, so passages repeat, overlap and nest in many ways, also within a document."""
