@@ -1,4 +1,7 @@
-"""Findings that need a syntax tree: a small per-row helper inside an Arrow batch function."""
+"""Findings that need a syntax tree: a small per-row helper inside an Arrow batch function.
+
+Nulls and edges: code that does not parse has ``parsed`` false and no facts; null or empty code parses and has none; repeated snippets are rows of their own; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

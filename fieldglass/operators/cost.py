@@ -1,4 +1,8 @@
-"""Cloud cost: instance choice, forecasts, serverless estimates, parallelism advice."""
+"""Cloud cost: instance choice, forecasts, serverless estimates, parallelism advice.
+
+Nulls and edges: unknown utilizations count as one half, unknown GPUs as one, unknown memory as none; a provider whose costs are all 0 or null has null scores; results without throughput
+or memory are not ranked; ties go to the first name; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Personal data, quasi-identifiers and the risk they make."""
+"""Personal data, quasi-identifiers and the risk they make.
+
+Nulls and edges: a null text matches nothing; an empty table has counts of 0 and no quasi-identifiers, so a low risk; repeated rows count each; column names may hold any
+characters; a table without text columns gives no row.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions.guards import string_columns
+from fieldglass.functions.guards import named, string_columns
 from fieldglass.operators.profile import uniqueness
 
 #: Patterns of personal data.
@@ -27,9 +31,9 @@ def pii_scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     if not cells:
         return df.sparkSession.createDataFrame([], "column_name string, kind string, n_rows long")
     # what a pattern cannot do without is cheap to look for and spares most texts the pattern
-    needs = lambda c, k: F.col(c).contains("@") if k == "email" else F.col(c).rlike("[0-9]{3}" if k != "ip_address" else "[0-9]")
-    one = df.agg(*[F.count_if(needs(c, k) & F.col(c).rlike(PII[k])).alias(name) for c, k, name in cells])
-    return one.selectExpr(f"stack({len(cells)}, " + ", ".join(f"'{c}', '{k}', {name}" for c, k, name in cells) + ") as (column_name, kind, n_rows)")
+    needs = lambda c, k: named(c).contains("@") if k == "email" else named(c).rlike("[0-9]{3}" if k != "ip_address" else "[0-9]")
+    one = df.agg(*[F.count_if(needs(c, k) & named(c).rlike(PII[k])).alias(name) for c, k, name in cells])
+    return one.select(F.stack(F.lit(len(cells)), *[x for c, k, name in cells for x in (F.lit(c), F.lit(k), F.col(name))]).alias("column_name", "kind", "n_rows"))
 
 
 def quasi_identifiers(df: DataFrame) -> DataFrame:

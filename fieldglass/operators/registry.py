@@ -1,4 +1,8 @@
-"""Append-only registries: the current state is a query over the events."""
+"""Append-only registries: the current state is a query over the events.
+
+Nulls and edges: a null key is a key; events without a time come before all others; ties go to the later sequence number or the larger version; repeated events change nothing; an
+empty registry has no current state.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Roofline classification of operations, layer bottlenecks, vector efficiency."""
+"""Roofline classification of operations, layer bottlenecks, vector efficiency.
+
+Nulls and edges: operations of unknown or too short times are left out, those of unknown devices too; unknown byte counts are estimated; a group without operations has null shares; an empty shape list has
+no bytes and efficiency 0; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Schema expectations and schema drift, as rows."""
+"""Schema expectations and schema drift, as rows.
+
+Nulls and edges: NULL and NaN are never out of range or outside a list; an empty table has no violations of values, only of columns; an empty list of rules finds every column unexpected.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldglass.functions.guards import clean
+from fieldglass.functions.guards import clean, named
 
 RULES = "column_name string, type string, min double, max double, categories array<string>"
 
@@ -39,9 +42,9 @@ def validate(df: DataFrame, rules: list[tuple]) -> DataFrame:
             found.append((name, "wrong_type", actual[name].simpleString()))
             continue
         if kind == "numeric":
-            checks.append(F.struct(F.min(F.col(name)).cast("double").alias("lo"), F.max(F.col(name)).cast("double").alias("hi")))
+            checks.append(F.struct(F.min(named(name)).cast("double").alias("lo"), F.max(named(name)).cast("double").alias("hi")))
         else:
-            checks.append(F.array_sort(F.collect_set(F.when(~F.col(name).isin(list(categories or [])), F.col(name)))))
+            checks.append(F.array_sort(F.collect_set(F.when(~named(name).isin(list(categories or [])), named(name)))))
         meta.append((name, kind, low, high))
     values = df.agg(F.lit(0), *checks).first()[1:] if checks else []
     for (name, kind, low, high), v in zip(meta, values):
@@ -57,4 +60,4 @@ def validate(df: DataFrame, rules: list[tuple]) -> DataFrame:
 
 def invalid_categories(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """value, n: values outside the allowed list (an anti join in spirit; the list is a literal)."""
-    return df.filter(F.col(column).isNotNull() & ~F.col(column).isin(allowed)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return df.filter(named(column).isNotNull() & ~named(column).isin(allowed)).groupBy(named(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))

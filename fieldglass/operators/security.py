@@ -1,4 +1,7 @@
-"""Security findings by rule tables, and scores."""
+"""Security findings by rule tables, and scores.
+
+Nulls and edges: a missing fact meets no rule; a model without findings scores 100; a zero original accuracy counts as robustness 0, a null one is left out; an empty table gives an empty result; repeated findings count each.
+"""
 
 from __future__ import annotations
 

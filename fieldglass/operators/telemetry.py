@@ -1,4 +1,8 @@
-"""Histories of metrics: trailing windows, series statistics, latest records."""
+"""Histories of metrics: trailing windows, series statistics, latest records.
+
+Nulls and edges: rows without a time are in no window or range and are never latest unless all of a key are; a null key is a series; ties on time go to the largest tie-breaker; an
+empty table gives an empty result; extra columns pass through filters and are dropped by aggregates.
+"""
 
 from __future__ import annotations
 

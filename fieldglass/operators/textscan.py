@@ -1,4 +1,7 @@
-"""Rules over code text, as regular expressions and substrings: findings are rows."""
+"""Rules over code text, as regular expressions and substrings: findings are rows.
+
+Nulls and edges: a null text matches nothing; empty code is unknown and runs on a CPU; repeated snippets give their findings once where findings are rows; empty tables give empty results; a snippet's id may be null.
+"""
 
 from __future__ import annotations
 

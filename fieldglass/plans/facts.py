@@ -40,6 +40,7 @@ FACTS = {
     "models": "SELECT concat('s', s_suppkey) AS model, CASE s_suppkey % 6 WHEN 0 THEN 'ResNet18' WHEN 1 THEN 'bert-base' WHEN 2 THEN 'VGG16' WHEN 3 THEN 'BiLSTM' WHEN 4 THEN 'MLP' END AS architecture, CASE s_suppkey % 4 WHEN 0 THEN @['quantization'] WHEN 1 THEN @['pruning', 'quantization'] WHEN 2 THEN @['distillation'] END AS techniques, CASE s_suppkey % 3 WHEN 0 THEN 'PyTorch' WHEN 1 THEN 'tensorflow' END AS framework, CASE s_suppkey % 5 WHEN 0 THEN '1.8.0' WHEN 1 THEN '2.4.0' ELSE '3.0' END AS framework_version, CASE s_suppkey % 7 WHEN 0 THEN 'rest_api' WHEN 1 THEN 'BROWSER' WHEN 2 THEN 'edge' END AS deployment, CAST(floor(s_acctbal) * 20000 AS BIGINT) AS parameters, CASE s_nationkey % 3 WHEN 0 THEN 'transfer_learning' WHEN 1 THEN 'federated_learning' END AS source, CASE s_nationkey % 4 WHEN 0 THEN NULL ELSE s_nationkey % 4 = 1 END AS api_exposed, CASE s_nationkey % 5 WHEN 0 THEN 'pickle' WHEN 1 THEN 'onnx' END AS serialization, s_nationkey % 2 = 0 AS container FROM {supplier}",
     "attacks": "SELECT concat('s', l_suppkey) AS model, CASE l_linenumber % 5 WHEN 0 THEN 'fgsm' WHEN 1 THEN 'pgd' WHEN 2 THEN 'carlini_wagner' WHEN 3 THEN 'deepfool' ELSE 'unlisted' END AS attack, CASE WHEN l_quantity < 3 THEN CAST(0 AS DOUBLE) ELSE l_quantity / 50 END AS original_accuracy, l_discount * 2.345678912345 AS adversarial_accuracy, l_tax * 11.2345678912345 AS robustness, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_discount * 1.2345678912345 END AS perturbation, l_tax * 1.2345678912345 AS success_rate FROM {lineitem}",
     "code": "SELECT concat('page-', page_id) AS snippet_id, concat(CASE WHEN html IS NULL THEN '' ELSE html END, chr(10), CASE page_id % 9 " + " ".join(f"WHEN {i} THEN concat('{p}')" for i, p in enumerate(_PIECES)) + " ELSE '' END) AS code FROM {pages}",
+    "scripts": "SELECT concat('o', o_orderkey) AS snippet_id, CASE o_orderkey % 6 WHEN 0 THEN concat('def f', o_custkey % 3, '(n):', chr(10), '    for i in range(n):', chr(10), '        g', o_custkey % 17, '(i)', chr(10)) WHEN 1 THEN concat('def h(n):', chr(10), '    return h(n - 1) + h(n - 2)', chr(10)) WHEN 2 THEN concat('import numpy as np', chr(10), 'import os', chr(10), 'np.dot(a, b)', chr(10)) WHEN 3 THEN 'def f(:' WHEN 4 THEN concat('def s(n):', chr(10), '    while n > 1:', chr(10), '        n = n // 2', chr(10)) END AS code FROM {orders}",
     "vectors": "SELECT concat('s', l_suppkey) AS name, l_quantity AS n, CASE l_suppkey % 4 WHEN 0 THEN l_quantity WHEN 1 THEN l_quantity * l_quantity WHEN 2 THEN CAST(7 AS DOUBLE) ELSE l_quantity * l_quantity * l_quantity END AS y FROM {lineitem}",
     "mentions": "SELECT concat('c', o_custkey) AS name, CASE o_orderkey % 9 WHEN 0 THEN 'O(n)' WHEN 1 THEN 'O(1) or O(n log n)' WHEN 2 THEN 'O(n^2)' WHEN 3 THEN 'O(log n)' ELSE o_orderpriority END AS said FROM {orders}",
     "scaling": "SELECT l_returnflag AS strategy, l_linenumber AS devices, CAST(count(*) AS DOUBLE) AS throughput FROM {lineitem} WHERE l_linestatus = 'O' AND l_returnflag = 'N' GROUP BY l_returnflag, l_linenumber",

@@ -6,7 +6,7 @@ import html
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from fieldglass.operators import bias, privacy, profile
 
@@ -15,10 +15,22 @@ def _cell(value) -> str:
     return "" if value is None else f"{value:.2f}" if isinstance(value, float) else str(value)
 
 
-def table(rows: DataFrame | Sequence[Mapping], limit: int = 200) -> tuple[list[str], list[list[str]]]:
-    """Header and cells of a small table; a DataFrame is read up to ``limit`` rows."""
+#: Rows that a section of a report may have.
+MOST_ROWS = 10_000
+
+
+def read_small(rows: DataFrame) -> list[Row]:
+    """All rows of a small table; one of more than ``MOST_ROWS`` is an error, not a shortened report."""
+    found = rows.limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"a section of more than {MOST_ROWS} rows is no report; write it as a table")
+    return found
+
+
+def table(rows: DataFrame | Sequence[Mapping]) -> tuple[list[str], list[list[str]]]:
+    """Header and cells of a small table, whole."""
     if isinstance(rows, DataFrame):
-        return rows.columns, [[_cell(v) for v in r] for r in rows.limit(limit).collect()]
+        return rows.columns, [[_cell(v) for v in r] for r in read_small(rows)]
     names = list(rows[0]) if rows else []
     return names, [[_cell(r.get(n)) for n in names] for r in rows]
 
@@ -52,8 +64,8 @@ def html_page(title: str, sections: Mapping[str, DataFrame | Sequence[Mapping] |
     return "".join(parts) + "</body></html>"
 
 
-def as_json(sections: Mapping[str, DataFrame | Sequence[Mapping] | str], limit: int = 200) -> str:
-    return json.dumps({n: [r.asDict(recursive=True) for r in b.limit(limit).collect()] if isinstance(b, DataFrame) else b for n, b in sections.items()}, default=str, ensure_ascii=False)
+def as_json(sections: Mapping[str, DataFrame | Sequence[Mapping] | str]) -> str:
+    return json.dumps({n: [r.asDict(recursive=True) for r in read_small(b)] if isinstance(b, DataFrame) else b for n, b in sections.items()}, default=str, ensure_ascii=False)
 
 
 def quality_sections(df: DataFrame, attribute: str | None = None, target: str | None = None) -> dict[str, DataFrame | list | str]:

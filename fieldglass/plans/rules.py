@@ -195,11 +195,12 @@ def tx_conversations(spark, sf_dir):
 
 
 def cs_code_facts(spark, sf_dir):
-    return codescan.scan(derived(spark, sf_dir, "code"))
+    found = codescan.scan(derived(spark, sf_dir, "scripts"))
+    return found.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in found.dtypes])
 
 
 def cs_call_frequency(spark, sf_dir):
-    return codescan.scan(derived(spark, sf_dir, "code")).select(F.explode("calls").alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n"))
+    return codescan.scan(derived(spark, sf_dir, "scripts")).select(F.explode("calls").alias("call")).groupBy("call").agg(F.count(F.lit(1)).alias("n"))
 
 
 NAMES = [n for n in dir() if n.startswith(("sc_", "co_", "rf_", "vc_", "tx_", "cs_"))]
@@ -314,3 +315,12 @@ ORACLES |= {
     "co_validated_results": f"WITH {derived_sql('results', 'r')} SELECT strategy, CASE WHEN throughput IS NULL OR memory_gb IS NULL THEN 'missing' WHEN throughput <= 0 THEN 'invalid' ELSE 'ok' END AS status FROM r",
     "rf_inference_time": f"WITH {derived_sql('layers', 'l')} SELECT model, round(sum(flops) * 1e9 / 1e10, 6) AS cpu_s, round(sum(flops) * 1e9 / 1e13, 6) AS gpu_s FROM l GROUP BY 1 HAVING sum(flops) > 0",
 }
+
+#: What the pieces of code in the scripts hold, by the number of the order.
+_KIND = "o_orderkey % 6"
+ORACLES |= {
+    "cs_call_frequency": f"SELECT call, count(*) AS n FROM (SELECT unnest(CASE {_KIND} WHEN 0 THEN ['range', 'g' || o_custkey % 17] WHEN 1 THEN ['h', 'h'] WHEN 2 THEN ['dot'] ELSE [] END) AS call FROM orders) GROUP BY 1",
+    "cs_code_facts": f"""SELECT 'o' || o_orderkey AS snippet_id, {_KIND} <> 3 AS parsed, CAST(CASE WHEN {_KIND} IN (0, 4) THEN 1 ELSE 0 END AS INTEGER) AS loop_depth, CAST(CASE {_KIND} WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS recursive_calls,
+      CASE {_KIND} WHEN 0 THEN 'O(n)' WHEN 1 THEN 'O(2^n)' WHEN 3 THEN 'Unknown' WHEN 4 THEN 'O(log n)' ELSE 'O(1)' END AS complexity, CASE {_KIND} WHEN 2 THEN 'numpy,os' ELSE '' END AS imports, CASE {_KIND} WHEN 0 THEN 'f' || o_custkey % 3 WHEN 1 THEN 'h' WHEN 4 THEN 's' ELSE '' END AS functions,
+      CASE {_KIND} WHEN 0 THEN 'range,g' || o_custkey % 17 WHEN 1 THEN 'h,h' WHEN 2 THEN 'dot' ELSE '' END AS calls, CASE {_KIND} WHEN 0 THEN 'f' || o_custkey % 3 || '>g' || o_custkey % 17 || ',f' || o_custkey % 3 || '>range' WHEN 1 THEN 'h>h' ELSE '' END AS edges, '' AS frames FROM orders""",
+}

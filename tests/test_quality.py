@@ -158,3 +158,13 @@ def test_pii_anchors(spark):
 def test_pii_shapes(spark, kind, text):
     got = {r.kind: r.n_rows for r in privacy.pii_scan(spark.createDataFrame([(f"call {text} now",), (None,), ("2125550199",)], "t string")).collect()}
     assert got[kind] == 1
+
+
+def test_reports_are_whole_or_fail(spark, monkeypatch):
+    monkeypatch.setattr(reports, "MOST_ROWS", 250)
+    assert reports.markdown("x", {"a": spark.range(250)}).count("\n| ") == 251
+    for render in (reports.markdown, reports.html_page):
+        with pytest.raises(ValueError):
+            render("x", {"a": spark.range(251)})
+    with pytest.raises(ValueError):
+        reports.as_json({"a": spark.range(251)})

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import measure, profile
+from fieldglass.operators import bias, measure, privacy, profile, schema
 from fieldglass.operators.quantile import exact_quantiles
 
 AT = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
@@ -70,6 +70,9 @@ def test_odd_column_names(spark):
     assert {(r.column_a, r.column_b): r.r for r in profile.correlation(df).collect()}["it's", "two words"] is not None
     assert {r.column_name: r.feature_type for r in profile.feature_types(df).collect()}["back`tick"] == "categorical"
     assert {r.column_name: r.n_distinct for r in profile.uniqueness(df).collect()} == {"a.b": 7, "it's": 40, "back`tick": 3, "two words": 40, "a'; DROP": 2}
+    assert {(r.column_name, r.kind): r.n_rows for r in privacy.pii_scan(df.withColumn("a'; DROP", F.lit("me@x.org"))).collect()}["a'; DROP", "email"] == 40
+    assert bias.target_by_group(df, "back`tick", "it's").count() > 3 and bias.parity_gap(df, "back`tick", "a.b").first().min_rate is not None
+    assert schema.validate(df, [("a'; DROP", "numeric", 0, 50, None), ("back`tick", "categorical", None, None, ["t0", "t1", "t2"])]).filter("issue = 'above_max'").count() == 1
     assert profile.duplicates(df, ["a.b"]).first().n_groups == 7
     assert profile.value_distribution(df, "back`tick").count() == 3
 
