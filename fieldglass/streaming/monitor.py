@@ -1,4 +1,8 @@
-"""The batch profiles over streams: windowed counts with late data, and drift of a categorical column against a reference."""
+"""The batch profiles over streams: windowed counts with late data, and drift of a categorical column against a reference.
+
+Nulls and edges: a value that is missing is counted as such by the profile and left out of categories; rows without a time are in no window; an empty
+batch gives no window; repeated rows count each.
+"""
 
 from __future__ import annotations
 
@@ -22,10 +26,14 @@ def windowed_categories(stream: DataFrame, at: str, column: str, window: str = "
 
 
 def batch_drift(counts: DataFrame, reference: DataFrame) -> DataFrame:
-    """start, total_variation of each window's shares against reference shares (value, share); for use in ``foreachBatch``."""
-    totals = counts.groupBy("start").agg(F.sum("n").alias("total"))
-    grid = totals.crossJoin(F.broadcast(reference.select("value", F.col("share").alias("expected"))))  # a row a category
-    both = counts.join(grid, ["start", "value"], "full").select("start", "n", "total", "expected")
-    filled = both.join(totals.withColumnRenamed("total", "whole"), "start")
-    gap = F.abs(F.coalesce("n", F.lit(0)) / F.col("whole") - F.coalesce("expected", F.lit(0.0)))
-    return filled.groupBy("start").agg((F.sum(gap) / 2).alias("total_variation"))
+    """start, total_variation of each window's shares against reference shares (value, share); for use in ``foreachBatch``.
+
+    A category that a window lacks adds its reference share, which is what the seen ones leave of all shares; so no window is crossed with all categories.
+    """
+    expected = reference.select(F.col("value").alias("of"), F.col("share").alias("expected"))
+    every = reference.agg(F.sum("share").alias("every"))
+    both = counts.join(expected, F.col("value") == F.col("of"), "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+    totals = counts.groupBy(F.col("start").alias("begin")).agg(F.sum("n").alias("total"))
+    gap = F.abs(F.col("n") / F.col("total") - F.col("expected"))
+    seen = both.join(totals, F.col("start") == F.col("begin")).groupBy("start").agg(F.sum(gap).alias("gap"), F.sum("expected").alias("seen"))
+    return seen.crossJoin(every).select("start", ((F.col("gap") + F.col("every") - F.col("seen")) / 2).alias("total_variation"))
