@@ -14,15 +14,15 @@ from fieldglass.functions.special import chi_square_p, kolmogorov_p
 from fieldglass.functions.stages import settle
 
 
-def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+def ks(reference: DataFrame, current: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
     """n_reference, n_current, d, p_value, drifted: two-sample Kolmogorov-Smirnov.
 
     Rows are first reduced to counts per distinct value. The running counts have two levels, so no task orders all values: sampled
-    ranges of values, and values within a range. NULL and NaN are left out.
+    ranges of values (``buckets`` of them, if given), and values within a range. NULL and NaN are left out.
     """
     cell = clean(reference).select(named(column).cast("double").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(clean(current).select(named(column).cast("double").alias("x"), F.lit(0).alias("r"), F.lit(1).alias("c")))
     counts = cell.filter("x is not null").groupBy("x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    placed = settle(counts.repartitionByRange("x").withColumn("b", F.spark_partition_id()), "ranges")
+    placed = settle((counts.repartitionByRange(buckets, "x") if buckets else counts.repartitionByRange("x")).withColumn("b", F.spark_partition_id()), "ranges")
     totals = placed.groupBy("b").agg(F.sum("r").alias("br"), F.sum("c").alias("bc"))  # a row a range
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("b", F.coalesce(F.sum("br").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("c0"))

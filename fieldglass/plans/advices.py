@@ -11,6 +11,14 @@ from fieldglass.plans.facts import derived, derived_sql
 from fieldglass.plans.quality import read, rounded
 
 
+#: What the operators take, for callers that make such tables by hand.
+FOUND_SCHEMA = "pattern string, line int, function string"
+RUNS_SCHEMA = "name string, big_o string, architecture string, memory_mb double, slowest_s double, source string"
+MODELS_SCHEMA = "model string, params long, architecture string, heads int, layer_kinds array<string>, memory_mb double, framework string"
+LOOPS_SCHEMA = "snippet_id string, line int, depth int, vectorizable boolean, reason string"
+IMPORTS_SCHEMA = "snippet_id string, module string"
+MEASURED_SCHEMA = "model string, bytes double, batch int"
+
 
 def ad_pattern_advice(spark, sf_dir):
     return advice.pattern_advice(derived(spark, sf_dir, "found"))
