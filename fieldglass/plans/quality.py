@@ -285,7 +285,9 @@ ORACLES = {
         for t, c, num, date in [("orders", "o_orderkey", "true", "false"), ("orders", "o_custkey", "true", "false"), ("orders", "o_orderstatus", "false", "false"), ("orders", "o_totalprice", "true", "false"), ("orders", "o_orderdate", "false", "true"), ("orders", "o_orderpriority", "false", "false"), ("events", "event_id", "true", "false"), ("events", "ts", "false", "true"), ("events", "user_id", "true", "false"), ("events", "event_type", "false", "false"), ("events", "value", "true", "false"), ("events", "props", "false", "false"), ("labels", "doc_id", "true", "false"), ("labels", "quality", "true", "false"), ("labels", "toxic", "true", "false"), ("region", "r_regionkey", "true", "false"), ("region", "r_name", "false", "false")]
     ),
     "dq_schema_validation": "SELECT 'o_totalprice' AS column_name, 'below_min' AS issue, CAST(min(o_totalprice) AS VARCHAR) AS detail FROM orders HAVING min(o_totalprice) < 1000 UNION ALL SELECT 'o_totalprice', 'above_max', CAST(max(o_totalprice) AS VARCHAR) FROM orders HAVING max(o_totalprice) > 400000 UNION ALL SELECT DISTINCT 'o_orderstatus', 'invalid_category', o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL VALUES ('o_orderkey', 'wrong_type', 'bigint'), ('o_missing', 'missing', NULL), ('o_custkey', 'unexpected', NULL)",
-    "dq_schema_drift": "SELECT * FROM (VALUES ('added', 'new_column', NULL, 'int'), ('removed', 'o_orderpriority', 'string', NULL), ('type_changed', 'o_custkey', 'bigint', 'string')) t(change, column_name, reference_type, current_type)",
+    "dq_schema_drift": """WITH r AS (SELECT column_name, lower(column_type) AS t FROM (DESCRIBE SELECT * FROM orders)), c AS (SELECT column_name, lower(column_type) AS t FROM (DESCRIBE SELECT * EXCLUDE (o_orderpriority) REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey), CAST(1 AS INTEGER) AS new_column FROM orders)),
+      named AS (SELECT column_name, CASE r.t WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' ELSE r.t END AS reference_type, CASE c.t WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' ELSE c.t END AS current_type FROM r FULL JOIN c USING (column_name))
+      SELECT CASE WHEN reference_type IS NULL THEN 'added' WHEN current_type IS NULL THEN 'removed' ELSE 'type_changed' END AS change, column_name, reference_type, current_type FROM named WHERE reference_type IS DISTINCT FROM current_type""",
     "dq_invalid_categories": "SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1",
     "dq_pii_scan": _union(f"SELECT '{n}' AS column_name, '{k}' AS kind, count(*) FILTER (regexp_matches(text, '{p}')) AS n_rows FROM {t}" for t, n in (("documents", "text"), ("conversations", "turn_text")) for k, p in privacy.PII.items()),
     "dq_quasi_identifiers": f"SELECT column_name, uniqueness FROM ({_uniqueness('orders', ORDER_COLS)}) WHERE uniqueness > 80 AND uniqueness < 100",
