@@ -238,17 +238,23 @@ def _jaccard(x: str | None, y: str | None, shingle: int) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _apart(rows: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """Rows (key, pos, h, size) whose key is held by texts of different groups, with the group ``g``, the key's rows ``n`` and ``early``.
+def _placed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the group ``g`` of their text ``h``; a text that no link has reached is a group of its own."""
+    return rows.join(groups, F.col("h") == F.col("node"), "left").withColumn("g", F.coalesce("component", "h")).drop("node", "component")
+
+
+def _apart(placed: DataFrame, least: float) -> DataFrame:
+    """Rows (key, pos, h, size, g) whose key is held by texts of different groups, with the key's rows ``n`` and ``early``.
 
     If a key is the first that two similar sets share, nothing before it counts, so in the smaller set it is among the
     first ``n - ceil(2 * least / (1 + least) * n) + 1``: it is ``early`` there. A key that is early nowhere is dropped.
-    Keys are reduced before the shuffle and joined back, so a key that very many texts hold is split like any hot join key.
+    Rows are dealt by key once, and what is known of a key is found in that dealing; a key with very many texts is some narrow rows in one task.
     """
     early = F.col("pos") <= F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - 1e-9)
-    placed = rows.select("key", "pos", "h", "size").join(groups, F.col("h") == F.col("node"), "left").select("key", "pos", "h", "size", F.coalesce("component", "h").alias("g"), early.alias("early"))
-    kept = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.max("early").alias("any"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and any").select("key", "n")
-    return placed.join(kept, "key")
+    key = Window.partitionBy("key")
+    rows = placed.select("key", "pos", "h", "size", "g", early.alias("early"))
+    known = rows.select("*", F.min("g").over(key).alias("lo"), F.max("g").over(key).alias("hi"), F.max("early").over(key).alias("any"), F.count(F.lit(1)).over(key).alias("n"))
+    return known.filter("lo <> hi and any").drop("lo", "hi", "any")
 
 
 def _joined(sets: list[np.ndarray], group: np.ndarray, early: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
@@ -333,7 +339,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
     close = materialize(links(classes, classes.count(), guaranteed, reach).unionByName(same), "close")
     edges = materialize(confirm(close, docs, shingle, least, text_col), "links")
     groups = components(edges)
-    live = materialize(_apart(texts.select(F.col("text_hash").alias("h"), "size", F.posexplode("keys").alias("pos", "key")), groups, least), "shared")
+    # texts meet their groups before their keys are listed, which are many more
+    placed = _placed(texts.select(F.col("text_hash").alias("h"), "size", "keys"), groups)
+    live = materialize(_apart(placed.select("h", "size", "g", F.posexplode("keys").alias("pos", "key")), least), "shared")
     few = live.filter(F.col("n") <= FEW)
     other = few.select("key", F.col("h").alias("b"), F.col("g").alias("gb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
     # similar sets have so much in common, and all of it from their first shared key on
@@ -349,8 +357,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
             groups = components(edges)
 
     joined(confirm(pairs, docs, shingle, least, text_col))
-    wide = live.filter(F.col("n") > FEW)
-    many = materialize(_apart(wide, groups, least), "shared")
+    wide = live.filter(F.col("n") > FEW).drop("g", "early", "n")
+    many = materialize(_apart(_placed(wide, groups), least), "shared")
     if not many.isEmpty():
         bins = components(many.select(F.col("h").alias("a"), F.col("key").alias("b")))
         own = many.select("h", "g").distinct().join(bins, F.col("h") == F.col("node")).select(F.col("component").alias("key"), "h", "g")
@@ -359,7 +367,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
         large = bins.join(sizes.filter(F.col("n") > CHUNK), F.col("component") == F.col("key")).select(F.col("node").alias("h"))
         wide = materialize(wide.join(large, "h", "left_semi"), "wide")
         for first in (True, False):
-            many = materialize(_apart(wide, groups, least), "shared")
+            many = materialize(_apart(_placed(wide, groups), least), "shared")
             if many.isEmpty():
                 break
             if first:

@@ -197,3 +197,11 @@ def test_similar_texts_equals_all_pairs(spark, few):
     for i in range(len(texts)):
         least.setdefault(got[i], i)
     assert [least[got[i]] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+def test_shared_keys_are_dealt_once(spark):
+    """Keys of prefixes, many times the texts, cross the network once; the groups of texts join before they are listed."""
+    rows = spark.createDataFrame([(1, k, h, 10, h // 10) for k in range(5) for h in (10, 11, 20)] + [(1, 9, 10, 10, 1), (1, 9, 11, 10, 1), (10, 8, 10, 10, 1), (10, 8, 20, 10, 2)], "pos int, key long, h long, size int, g long")
+    found = simhash._apart(rows, 0.8)
+    assert {(r.key, r.h, r.n, r.early) for r in found.collect()} == {(k, h, 3, True) for k in range(5) for h in (10, 11, 20)}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
