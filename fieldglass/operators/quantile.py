@@ -3,7 +3,8 @@
 Each wanted order statistic has a bracket: two values of its group, how many values lie below them, and its rank. A round counts the values
 inside all brackets in a fixed number of bins and keeps, of each, the bin that holds the rank; the bin's smallest and
 largest value are the next bracket. It ends when every bracket is one value. Only counts are shuffled, at most ``bins`` a
-bracket and task, so a group with most of all rows needs no more memory than any other; nothing is sampled and no values are held.
+bracket and task, so a group with most of all rows needs no more memory than any other; nothing is sampled. Values are held only of groups
+with at most ``HELD`` of them, which are sorted as one row each and take no round.
 
 Bins split a bracket's values evenly in rounds 1, 3, ... and by magnitude in rounds 2, 4, ...; both ends have a bin of
 their own. So smooth data ends after two rounds, and values over hundreds of orders of magnitude take a few more, never one per value.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.stages import settle
 
+#: Groups of so many values at most are sorted whole: for them, counts in bins would be as many rows as the values.
+HELD = 4096
 #: Beyond this natural-log span, magnitudes split a bracket better than distances.
 WIDE = 3.0
 
@@ -57,6 +60,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, at: Seque
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(keys, names)], v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     rows = rows.withColumn("v", F.col("v") + F.lit(0.0))  # one zero
     sizes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("n > 0")
+    held = None
+    if names:
+        sizes = settle(sizes, "sizes")
+        few = sizes.filter(F.col("n") <= HELD).select(*[F.col(k).alias(f"b{k}") for k in names])
+        if not few.isEmpty():
+            of_few = rows.join(few, _same([F.col(k) for k in names], [F.col(f"b{k}") for k in names]), "left_semi")
+            held = of_few.groupBy(*names).agg(F.sort_array(F.collect_list("v")).alias("all")).withColumn("n", F.size("all").cast("long"))
+        sizes = sizes.filter(F.col("n") > HELD)
     wanted = []
     for i, p in enumerate(at):
         place = F.lit(float(p)) * (F.col("n") - 1)
@@ -89,6 +100,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, at: Seque
     for part in closed[1:]:
         done = done.unionByName(part)
     out = done.groupBy(*names, "n").agg(*[F.max(F.when(F.col("t") == t, F.col("lo"))).alias(f"s{t}") for t in range(2 * len(at))])
+    if held is not None:
+        place = lambda t: F.lit(float(at[t // 2])) * (F.col("n") - 1)
+        out = out.unionByName(held.select(*names, "n", *[F.element_at("all", (F.ceil(place(t)) if t % 2 else F.floor(place(t))).cast("int") + 1).alias(f"s{t}") for t in range(2 * len(at))]))
     quantiles = []
     for i, p in enumerate(at):
         place = F.lit(float(p)) * (F.col("n") - 1)

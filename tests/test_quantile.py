@@ -82,3 +82,16 @@ def test_memory_scaling(spark):
     found = {r.g: r for r in measure.memory_scaling(spark.createDataFrame(rows, "g string, n double, m double"), ["g"], "n", "m", 50.0).collect()}
     assert abs(found["line"].quality - 1) < 1e-6 and abs(found["line"].per_sample - 3) < 1e-9 and abs(found["line"].slope - 3) < 1e-9
     assert found["flat"].quality < 0.6 and "none" not in found
+
+
+def test_small_groups_take_no_round(spark, monkeypatch):
+    from fieldglass.operators import quantile
+
+    written, real = [], quantile.settle
+    monkeypatch.setattr(quantile, "settle", lambda df, label: written.append(label) or real(df, label))
+    rng = np.random.default_rng(5)
+    values = {k: rng.normal(size=n) for k, n in ((0, 1), (1, 2), (2, 501), (None, 64))}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [(7, None)], "k int, v double").repartition(3)
+    got = {r.k: (r.n, r.q0, r.q1) for r in quantile.exact_quantiles(rows, ["k"], F.col("v"), [0.5, 0.9]).collect()}
+    assert got.keys() == values.keys() and written == ["sizes", "brackets"]
+    assert all(got[k] == (len(v), pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.9))) for k, v in values.items())
