@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.stages import names_in
 from fieldglass.operators import cache, constraints, graph, ruleindex, sweep
+from fieldglass.plans import integrity
 from fieldglass.sources import arrays
 from fieldglass.streaming import history
 
@@ -175,3 +176,18 @@ def test_array_files(spark, tmp_path):
     back = load(out)
     assert len(list(out.iterdir())) >= 7 and sorted(r["row"] for r in back.collect()) == list(range(250))
     assert sorted((r.c0, r.c1, np.isnan(r.c2)) for r in back.collect()) == [(float(i), float(i * i), i % 7 == 0) for i in range(250)]
+
+
+def test_rule_index_looks_phrases_up_whole(spark):
+    assert ruleindex.required_literals(r"(?:^|\s)of[\x20\x09-\x0D]+the\s+day(?:\s|$)") == ["of the day"]
+    assert ruleindex.required_literals(r"(?i)(mask|l1)") == ["mask", "l1"] and ruleindex.required_literals(r"(mask|l1)?end") == ["end"] and ruleindex.required_literals(r"(?U)a\sb") == [""]
+    rules = spark.createDataFrame([("p", r"of\s+the\s+day", None)], "rule string, pattern string, unless string")
+    texts = spark.createDataFrame([(1, "the day of"), (2, "one of \n the\tday"), (3, "of  the day"), (4, "OF the day")], "id long, body string")
+    assert {(r.id, r.rule) for r in ruleindex.match_rules(texts, rules, "id", "body").collect()} == {(2, "p"), (3, "p")}
+
+
+def test_refresh_deals_rows_by_their_number(spark, monkeypatch):
+    seen, real = [], cache.refresh
+    monkeypatch.setattr(cache, "refresh", lambda df, *rest: seen.append(df) or real(df, *rest))
+    integrity.inc_supplier_refresh(spark, "/root/testdata/sf0.001")
+    assert "Repartition 3" not in seen[-1]._jdf.queryExecution().logical().toString()
