@@ -106,6 +106,11 @@ INSTANCES = [
 BATCHES = (1, 2, 4, 8, 16, 32, 64, 128)
 
 
+def _fixed(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of fixed values, some dozens of rows: Spark knows no size for it, and would deal all that it meets by its few keys."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
 def _fires(*rules: tuple[Column, str, str, str]) -> Column:
     """The rules that fire, as an array of (type, severity, advice)."""
     parts = [F.when(on, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(advice).alias("advice"))) for on, kind, severity, advice in rules]
@@ -114,14 +119,21 @@ def _fires(*rules: tuple[Column, str, str, str]) -> Column:
 
 def pattern_advice(found: DataFrame) -> DataFrame:
     """Findings (with a column ``pattern``) with their recommendation and known impact; unknown patterns give no row."""
-    return found.join(found.sparkSession.createDataFrame(PATTERN_ADVICE, PATTERN_ADVICE_SCHEMA), "pattern")
+    return found.join(_fixed(found, PATTERN_ADVICE, PATTERN_ADVICE_SCHEMA), "pattern")
+
+
+def _in_line(pattern: str) -> str:
+    """``a.*b.*c`` of literals, without trying every place of ``b`` for each ``a``: what comes first leaves most room for the rest."""
+    first, *rest = pattern.split(".*")
+    return first + "".join(f"(?>.*?{x})" for x in rest)
 
 
 def framework_issues(code: DataFrame) -> DataFrame:
-    """snippet_id, framework, pattern, suggestion: habits that cost time in a framework the snippet uses, in any letter case."""
-    uses = textscan.inferred(code).filter("kind = 'framework'").select("snippet_id", F.col("name").alias("framework"))
-    issues = code.sparkSession.createDataFrame(ISSUES, ISSUES_SCHEMA)
-    return code.select("snippet_id", "code").join(uses, "snippet_id").join(issues, "framework").filter("rlike(code, concat('(?i)', pattern))").select("snippet_id", "framework", "pattern", "suggestion")
+    """snippet_id, framework, pattern, suggestion: habits that cost time in a framework the snippet uses, in any letter case. A row without a name gives none."""
+    uses = lambda name: F.exists("framework", lambda x: x["name"] == name)
+    tried = lambda p: F.contains("low", F.lit(textscan.ruleindex.required_literals(p)[0].lower())) & F.col("code").rlike(f"(?i){_in_line(p)}")
+    issues = [F.when(uses(f) & tried(p), F.struct(F.lit(f).alias("framework"), F.lit(p).alias("pattern"), F.lit(s).alias("suggestion"))) for f, p, s in ISSUES]
+    return textscan.seen(code).filter("snippet_id is not null").select("snippet_id", F.inline(F.array_compact(F.array(*issues))))
 
 
 def compression_openings(code: DataFrame) -> DataFrame:
@@ -129,7 +141,7 @@ def compression_openings(code: DataFrame) -> DataFrame:
     seen = textscan.inferred(code)
     uses = seen.filter("kind = 'framework'").select("snippet_id", F.col("name").alias("framework"))
     done = seen.filter("kind = 'compression'").select("snippet_id", F.col("name").alias("technique"))
-    offered = uses.join(code.sparkSession.createDataFrame(TOOLS, TOOLS_SCHEMA), "framework").select("snippet_id", "technique", "framework", "implementation")
+    offered = uses.join(_fixed(code, TOOLS, TOOLS_SCHEMA), "framework").select("snippet_id", "technique", "framework", "implementation")
     every = F.array(*[F.lit(name) for name, _ in textscan.COMPRESSION])
     general = code.select("snippet_id").join(uses, "snippet_id", "left_anti").select("snippet_id", F.explode(every).alias("technique"), F.lit("any").alias("framework"), F.lit(None).cast("string").alias("implementation"))
     return offered.unionByName(general).join(done, ["snippet_id", "technique"], "left_anti")
@@ -137,21 +149,21 @@ def compression_openings(code: DataFrame) -> DataFrame:
 
 def platform_advice(code: DataFrame) -> DataFrame:
     """snippet_id, kind (hardware, cloud), name, recommendation; general advice where no cloud shows."""
-    seen = textscan.inferred(code).filter("kind in ('hardware', 'cloud')").select("snippet_id", "kind", "name")
-    none = code.select("snippet_id").join(seen.filter("kind = 'cloud'"), "snippet_id", "left_anti").select("snippet_id", F.lit("cloud").alias("kind"), F.lit("general").alias("name"))
-    return seen.unionByName(none).join(code.sparkSession.createDataFrame(PLATFORM, PLATFORM_SCHEMA), ["kind", "name"]).select("snippet_id", "kind", "name", "recommendation")
+    general = F.array(F.struct(F.lit("cloud").alias("kind"), F.lit("general").alias("name")))
+    found = textscan.seen(code).select("snippet_id", F.inline(F.concat("hardware", F.when(F.size("cloud") == 0, general).otherwise(F.col("cloud")))))
+    return found.join(_fixed(code, PLATFORM, PLATFORM_SCHEMA), ["kind", "name"]).select("snippet_id", "kind", "name", "recommendation")
 
 
 def technique_advice(code: DataFrame) -> DataFrame:
     """snippet_id, technique, recommendation for every technique that a snippet does not use yet and its frameworks offer."""
     open_ = compression_openings(code).select("snippet_id", "technique").distinct()
-    return open_.join(code.sparkSession.createDataFrame(TECHNIQUES, TECHNIQUES_SCHEMA), "technique").select("snippet_id", "technique", "recommendation")
+    return open_.join(_fixed(code, TECHNIQUES, TECHNIQUES_SCHEMA), "technique").select("snippet_id", "technique", "recommendation")
 
 
 def instance_advice(code: DataFrame) -> DataFrame:
     """snippet_id, name (of the cloud that shows), class, instance: instance types worth a look; no row without a cloud."""
     clouds = textscan.inferred(code).filter("kind = 'cloud'").select("snippet_id", "name")
-    return clouds.join(code.sparkSession.createDataFrame(INSTANCES, INSTANCES_SCHEMA), "name").select("snippet_id", "name", "class", F.explode("instances").alias("instance"))
+    return clouds.join(_fixed(code, INSTANCES, INSTANCES_SCHEMA), "name").select("snippet_id", "name", "class", F.explode("instances").alias("instance"))
 
 
 def robustness_advice(scores: DataFrame, attacks: DataFrame, details: DataFrame) -> DataFrame:

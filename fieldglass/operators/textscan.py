@@ -5,9 +5,12 @@ Nulls and edges: a null text matches nothing; empty code is unknown and runs on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions.stages import dealt
 from fieldglass.operators import ruleindex
 
 #: Fixed values. Architectures, in order of precedence, and what speaks for them.
@@ -106,7 +109,7 @@ def architecture_vote(code: DataFrame) -> DataFrame:
 
 def known_patterns(code: DataFrame) -> DataFrame:
     """snippet_id, pattern, family, time, space: known algorithms whose name stands in the code."""
-    table = code.sparkSession.createDataFrame(PATTERNS, "pattern string, family string, time string, space string")
+    table = F.broadcast(code.sparkSession.createDataFrame(PATTERNS, "pattern string, family string, time string, space string"))
     rules = table.select(F.col("pattern").alias("rule"), F.concat(F.lit("(?i)"), "pattern").alias("pattern"), F.lit(None).cast("string").alias("unless"))
     found = ruleindex.match_rules(code, rules, "snippet_id", "code").withColumnRenamed("rule", "pattern")
     return found.join(table, "pattern").select("snippet_id", "pattern", "family", "time", "space")
@@ -118,18 +121,29 @@ def recognize(code: DataFrame) -> DataFrame:
     return code.select("snippet_id", F.inline(hits)).filter("n_matched > 0").withColumn("confidence", F.least(F.lit(80), 40 + 10 * F.col("n_matched")))
 
 
+def shows(pattern: str) -> Column:
+    """Whether ``code`` matches in any letter case. ``low`` is the code in lower case: a text without a literal of the pattern is not tried."""
+    literals = ruleindex.required_literals(pattern)
+    found = F.col("code").rlike(f"(?i){pattern}")
+    return functools.reduce(lambda a, b: a | b, [F.contains("low", F.lit(x.lower())) for x in literals]) & found if all(literals) else found
+
+
+def seen(code: DataFrame) -> DataFrame:
+    """snippet_id, code, low and, from one pass, the arrays ``framework``, ``hardware`` (CPU where no other shows), ``cloud`` (the first only) and ``compression`` of (kind, name)."""
+    rows = lambda kind, table: F.array_compact(F.array(*[F.when(shows(p), F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("name"))) for n, p in table]))
+    low = dealt(code.select("snippet_id", "code")).withColumn("low", F.lower("code"))
+    arrays = low.select("*", rows("framework", FRAMEWORKS).alias("framework"), rows("hardware", HARDWARE).alias("hardware"), F.slice(rows("cloud", CLOUDS), 1, 1).alias("cloud"), rows("compression", COMPRESSION).alias("compression"))
+    return arrays.withColumn("hardware", F.when(F.size("hardware") == 0, F.array(F.struct(F.lit("hardware").alias("kind"), F.lit("CPU").alias("name")))).otherwise(F.col("hardware")))
+
+
 def inferred(code: DataFrame) -> DataFrame:
     """snippet_id, kind (framework, hardware, cloud, compression), name; CPU where no other hardware shows, the first cloud only."""
-    rows = lambda kind, table: F.array(*[F.when(F.col("code").rlike(f"(?i){p}"), F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("name"))) for n, p in table])
-    hardware = F.array_compact(rows("hardware", HARDWARE))
-    hardware = F.when(F.size(hardware) == 0, F.array(F.struct(F.lit("hardware").alias("kind"), F.lit("CPU").alias("name")))).otherwise(hardware)
-    everything = F.concat(F.array_compact(rows("framework", FRAMEWORKS)), hardware, F.slice(F.array_compact(rows("cloud", CLOUDS)), 1, 1), F.array_compact(rows("compression", COMPRESSION)))
-    return code.select("snippet_id", F.inline(everything))
+    return seen(code).select("snippet_id", F.inline(F.concat("framework", "hardware", "cloud", "compression")))
 
 
 def aligned(code: DataFrame) -> DataFrame:
     """snippet_id, algorithm, framework: recognized algorithms that are at home in a framework the snippet uses."""
-    pairs = code.sparkSession.createDataFrame([(f, a) for f, names in ALIGNED.items() for a in names], "framework string, algorithm string")
+    pairs = F.broadcast(code.sparkSession.createDataFrame([(f, a) for f, names in ALIGNED.items() for a in names], "framework string, algorithm string"))
     uses = inferred(code).filter("kind = 'framework'").select("snippet_id", F.col("name").alias("framework"))
     return recognize(code).select("snippet_id", "algorithm").join(uses, "snippet_id").join(pairs, ["framework", "algorithm"]).select("snippet_id", "algorithm", "framework")
 
