@@ -78,10 +78,11 @@ def complexity_fits(df: DataFrame, keys: Sequence[str], size: str, value: str) -
     parts = ", ".join(f"{i}, '{name}', {expr}" for i, (name, expr) in enumerate(CLASSES))
     long = points.filter("n > 0").selectExpr(*keys, "y", f"stack({len(CLASSES)}, {parts}) as (pos, complexity, x)")
     x, y = F.col("x"), F.col("y")
-    fits = long.groupBy(*keys, "pos", "complexity").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.var_pop(y).alias("vy"), F.avg(y).alias("my"), F.max(x).alias("mx"), F.count(F.lit(1)).alias("points"))
+    fits = long.groupBy(*keys, "pos", "complexity").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.min(y).alias("ly"), F.max(y).alias("hy"), F.avg(y).alias("my"), F.min(x).alias("lx"), F.max(x).alias("mx"), F.count(F.lit(1)).alias("points"))
     fits = fits.filter((F.col("points") >= 3) & (F.col("mx") < float("inf")))
-    r2 = F.when(F.col("vy") == 0, F.lit(0.0)).otherwise(F.coalesce("r2", F.lit(0.0)))
-    fits = fits.select(*keys, "pos", "complexity", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("intercept", "my").alias("intercept"), r2.alias("r2"))
+    # equal values are told by their ends: the variance of equal values from several tasks may come out above 0
+    line = lambda c, flat: F.when((F.col("ly") == F.col("hy")) | (F.col("lx") == F.col("mx")), flat).otherwise(F.coalesce(F.col(c), flat)).alias(c)
+    fits = fits.select(*keys, "pos", "complexity", line("slope", F.lit(0.0)), line("intercept", F.col("my")), line("r2", F.lit(0.0)))
     best = Window.partitionBy(*keys).orderBy(F.desc(F.round("r2", 12)), "pos")
     return fits.withColumn("rank", F.row_number().over(best)).drop("pos")
 
