@@ -8,7 +8,7 @@ CODE = "snippet_id string, code string"
 
 
 def test_equal_values_from_many_tasks_fit_as_constant(spark):
-    rows = spark.range(0, 49 * 13 * 40, 1, 13).select((F.col("id") % 40).alias("k"), (F.col("id") % 49 + 1.0).alias("n"), F.lit(0.7).alias("y"))
+    rows = spark.range(0, 50 * 13 * 40, 1, 13).select((F.col("id") % 40).alias("k"), (F.floor(F.col("id") / 40) % 50 + 1.0).alias("n"), F.lit(7.0).alias("y"))
     got = measure.best_complexity(rows, ["k"], "n", "y").collect()
     assert len(got) == 40 and {(r.complexity, r.quality) for r in got} == {("O(1)", 0.0)}
 
