@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import joined_id, materialize, small_batches, split_id, spread, words
+from fieldglass.llm.common import joined_id, materialize, session_settings, small_batches, split_id, spread, words
 from fieldglass.llm.components import components
 
 CHUNK = 1024
@@ -183,7 +183,10 @@ def _common(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, n
             yield pd.DataFrame({"s": np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in batch["t"]] or [np.zeros(0, "<u8")]).view(np.int64)})
 
     seen = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).mapInPandas(each, "s long")
-    top = materialize(seen.groupBy("s").count().filter("count > 2"), "frequent").orderBy(F.desc("count"), "s").limit(1 << 18).toPandas()
+    frequent = materialize(seen.groupBy("s").count().filter("count > 2"), "frequent")
+    # as columns: as rows, each would be objects on the driver, many times its 16 bytes
+    with session_settings(docs.sparkSession, {"spark.sql.execution.arrow.pyspark.enabled": "true"}):
+        top = frequent.orderBy(F.desc("count"), "s").limit(1 << 18).toPandas()
     values = top["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], (len(values) - np.arange(len(values)))[order]
@@ -337,8 +340,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
     classes = materialize(prints.groupBy("fp").agg(F.min("text_hash").alias("rep")), "classes")
     same = prints.select("fp", "text_hash").distinct().join(classes, "fp").filter(~F.col("text_hash").eqNullSafe(F.col("rep"))).select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
     close = materialize(links(classes, classes.count(), guaranteed, reach).unionByName(same), "close")
-    edges = materialize(confirm(close, docs, shingle, least, text_col), "links")
-    groups = components(edges)
+    groups = components(materialize(confirm(close, docs, shingle, least, text_col), "links"))
     # texts meet their groups before their keys are listed, which are many more
     placed = _placed(texts.select(F.col("text_hash").alias("h"), "size", "keys"), groups)
     live = materialize(_apart(placed.select("h", "size", "g", F.posexplode("keys").alias("pos", "key")), least), "shared")
@@ -350,11 +352,10 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
     pairs = materialize(near.select(F.col("h").alias("a"), "b").distinct(), "pairs")
 
     def joined(found: DataFrame) -> None:
-        nonlocal edges, groups
+        nonlocal groups
         found = materialize(found, "links")
         if not found.isEmpty():
-            edges = edges.unionByName(found)
-            groups = components(edges)
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     joined(confirm(pairs, docs, shingle, least, text_col))
     wide = live.filter(F.col("n") > FEW).drop("g", "early", "n")

@@ -1,9 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from fieldglass.llm import simhash, substrings
+from fieldglass.llm import common, simhash, substrings
+from fieldglass.llm import components as star_graph
+from fieldglass.llm.common import materialize
 from fieldglass.llm.components import components
 
 
@@ -88,6 +92,42 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_components_of_other_types(spark):
+    """Strings take the rounds, which longs of a small table need not; both find the same."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(130)] + [(i, i + 1) for i in range(2000, 2040)] + [(9000, i) for i in range(8000, 8050)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = {str(r.node): str(r.component) for r in components(table).collect()}
+    assert {r.node: r.component for r in components(table.selectExpr("string(a) a", "string(b) b")).collect()} == want
+
+
+def test_stars_within_a_task(monkeypatch):
+    rng = random.Random(9)
+    path = rng.sample(range(-500, 500), 600)
+    ends = np.array([*zip(path, path[1:]), (1000, 1001), (1002, 1001), (7000, 7003), (7003, 7001)], dtype=np.int64)
+    u, v = star_graph._stars(ends.max(axis=1), ends.min(axis=1))
+    assert dict(zip(u.tolist(), v.tolist())) == {x: min(path) for x in path if x != min(path)} | {1001: 1000, 1002: 1000, 7003: 7000, 7001: 7000}
+    # cut anywhere, what comes out connects the same
+    monkeypatch.setattr(star_graph, "AT_ONCE", 40)
+    some = [pd.DataFrame({"u": ends[i : i + 25].max(axis=1), "v": ends[i : i + 25].min(axis=1)}) for i in range(0, len(ends), 25)]
+    out = pd.concat(star_graph._contracted(iter(some)))
+    assert len(out) <= len(ends) and (out.u > out.v).all()
+    u2, v2 = star_graph._stars(out.u.to_numpy(), out.v.to_numpy())
+    assert dict(zip(u2.tolist(), v2.tolist())) == dict(zip(u.tolist(), v.tolist()))
+    assert list(star_graph._contracted(iter([]))) == []
+
+
+def test_components_load_on_the_driver(spark):
+    """Small tables of long paths take one written table, and a round's plan reads its edges four times at most."""
+    edges = [(i * 7919 % 10007, (i + 1) * 7919 % 10007) for i in range(2000)]
+    at = len(common._made)
+    assert components(spark.createDataFrame(edges, "a long, b long")).select("component").distinct().count() == 1
+    assert len(common._made) - at == 1
+    table = materialize(spark.createDataFrame(edges, "u long, v long"), "edges")
+    plan = star_graph.small_star(star_graph.large_star(table))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") <= 4
+
+
 def test_forest_equals_all_pairs(spark):
     """Chunked groups, chains at the exact distance, repeated classes."""
     rng = random.Random(4)
