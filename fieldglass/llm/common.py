@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -49,11 +50,34 @@ def session_settings(spark: SparkSession, values: dict) -> Iterator[None]:
 
 
 _made: list[str] = []
+_own: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("own", default=())
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    _made.append(f"{shared_dir(spark).rstrip('/')}/fieldglass/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark).rstrip('/')}/fieldglass/{label}-{uuid.uuid4().hex}"
+    for made in (_made, *_own.get()):
+        made.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders made inside the block (in this thread), in turn; those still listed at its end are deleted."""
+    own: list[str] = []
+    token = _own.set((*_own.get(), own))
+    try:
+        yield own
+    finally:
+        _own.reset(token)
+        for path in own:
+            _delete(spark, path)
+            if path in _made:
+                _made.remove(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -72,10 +96,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Delete the working tables that this process made, once their results are no longer needed; any file system."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        target = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        target.getFileSystem(conf).delete(target, True)
+        _delete(spark, _made.pop())
 
 
 def word_count(text: Column | str) -> Column:

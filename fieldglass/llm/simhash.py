@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import joined_id, materialize, session_settings, small_batches, split_id, spread, words
+from fieldglass.llm.common import joined_id, materialize, session_settings, small_batches, split_id, spread, words, working_tables
 from fieldglass.llm.components import components
 
 CHUNK = 1024
@@ -173,6 +173,25 @@ def prefix(s: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) ->
     return s[np.lexsort((s, r))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether each residue of a set's members is held an odd number of times, one bit each; as many residues as the power of two not below the size (64 at least).
+
+    Two sets differ in at least as many members as these bits do. Bits of more residues, halved by exclusive or, are those of fewer.
+    """
+    width = 1 << max(6, math.ceil(math.log2(max(len(s), 1))))
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 == 1, bitorder="little").tobytes()
+
+
+def _halved(bits: list[bytes], width: int) -> np.ndarray:
+    """Parities as rows of ``width`` bytes."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits]).view(np.uint64)
+
+
+def _may_differ(size, other, least: float):
+    """In how many members two sets of such sizes differ at most, if their similarity is ``least`` or more."""
+    return (size + other) * ((1 - least) / (1 + least)) + 1e-9
+
+
 def _common(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of about ``SAMPLE_TEXTS`` texts, sorted, and their ranks."""
     texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
@@ -193,7 +212,7 @@ def _common(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, n
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, size (of the shingle set), keys (its prefix): one row a document, each text hashed once."""
+    """doc_id, text_hash, fp, size (of the shingle set), bits (its :func:`parity`), keys (its prefix): one row a document, each text hashed once."""
     spark = docs.sparkSession
     small_batches(spark)
     order = spark.sparkContext.broadcast(_common(docs, shingle, text_col))  # at most 262,144 shingles
@@ -204,10 +223,84 @@ def prefixes(docs: DataFrame, shingle: int, least: float, id_col: str = "doc_id"
             fp = np.array([majority(g) for g in grams], dtype=np.uint64).view(np.int64)
             sets = [np.unique(g) for g in grams]
             keys = [prefix(s, least, *order.value).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": joined_id(batch), "text_hash": batch["h"], "fp": fp, "size": [len(s) for s in sets], "keys": keys})
+            yield pd.DataFrame({"doc_id": joined_id(batch), "text_hash": batch["h"], "fp": fp, "size": [len(s) for s in sets], "bits": [parity(s) for s in sets], "keys": keys})
 
     rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
-    return spread(rows).mapInPandas(each, "doc_id long, text_hash long, fp long, size int, keys array<long>")
+    return spread(rows).mapInPandas(each, "doc_id long, text_hash long, fp long, size int, bits binary, keys array<long>")
+
+
+def likely(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets, by their sizes and parities (``marks``: h, size, bits), can have a similarity of ``least``: all that have, and few others.
+
+    So texts, which are many times as long, are only sent for these. Pairs that share a shingle by chance grow faster than the table, similar ones do not.
+    """
+    first = pairs.join(marks.withColumnsRenamed({"h": "a", "size": "sa", "bits": "ba"}), "a")
+    both = first.join(marks.withColumnsRenamed({"h": "b", "size": "sb", "bits": "bb"}), "b")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            most = _may_differ(batch["sa"].to_numpy(np.int64), batch["sb"].to_numpy(np.int64), least)
+            differ = [int(np.bitwise_count(np.bitwise_xor(*_halved([x, y], min(len(x), len(y))))).sum()) for x, y in zip(batch["ba"], batch["bb"])]
+            yield batch.loc[np.array(differ, dtype=np.int64) <= most, ["a", "b"]]
+
+    return both.select("a", "b", "sa", "sb", "ba", "bb").mapInPandas(close, "a long, b long")
+
+
+def _partners(size: np.ndarray, group: np.ndarray, early: np.ndarray, bits: list[bytes], least: float) -> np.ndarray:
+    """Which of these texts have another of a different group beside them that, by sizes and parities, can be similar, the smaller of both ``early``."""
+    order = np.argsort(size, kind="stable")
+    size, group, early, bits = size[order], group[order], early[order], [bits[i] for i in order]
+    alike = np.concatenate([[0], np.flatnonzero(size[1:] != size[:-1]) + 1, [len(size)]])
+    # of sets of one size either may be the early one
+    early = np.repeat(np.logical_or.reduceat(early, alike[:-1]), np.diff(alike))
+    stop = np.searchsorted(size, size / least + 1e-9, "right")
+    width = np.array([len(b) for b in bits])
+    found = np.zeros(len(size), dtype=bool)
+    for w in np.unique(width):
+        lo, hi = np.searchsorted(width, [w, w + 1])
+        rows = _halved(bits[lo : int(stop[hi - 1])], int(w))
+        for i in lo + np.flatnonzero(early[lo:hi]):
+            other = i + 1 + np.flatnonzero((group[i + 1 : stop[i]] != group[i]) & ~(found[i] & found[i + 1 : stop[i]]))
+            if len(other):
+                near = other[np.bitwise_count(rows[other - lo] ^ rows[i - lo]).sum(axis=1) <= _may_differ(size[i], size[other], least)]
+                found[near], found[i] = True, found[i] or len(near) > 0
+    out = np.empty(len(size), dtype=bool)
+    out[order] = found
+    return out
+
+
+def _chunked(live: DataFrame) -> DataFrame:
+    """Rows of keys that ``n`` texts share, with (lo, hi): every two chunks of a key's texts meet in a group (key, lo, hi)."""
+    q = F.ceil(F.col("n") / CHUNK).cast("int")
+    parts = live.withColumn("i", F.pmod(F.xxhash64("h", F.lit(1)), q).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), q - 1)))
+    return parts.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("i", "j")
+
+
+def with_partners(live: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """key, pos, h, size of those rows of ``live`` (see :func:`_apart`) that can be similar to another text of their key and of a different group."""
+    group = ["key", "lo", "hi"]
+    columns = ["key", "pos", "h", "size"]
+    rows = _chunked(live).select(*group, "pos", "h", "size", "g", "early").join(marks.select("h", "bits"), "h")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
+        for batch in batches:
+            batch = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
+            ids = batch[group].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])) if len(batch) else np.zeros(1, np.int64)
+            tail = batch.iloc[starts[-1] :]
+            yield _left(batch, starts)
+        if tail is not None and len(tail):
+            yield _left(tail, np.array([0, len(tail)]))
+
+    def _left(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        size, g, early, bits = batch["size"].to_numpy(np.int64), batch["g"].to_numpy(np.int64), batch["early"].to_numpy(bool), batch["bits"].tolist()
+        left = np.zeros(len(batch), dtype=bool)
+        for a, b in zip(starts[:-1], starts[1:]):
+            left[a:b] = _partners(size[a:b], g[a:b], early[a:b], bits[a:b], least)
+        return batch.loc[left, columns]
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "key long, pos int, h long, size int").distinct()
 
 
 def _needed(docs: DataFrame, ends: DataFrame, text_col: str) -> DataFrame:
@@ -291,8 +384,6 @@ def _joined(sets: list[np.ndarray], group: np.ndarray, early: np.ndarray, least:
 
 def all_links(live: DataFrame, docs: DataFrame, shingle: int, least: float, text_col: str = "text") -> DataFrame:
     """(a, b) for rows (key, h, g, early, n): every two chunks of a key's ``n`` texts are compared whole in a task, which passes a forest on."""
-    q = F.ceil(F.col("n") / CHUNK).cast("int")
-    parts = live.withColumn("i", F.pmod(F.xxhash64("h", F.lit(1)), q).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), q - 1)))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -300,7 +391,7 @@ def all_links(live: DataFrame, docs: DataFrame, shingle: int, least: float, text
 
     sets = _needed(docs, live.select("h"), text_col).mapInPandas(hashed, "h long, s binary")
     group = ["key", "lo", "hi"]
-    rows = parts.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "h", "g", "early").join(sets, "h")
+    rows = _chunked(live).select(*group, "h", "g", "early").join(sets, "h")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, []
@@ -330,16 +421,25 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
     key, are confirmed on their shingle sets, which joins most families cheaply. Whatever they miss is found after that: texts
     of different groups that share a member of their prefixes (see :func:`prefix`) are all compared, those of keys
     with few texts as pairs, the others in chunks. So the result does not depend on ``guaranteed``, ``reach`` or the number of texts.
+    Before texts are sent anywhere, sizes and parities of their sets (see :func:`parity`), a fortieth as long, rule out nearly all that are not similar, and never one that is.
     Texts that keys with many texts hold together are compared in one place, each text there once, where there are at most ``CHUNK`` of them;
     beyond, key by key, each text's widest key first, which unites most of a large family, so little is left to compare under its other keys.
 
     Nulls and edges: null and empty texts are one text each without words; null ids and repeated rows keep their rows; an empty table gives an empty result.
     """
+    with working_tables(docs.sparkSession) as tables:
+        groups = materialize(_similar(docs, shingle, least, guaranteed, reach, id_col, text_col), "groups")
+        tables.pop()  # stays, all others go
+    return groups
+
+
+def _similar(docs: DataFrame, shingle: int, least: float, guaranteed: int, reach: int, id_col: str, text_col: str) -> DataFrame:
     prints = materialize(prefixes(docs, shingle, least, id_col, text_col), "prefixes")
     texts = prints.select("text_hash", "fp", "size", "keys").dropDuplicates(["text_hash"])
     classes = materialize(prints.groupBy("fp").agg(F.min("text_hash").alias("rep")), "classes")
     same = prints.select("fp", "text_hash").distinct().join(classes, "fp").filter(~F.col("text_hash").eqNullSafe(F.col("rep"))).select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
-    close = materialize(links(classes, classes.count(), guaranteed, reach).unionByName(same), "close")
+    marks = prints.select(F.col("text_hash").alias("h"), "size", "bits").dropDuplicates(["h"])
+    close = materialize(likely(links(classes, classes.count(), guaranteed, reach).unionByName(same), marks, least), "close")
     groups = components(materialize(confirm(close, docs, shingle, least, text_col), "links"))
     # texts meet their groups before their keys are listed, which are many more
     placed = _placed(texts.select(F.col("text_hash").alias("h"), "size", "keys"), groups)
@@ -349,7 +449,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
     # similar sets have so much in common, and all of it from their first shared key on
     both = (F.col("size") + F.col("size_b")) * (least / (1 + least)) - 1e-9
     near = few.join(other, "key").filter((F.col("h") < F.col("b")) & (F.col("g") != F.col("gb")) & (F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= both))
-    pairs = materialize(near.select(F.col("h").alias("a"), "b").distinct(), "pairs")
+    pairs = materialize(likely(near.select(F.col("h").alias("a"), "b").distinct(), marks, least), "pairs")
 
     def joined(found: DataFrame) -> None:
         nonlocal groups
@@ -359,6 +459,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, guarant
 
     joined(confirm(pairs, docs, shingle, least, text_col))
     wide = live.filter(F.col("n") > FEW).drop("g", "early", "n")
+    # keys that texts share by chance go before sets are sent and before texts of common keys count as held together
+    wide = materialize(with_partners(_apart(_placed(wide, groups), least), marks, least), "wide")
     many = materialize(_apart(_placed(wide, groups), least), "shared")
     if not many.isEmpty():
         bins = components(many.select(F.col("h").alias("a"), F.col("key").alias("b")))

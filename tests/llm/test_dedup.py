@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -245,3 +246,58 @@ def test_shared_keys_are_dealt_once(spark):
     found = simhash._apart(rows, 0.8)
     assert {(r.key, r.h, r.n, r.early) for r in found.collect()} == {(k, h, 3, True) for k in range(5) for h in (10, 11, 20)}
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_parity_rules_out_no_similar_sets():
+    """Parities differ in no more bits than sets in members, whatever their widths; partners of similarity 0.8 are all found, sets of other words are not."""
+    rng = np.random.default_rng(6)
+    sets, family = [], []
+    for f in range(60):
+        base = rng.integers(0, 1 << 63, int(rng.choice([1, 5, 60, 64, 65, 300, 1030])), dtype=np.uint64)
+        for _ in range(3):
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1])], rng.integers(0, 1 << 63, int(len(base) * rng.choice([0, 0.03, 0.12])) + 1, dtype=np.uint64)])))
+            family.append(f)
+    bits, size, want = [simhash.parity(s) for s in sets], np.array([len(s) for s in sets]), np.zeros(len(sets), dtype=bool)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            rows = simhash._halved([bits[i], bits[j]], min(len(bits[i]), len(bits[j])))
+            assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(x) + len(y) - 2 * both
+            if both / (len(x) + len(y) - both) >= 0.8:
+                want[[i, j]] = True
+    found = simhash._partners(size, np.arange(len(sets)), np.ones(len(sets), dtype=bool), bits, 0.8)
+    assert want.sum() > 60 and not (want & ~found).any() and found[size > 40].sum() <= want[size > 40].sum() + 30
+    # none in a group of their own families only, none where the smaller is not early
+    assert not simhash._partners(size, np.zeros(len(sets), dtype=np.int64), np.ones(len(sets), dtype=bool), bits, 0.8).any()
+    assert not simhash._partners(size, np.arange(len(sets)), np.zeros(len(sets), dtype=bool), bits, 0.8).any()
+
+
+def test_texts_alike_by_chance_are_not_sent(spark, monkeypatch):
+    """Texts of other words that share a shingle, in a key of few texts or of many, are told apart by their marks; only likely pairs have their texts sent."""
+    rng = random.Random(3)
+    first = []  # shingles whose hashes are so small that they lead the prefixes
+    while len(first) < 2:
+        line = " ".join(f"s{rng.randrange(10**6)}" for _ in range(5))
+        if int(simhash.shingle_hashes(line, 5)[0]) < (1 << 64) // 5000:
+            first.append(line)
+    text = lambda line: " ".join([*(f"w{rng.randrange(10**7)}" for _ in range(60)), line, *(f"w{rng.randrange(10**7)}" for _ in range(60))])
+    texts = [text(first[0]) for _ in range(40)] + [text(first[1]) for _ in range(10)]
+    texts += [f"{t} changed" for t in texts[:3]]
+    sent, rows, confirm, all_links = [], [], simhash.confirm, simhash.all_links
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 1)
+    monkeypatch.setattr(simhash, "confirm", lambda pairs, *a: sent.append(pairs.count()) or confirm(pairs, *a))
+    monkeypatch.setattr(simhash, "all_links", lambda live, *a: rows.append(live.count()) or all_links(live, *a))
+    got = {r.doc_id: r.group for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == 50 and all(got[i] == got[50 + i] for i in range(3))
+    assert sum(sent) <= 3 and sum(rows) <= 6
+
+
+def test_working_tables_go(spark, odd_docs):
+    """Of all tables on the way to the groups only the groups stay."""
+    at = len(common._made)
+    groups = simhash.similar_texts(odd_docs)
+    assert len(common._made) - at == 1 and groups.count() == odd_docs.count()
+    with common.working_tables(spark) as own:
+        path = materialize(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
+        assert len(own) == 1 and os.path.exists(path)
+    assert not os.path.exists(path) and len(common._made) - at == 1
