@@ -112,10 +112,10 @@ def _bytes(*arrays: np.ndarray) -> list[bytes]:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, shard_mb: float = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), and the columns in ``keep``: one row a document."""
     n = shards_for(docs, text_col, shard_mb)
-    kept_cols = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), *kept_cols)
+    # a text that is kept goes once; all passes take the same columns, so that they read one exchange
+    carried = ["t" if c == text_col else f"k{i}" for i, c in enumerate(keep)]
+    rows = docs.select(*split_id(F.col(id_col)), F.col(text_col).alias("t"), *(F.col(c).alias(k) for c, k in zip(keep, carried) if k != "t"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("d", "dn"), F.lit(n)).cast("int")).repartition(n, "shard")
-    texts = rows.select("shard", "d", "dn", "t")
     n_ranges, per_part = -(-n // PER_RANGE), PER_PART
 
     def send_anchors(docs: pd.DataFrame) -> pd.DataFrame:
@@ -211,14 +211,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             left.append(text if gone is None else b" ".join([x for x, out in zip(text.split(b" "), gone) if not out]))
         out = docs.iloc[shard.rows].reset_index(drop=True)
         result = pd.DataFrame({"doc_id": joined_id(out), "n_words": shard.n_words, "n_removed": [0 if g is None else int(g.sum()) for g in removed], "kept": [x.decode("utf-8", "surrogatepass") for x in left]})
-        return result.assign(**{f"k{i}": out[f"k{i}"] for i in range(len(keep))})
+        return result.assign(**{f"k{i}": out[k] for i, k in enumerate(carried)})
 
-    anchors = texts.groupBy("shard").applyInPandas(send_anchors, "part int, shard int, h binary, twice binary")
+    anchors = rows.groupBy("shard").applyInPandas(send_anchors, "part int, shard int, h binary, twice binary")
     recurring = anchors.groupBy("part").applyInPandas(find_recurring, "shard int, h binary, held binary")
-    sent = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(send_windows, "part int, sub int, shard int, anchor binary, doc binary, key binary, n binary, w binary, twice binary")
+    sent = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInPandas(send_windows, "part int, sub int, shard int, anchor binary, doc binary, key binary, n binary, w binary, twice binary")
     confirmed = sent.groupBy("part", "sub").applyInPandas(confirm, "shard int, runs binary")
     types = {c: t for c, t in rows.dtypes}
-    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", k{i} {types[f'k{i}']}" for i in range(len(keep)))
+    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", k{i} {types[k]}" for i, k in enumerate(carried))
     result = rows.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInPandas(mark, schema)
     return result.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 

@@ -74,6 +74,14 @@ def test_substrings_empty_and_columns(no_docs, odd_docs):
     assert {r.t for r in out.collect()} == {"x"}
 
 
+def test_texts_are_dealt_once(spark, odd_docs):
+    """All three passes read one exchange of the texts, other columns and the text itself kept beside them."""
+    out = substrings.dedup_substrings(odd_docs, keep=("text", "lang"))
+    with common.session_settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        assert out.select("*")._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 2
+    assert sorted(str((r.doc_id, r.text, r.lang)) for r in out.collect()) == sorted(str((r.doc_id, r.text, r.lang)) for r in odd_docs.collect())
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5200)] + [(7, 7), (None, 3)]
